@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm.encoding import find_garbled, restore_garbled
 from tessella.llm.mixing import mix_shares, mix_sources
+from tessella.llm.neardup import expand_pairs, near_duplicates, near_groups
 from tessella.llm.nearest import nearest_in_time
 from tessella.llm.packing import container_fill, pack_documents
 from tessella.llm.split import split_oversized
@@ -21,6 +23,18 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(table(spark, d, "chunk"), table(spark, d, "split_limits"))
 
 
+def _similar(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return near_duplicates(table(spark, d, "chunk"), id="chunk_id", text="content", threshold=0.5, shingle=3, min_words=20)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return expand_pairs(*_similar(spark, d)).select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_groups(*_similar(spark, d)).withColumnRenamed("id", "chunk_id")
+
+
 def _timed(df: DataFrame) -> DataFrame:
     return df.select(F.lower(F.trim("username")).alias("entity"), F.col("timestamp").alias("ts"), "id")
 
@@ -50,18 +64,37 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_shares(p9_uses(spark, d), table(spark, d, "mix_targets"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_garbled(table(spark, d, "documents"))[0].select(F.col("id").alias("doc_id")).distinct()
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    return restore_garbled(table(spark, d, "documents"))
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p6_found": p6_found,
+    "p6_groups": p6_groups,
     "p7_found": p7_found,
     "p8_found": p8_found,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
     "p9_uses": p9_uses,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_restored": p10_restored,
 }
 
 ORACLES = {
+    "p6_found": """WITH t AS (SELECT DISTINCT chunk_id, content, string_split(trim(regexp_replace(lower(content), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM chunk WHERE content IS NOT NULL),
+        g AS (SELECT DISTINCT chunk_id, content, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS h
+              FROM (SELECT chunk_id, content, w, unnest(range(1, len(w) - 1)) AS i FROM t WHERE len(w) >= 20)),
+        n AS (SELECT chunk_id, content, count(*) AS n FROM g GROUP BY 1, 2),
+        o AS (SELECT x.chunk_id AS a, x.content AS ca, y.chunk_id AS b, y.content AS cb, count(*) AS o FROM g x JOIN g y ON x.h = y.h AND x.chunk_id < y.chunk_id GROUP BY 1, 2, 3, 4)
+        SELECT DISTINCT a AS chunk_id_a, b AS chunk_id_b FROM o JOIN n p ON p.chunk_id = a AND p.content = ca JOIN n q ON q.chunk_id = b AND q.content = cb
+        WHERE o / (p.n + q.n - o) >= 0.5""",
     "p3_found": """SELECT DISTINCT c.chunk_id FROM chunk c JOIN split_limits s ON s.section_level = coalesce(c.section_level, 0)
         WHERE length(c.content) > s.max_chars""",
     "p7_found": """WITH a AS (SELECT DISTINCT id, lower(trim(username)) AS u, timestamp AS ts FROM user_answers WHERE username IS NOT NULL AND timestamp IS NOT NULL),
