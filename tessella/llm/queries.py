@@ -10,6 +10,7 @@ from tessella.llm.mixing import mix_shares, mix_sources
 from tessella.llm.neardup import expand_pairs, near_duplicates, near_groups
 from tessella.llm.nearest import nearest_in_time
 from tessella.llm.packing import container_fill, pack_documents
+from tessella.llm.pairs import broken_pairs
 from tessella.llm.split import split_oversized
 from tessella.tables import table
 
@@ -23,6 +24,11 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(table(spark, d, "chunk"), table(spark, d, "split_limits"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "test_database_open_minded").select("id", "question", F.col("expected_answer").alias("answer"))
+    return broken_pairs(items, table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang"))
+
+
 def _similar(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return near_duplicates(table(spark, d, "chunk"), id="chunk_id", text="content", threshold=0.5, shingle=3, min_words=20)
 
@@ -75,6 +81,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p4_found": p4_found,
     "p6_found": p6_found,
     "p6_groups": p6_groups,
     "p7_found": p7_found,
