@@ -14,7 +14,10 @@ from tessella.llm.shingles import Shingled, mix
 from tessella.operators.components import connected_components
 from tessella.session import materialize
 
-SYMBOLS, RADIUS, FINGERPRINTS = 4, 1, 10
+SYMBOLS, RADIUS, FINGERPRINTS = 5, 1, 12
+#: Bits of the array that tells which variants occur twice: 16 MB, whatever the number of texts.
+SHARED_BITS = 27
+RANGES = 64
 
 
 def variants(symbols: np.ndarray, radius: int, number: int) -> np.ndarray:
@@ -46,64 +49,122 @@ def _texts(batches: Iterator[pa.RecordBatch], k: int, min_words: int):
                 yield batch.column(0), s, rows, s.sequence[rows].view(np.int64)
 
 
-def _emit_keys(k: int, min_words: int, fingerprints: int, symbols: int, radius: int):
-    def run(batches):
-        seen: set[int] = set()
-        for _, s, rows, cls in _texts(batches, k, min_words):
-            new = np.array([not (c in seen or seen.add(c)) for c in cls.tolist()], dtype=bool)
-            rows, cls = rows[new], cls[new]
-            if not len(rows):
-                continue
+def _keys(batches, k: int, min_words: int, fingerprints: int, symbols: int, radius: int):
+    """Per batch the class ids that are new in this partition and all their variants."""
+    seen: set[int] = set()
+    for _, s, rows, cls in _texts(batches, k, min_words):
+        new = np.array([not (c in seen or seen.add(c)) for c in cls.tolist()], dtype=bool)
+        rows, cls = rows[new], cls[new]
+        if len(rows):
             signs = s.minima(rows, fingerprints * symbols)
-            keys = np.concatenate([variants(signs[:, t * symbols : (t + 1) * symbols], radius, t) for t in range(fingerprints)], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(cls, keys.shape[1]))], names=["key", "cls"])
+            yield cls, np.concatenate([variants(signs[:, t * symbols : (t + 1) * symbols], radius, t) for t in range(fingerprints)], axis=1)
+
+
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(64 - SHARED_BITS)).astype(np.int64)
+
+
+def _emit_slots(*how):
+    """Which slots of the shared bit array this partition's variants fall in, as sorted differences by range."""
+    width = 1 << (SHARED_BITS - RANGES.bit_length() + 1)
+
+    def flush(slots: list[np.ndarray]) -> pa.RecordBatch:
+        at, n = np.unique(np.concatenate(slots), return_counts=True)
+        cuts = np.searchsorted(at, np.arange(RANGES + 1) * width)
+        rows = []
+        for r in range(RANGES):
+            own, twice = at[cuts[r] : cuts[r + 1]] - r * width, n[cuts[r] : cuts[r + 1]] > 1
+            if len(own):
+                steps = np.diff(own, prepend=0)
+                kind = "<u2" if steps.max() < 1 << 16 else "<u4"
+                rows.append((r, kind, steps.astype(kind).tobytes(), np.packbits(twice).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.binary(), pa.binary()))], names=["r", "kind", "steps", "twice"])
+
+    def run(batches):
+        held, size = [], 0
+        for _, keys in _keys(batches, *how):
+            held.append(_slot(keys.ravel()))
+            size += keys.size
+            if size > 1 << 22:
+                yield flush(held)
+                held, size = [], 0
+        if held:
+            yield flush(held)
+
+    return run
+
+
+def _count_slots(batches):
+    """Of each range the slots that were met twice; holds two bit maps per range of this partition."""
+    width = 1 << (SHARED_BITS - RANGES.bit_length() + 1)
+    once: dict[int, np.ndarray] = {}
+    more: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for r, kind, steps, twice in zip(*(c.to_pylist() for c in batch.columns)):
+            at = np.cumsum(np.frombuffer(steps, kind).astype(np.int64))
+            own = once.setdefault(r, np.zeros(width, dtype=bool))
+            mine = more.setdefault(r, np.zeros(width, dtype=bool))
+            mine[at[own[at] | np.unpackbits(np.frombuffer(twice, np.uint8), count=len(at)).astype(bool)]] = True
+            own[at] = True
+    for r, mine in more.items():
+        yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([np.packbits(mine).tobytes()], pa.binary())], names=["r", "bits"])
+
+
+def _emit_keys(shared, *how):
+    """(key, class) of the variants whose slot was met twice."""
+
+    def run(batches):
+        bits = shared.value
+        for cls, keys in _keys(batches, *how):
+            at = _slot(keys.ravel())
+            hit = (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()[hit]), pa.array(np.repeat(cls, keys.shape[1])[hit])], names=["key", "cls"])
 
     return run
 
 
 def _collide(max_bucket: int):
+    """Rows sorted by (key, cls) to the pairs (a, b) of each key group; a group above max_bucket gives its classes as (a, null)."""
+
     def run(batches):
-        """Rows sorted by (key, cls): pairs of each key group, or a marker (key, null) for a group above max_bucket."""
-        rest_k, rest_c = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        rest_k, rest_c, hot_key = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+
+        def out(a: list[np.ndarray], b: list[np.ndarray], crowd: np.ndarray) -> pa.RecordBatch:
+            left = np.concatenate([*a, crowd])
+            null = np.arange(len(left)) >= len(left) - len(crowd)
+            return pa.RecordBatch.from_arrays([pa.array(left), pa.array(np.concatenate([*b, np.zeros(len(crowd), np.int64)]), mask=null)], names=["a", "b"])
 
         def pairs(k, c):
-            fresh = np.ones(len(k), dtype=bool)
-            fresh[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-            k, c = k[fresh], c[fresh]
             begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             size = np.diff(np.append(begin, len(k)))
-            hot = np.repeat(size > max_bucket, size)
-            out_a, out_b = [], []
+            hot = np.repeat((size > max_bucket) | (k[begin] == hot_key if hot_key is not None else False), size)
             keep = ~hot & np.repeat(size > 1, size)
             k2, c2 = k[keep], c[keep]
+            a, b = [], []
             for lag in range(1, max_bucket):
                 same = k2[lag:] == k2[:-lag]
                 if not same.any():
                     break
-                out_a.append(c2[:-lag][same])
-                out_b.append(c2[lag:][same])
-            marks = k[begin[size > max_bucket]]
-            a = np.concatenate([*out_a, marks])
-            b = np.concatenate([*out_b, np.zeros(len(marks), np.int64)])
-            null = np.arange(len(a)) >= len(a) - len(marks)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=null)], names=["a", "b"])
-
-        def trim(k, c):
-            """Of a group that is already above max_bucket, its first rows are enough to tell."""
-            fresh = np.ones(len(k), dtype=bool)
-            fresh[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-            k, c = k[fresh], c[fresh]
-            return (k[: max_bucket + 1], c[: max_bucket + 1])
+                a.append(c2[:-lag][same])
+                b.append(c2[lag:][same])
+            return out(a, b, c[hot])
 
         for batch in batches:
             k = np.concatenate([rest_k, batch.column(0).to_numpy(zero_copy_only=False)])
             c = np.concatenate([rest_c, batch.column(1).to_numpy(zero_copy_only=False)])
             if not len(k):
                 continue
+            fresh = np.ones(len(k), dtype=bool)
+            fresh[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+            k, c = k[fresh], c[fresh]
             cut = int(np.searchsorted(k, k[-1]))  # the last group may go on
             if cut:
                 yield pairs(k[:cut], c[:cut])
-            rest_k, rest_c = trim(k[cut:], c[cut:])
+            rest_k, rest_c = k[cut:], c[cut:]
+            if len(rest_k) > max_bucket or rest_k[0] == hot_key:  # already known as hot: needn't be held
+                hot_key = rest_k[0]
+                yield out([], [], rest_c)
+                rest_k, rest_c = rest_k[:0], rest_c[:0]
         if len(rest_k):
             yield pairs(rest_k, rest_c)
 
@@ -153,7 +214,7 @@ def _prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, *, id: str, text: str, threshold: float = 0.8, shingle: int = 5, min_words: int = 1,
-    fingerprints: int = FINGERPRINTS, symbols: int = SYMBOLS, radius: int = RADIUS, max_bucket: int = 256,
+    fingerprints: int = FINGERPRINTS, symbols: int = SYMBOLS, radius: int = RADIUS, max_bucket: int = 512,
 ) -> tuple[DataFrame, DataFrame]:
     """(links, members): pairs of text classes with their similarity, and the class of each id.
 
@@ -167,14 +228,17 @@ def near_duplicates(
     deletions); the variants are shuffled, classes that collide are
     deduplicated and verified exactly on their shingles. A pair of similarity
     J is a candidate with probability 1 - (1 - p)^fingerprints, p being the
-    chance that at least symbols - radius of the symbols agree.
+    chance that at least symbols - radius of the symbols agree. Most variants
+    occur once; a first pass marks the slots of a fixed bit array that are met
+    twice, and only variants in such slots are shuffled with their class.
 
     A key shared by more than ``max_bucket`` classes isn't expanded: the
     classes under such keys go through an exact prefix-filter join, in which
     text shared by all brings no candidates, so no link is lost there.
 
-    Texts are read twice rather than shuffled. The broadcast bit array that
-    picks the classes to verify has a fixed size.
+    Texts are read three times rather than shuffled. The broadcast bit arrays
+    (shared variants, classes to verify) have a fixed size; when they fill up,
+    more rows are shuffled, but the result stays the same.
 
     Rows with null id or text and texts of fewer than ``min_words`` words (or
     fewer than one shingle) take no part. Repeated rows count once; an id with
@@ -182,22 +246,28 @@ def near_duplicates(
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("t")).where(f"id is not null and t is not null and length(t) >= {2 * min_words - 1}")
-    keyed = rows.mapInArrow(_emit_keys(shingle, min_words, fingerprints, symbols, radius), "key long, cls long")
+    how = (shingle, min_words, fingerprints, symbols, radius)
+    counted = rows.mapInArrow(_emit_slots(*how), "r int, kind string, steps binary, twice binary").repartition("r").mapInArrow(_count_slots, "r int, bits binary")
+    width = 1 << (SHARED_BITS - RANGES.bit_length() - 2)
+    bits = np.zeros(RANGES * width, dtype=np.uint8)
+    for r in counted.toLocalIterator():  # at most RANGES rows of fixed size
+        bits[r["r"] * width : (r["r"] + 1) * width] = np.frombuffer(r["bits"], np.uint8)
+    keyed = rows.mapInArrow(_emit_keys(spark.sparkContext.broadcast(bits), *how), "key long, cls long")
     met = materialize(
         keyed.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_collide(max_bucket), "a long, b long").distinct()
     )
     cand = met.where("b is not null")
-    hot = met.where("b is null").select(F.col("a").alias("key"))
+    crowd = met.where("b is null").select(F.col("a").alias("cls"))
+    crowded = not crowd.isEmpty()
     asked = cand.select(F.explode(F.array("a", "b")).alias("cls"))
-    if not hot.isEmpty():
-        crowd = materialize(keyed.join(hot, "key", "left_semi").select("cls").distinct())
+    if crowded:
         asked = asked.unionByName(crowd)
     # a bit array of 2**24 bits over mix(cls); membership is verified by the joins below
     mask = (1 << 24) - 1
     probe = _class_bits(asked, mask)
     members = materialize(rows.mapInArrow(_emit_members(shingle, min_words, spark.sparkContext.broadcast(probe)), f"cls long, id {docs.schema[id].dataType.simpleString()}, shingles array<long>"))
     sets = members.where("shingles is not null").groupBy("cls").agg(F.first("shingles").alias("shingles"))
-    if not hot.isEmpty():
+    if crowded:
         cand = cand.unionByName(_prefix_pairs(sets.join(crowd, "cls", "left_semi"), threshold)).distinct()
     both = F.size(F.array_intersect("sa", "sb"))
     links = (
