@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import floor, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,8 @@ from tessella.operators.components import connected_components
 from tessella.session import materialize
 
 SYMBOLS, RADIUS, FINGERPRINTS = 5, 1, 12
-#: Bits of the array that tells which variants occur twice: 16 MB, whatever the number of texts.
-SHARED_BITS = 27
+#: Bits of the array that tells which variants occur twice: 32 MB, whatever the number of texts.
+SHARED_BITS = 28
 RANGES = 64
 
 
@@ -50,14 +51,14 @@ def _texts(batches: Iterator[pa.RecordBatch], k: int, min_words: int):
 
 
 def _keys(batches, k: int, min_words: int, fingerprints: int, symbols: int, radius: int):
-    """Per batch the class ids that are new in this partition and all their variants."""
+    """Per batch the class ids that are new in this partition, all their variants and their symbols."""
     seen: set[int] = set()
     for _, s, rows, cls in _texts(batches, k, min_words):
         new = np.array([not (c in seen or seen.add(c)) for c in cls.tolist()], dtype=bool)
         rows, cls = rows[new], cls[new]
         if len(rows):
             signs = s.minima(rows, fingerprints * symbols)
-            yield cls, np.concatenate([variants(signs[:, t * symbols : (t + 1) * symbols], radius, t) for t in range(fingerprints)], axis=1)
+            yield cls, np.concatenate([variants(signs[:, t * symbols : (t + 1) * symbols], radius, t) for t in range(fingerprints)], axis=1), signs
 
 
 def _slot(keys: np.ndarray) -> np.ndarray:
@@ -82,7 +83,7 @@ def _emit_slots(*how):
 
     def run(batches):
         held, size = [], 0
-        for _, keys in _keys(batches, *how):
+        for _, keys, _ in _keys(batches, *how):
             held.append(_slot(keys.ravel()))
             size += keys.size
             if size > 1 << 22:
@@ -111,62 +112,88 @@ def _count_slots(batches):
 
 
 def _emit_keys(shared, *how):
-    """(key, class) of the variants whose slot was met twice."""
+    """(key, class, sketch) of the variants whose slot was met twice; a sketch has eight bits of every symbol."""
 
     def run(batches):
         bits = shared.value
-        for cls, keys in _keys(batches, *how):
+        for cls, keys, signs in _keys(batches, *how):
             at = _slot(keys.ravel())
-            hit = (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()[hit]), pa.array(np.repeat(cls, keys.shape[1])[hit])], names=["key", "cls"])
+            hit = np.flatnonzero((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
+            sketch = mix(signs).astype(np.uint8)
+            whose = hit // keys.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()[hit]), pa.array(cls[whose]), _binary(sketch[whose])], names=["key", "cls", "sketch"])
 
     return run
 
 
-def _collide(max_bucket: int):
-    """Rows sorted by (key, cls) to the pairs (a, b) of each key group; a group above max_bucket gives its classes as (a, null)."""
+def _binary(rows: np.ndarray) -> pa.Array:
+    rows = np.ascontiguousarray(rows)
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows.tobytes())])
+
+
+def _fixed(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+
+
+def least_agreeing(n_symbols: int, threshold: float) -> int:
+    """How many eight-bit symbols of two sketches must agree; a pair at the threshold falls short about once in 25,000."""
+    p = threshold + (1 - threshold) / 256
+    return floor(n_symbols * p - 3.95 * sqrt(n_symbols * p * (1 - p)))
+
+
+def _collide(max_bucket: int, n_symbols: int, least: int):
+    """Rows sorted by (key, cls) to the pairs (a, b) of each key group whose sketches agree enough.
+
+    A group above max_bucket gives its classes as (a, null).
+    """
+    width = n_symbols
 
     def run(batches):
-        rest_k, rest_c, hot_key = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        rest_k, rest_c, rest_s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, width), np.uint8)
+        hot_key = None
 
         def out(a: list[np.ndarray], b: list[np.ndarray], crowd: np.ndarray) -> pa.RecordBatch:
             left = np.concatenate([*a, crowd])
             null = np.arange(len(left)) >= len(left) - len(crowd)
             return pa.RecordBatch.from_arrays([pa.array(left), pa.array(np.concatenate([*b, np.zeros(len(crowd), np.int64)]), mask=null)], names=["a", "b"])
 
-        def pairs(k, c):
+        def pairs(k, c, s):
             begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             size = np.diff(np.append(begin, len(k)))
             hot = np.repeat((size > max_bucket) | (k[begin] == hot_key if hot_key is not None else False), size)
-            keep = ~hot & np.repeat(size > 1, size)
-            k2, c2 = k[keep], c[keep]
+            keep = np.flatnonzero(~hot & np.repeat(size > 1, size))
+            k2, c2, s2 = k[keep], c[keep], s[keep]
             a, b = [], []
             for lag in range(1, max_bucket):
-                same = k2[lag:] == k2[:-lag]
-                if not same.any():
+                same = np.flatnonzero(k2[lag:] == k2[:-lag])
+                if not len(same):
                     break
-                a.append(c2[:-lag][same])
-                b.append(c2[lag:][same])
+                for part in np.array_split(same, len(same) // 100_000 + 1):
+                    part = part[(s2[part] == s2[part + lag]).sum(axis=1) >= least]
+                    a.append(c2[part])
+                    b.append(c2[part + lag])
             return out(a, b, c[hot])
 
         for batch in batches:
             k = np.concatenate([rest_k, batch.column(0).to_numpy(zero_copy_only=False)])
             c = np.concatenate([rest_c, batch.column(1).to_numpy(zero_copy_only=False)])
+            s = np.concatenate([rest_s, _fixed(batch.column(2), width)])
             if not len(k):
                 continue
             fresh = np.ones(len(k), dtype=bool)
             fresh[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-            k, c = k[fresh], c[fresh]
+            k, c, s = k[fresh], c[fresh], s[fresh]
             cut = int(np.searchsorted(k, k[-1]))  # the last group may go on
             if cut:
-                yield pairs(k[:cut], c[:cut])
-            rest_k, rest_c = k[cut:], c[cut:]
+                yield pairs(k[:cut], c[:cut], s[:cut])
+            rest_k, rest_c, rest_s = k[cut:], c[cut:], s[cut:]
             if len(rest_k) > max_bucket or rest_k[0] == hot_key:  # already known as hot: needn't be held
                 hot_key = rest_k[0]
                 yield out([], [], rest_c)
-                rest_k, rest_c = rest_k[:0], rest_c[:0]
+                rest_k, rest_c, rest_s = rest_k[:0], rest_c[:0], rest_s[:0]
         if len(rest_k):
-            yield pairs(rest_k, rest_c)
+            yield pairs(rest_k, rest_c, rest_s)
 
     return run
 
@@ -214,7 +241,7 @@ def _prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, *, id: str, text: str, threshold: float = 0.8, shingle: int = 5, min_words: int = 1,
-    fingerprints: int = FINGERPRINTS, symbols: int = SYMBOLS, radius: int = RADIUS, max_bucket: int = 512,
+    fingerprints: int = FINGERPRINTS, symbols: int = SYMBOLS, radius: int = RADIUS, max_bucket: int = 2048,
 ) -> tuple[DataFrame, DataFrame]:
     """(links, members): pairs of text classes with their similarity, and the class of each id.
 
@@ -230,7 +257,9 @@ def near_duplicates(
     J is a candidate with probability 1 - (1 - p)^fingerprints, p being the
     chance that at least symbols - radius of the symbols agree. Most variants
     occur once; a first pass marks the slots of a fixed bit array that are met
-    twice, and only variants in such slots are shuffled with their class.
+    twice, and only variants in such slots are shuffled with their class. Pairs
+    that meet are first compared on sketches of all their symbols, which drops
+    far pairs and about one in 25,000 of those at the threshold.
 
     A key shared by more than ``max_bucket`` classes isn't expanded: the
     classes under such keys go through an exact prefix-filter join, in which
@@ -252,10 +281,10 @@ def near_duplicates(
     bits = np.zeros(RANGES * width, dtype=np.uint8)
     for r in counted.toLocalIterator():  # at most RANGES rows of fixed size
         bits[r["r"] * width : (r["r"] + 1) * width] = np.frombuffer(r["bits"], np.uint8)
-    keyed = rows.mapInArrow(_emit_keys(spark.sparkContext.broadcast(bits), *how), "key long, cls long")
-    met = materialize(
-        keyed.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_collide(max_bucket), "a long, b long").distinct()
-    )
+    keyed = rows.mapInArrow(_emit_keys(spark.sparkContext.broadcast(bits), *how), "key long, cls long, sketch binary")
+    n_symbols = fingerprints * symbols
+    collide = _collide(max_bucket, n_symbols, least_agreeing(n_symbols, threshold))
+    met = materialize(keyed.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(collide, "a long, b long").distinct())
     cand = met.where("b is not null")
     crowd = met.where("b is null").select(F.col("a").alias("cls"))
     crowded = not crowd.isEmpty()
