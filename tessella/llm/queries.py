@@ -11,6 +11,7 @@ from tessella.llm.neardup import expand_pairs, near_duplicates, near_groups
 from tessella.llm.nearest import nearest_in_time
 from tessella.llm.packing import container_fill, pack_documents
 from tessella.llm.pairs import broken_pairs
+from tessella.llm.scans import scan_noise
 from tessella.llm.split import split_oversized
 from tessella.tables import table
 
@@ -29,6 +30,21 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return broken_pairs(items, table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang"))
 
 
+def _scanned(spark: SparkSession, d: str, with_text: bool) -> DataFrame:
+    return scan_noise(table(spark, d, "chunk").select("chunk_id", "title", "content", F.col("metadata.file_name").alias("file")), with_text=with_text)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scanned(spark, d, False).select("chunk_id", "field", "noise")
+
+
+def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return (
+        _scanned(spark, d, True).groupBy("chunk_id", "field")
+        .agg(F.array_join(F.array_sort(F.collect_set("noise")), ",").alias("noise"), F.first("repaired").alias("repaired"))  # four kinds at most
+    )
+
+
 def _similar(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return near_duplicates(table(spark, d, "chunk"), id="chunk_id", text="content", threshold=0.5, shingle=3, min_words=20)
 
@@ -82,6 +98,8 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p5_repaired": p5_repaired,
     "p6_found": p6_found,
     "p6_groups": p6_groups,
     "p7_found": p7_found,
