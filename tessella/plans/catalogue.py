@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessella.plans import records
+from tessella.plans import corpus, records
 
-_MODULES = (records,)
+_MODULES = (records, corpus)
 
 QUERIES = {name: run for m in _MODULES for name, run in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
