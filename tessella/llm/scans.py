@@ -40,7 +40,9 @@ _ENDS = re.compile(r"[.!?;:,…”\"')]$")
 _SUSPENDED = frozenset("or and und oder et ou y o e bis sowie to".split())
 _TITLE_HYPHEN = re.compile(rf"([^\W\d_]+)[{_HYPHENS}]\s+([a-zà-öø-ÿﬁ-ﬆ][^\W\d_]*)")
 _LEADER = re.compile(rf"(?:\s*\.{{3,}}\s*|\s{{2,}}|\t+|\s*\n\s*)({_NUMBER})\s*$|\s+([-–—~]\s*\d{{1,4}}\s*[-–—~])\s*$", re.I)
-_SYMPTOM = re.compile(rf"[^\W\d_][0-9!|¢€][^\W\d_]|[¢øﬀ-ﬆ]|vv|[^\W\d_][{_HYPHENS}][ ]?\r?\n\s*[a-z]|\xad|(?m:^\s*(?:[-–—]\s*\d{{1,4}}\s*[-–—]|(?:page|p\.)\s*\d{{1,4}}.{{0,12}}|\d{{1,4}} / \d{{1,4}}|\[\d{{1,4}}\])\s*$)", re.I)
+_ODD_TOKEN = re.compile(r"[^\W\d_][0-9!|¢€][^\W\d_]|[¢øﬀ-ﬆ\xad]|vv|[^\W\d_][‐¬]$", re.I)
+_BROKEN_LINE = re.compile(rf"[^\W\d_][{_HYPHENS}][ ]?\r?\n\s*[a-z]")
+_LOWER_WORD = re.compile(r"(?:^|\s)[a-zà-öø-ÿ][^\s\d]{3}")
 _EDGE = ".,;:()[]{}\"“”„‘’'«»…?<>*_`~"
 _CODE = re.compile(r"[A-Z0-9]{1,4}-\d+|[-+±~]?\d[\d.,:/%×x-]*[^\W\d_]{0,3}[\d%]?|\d+(?:st|nd|rd|th)", re.I)
 _LIGATURE = re.compile("[ﬀ-ﬆ]")
@@ -93,33 +95,45 @@ def may_be_header(text: str) -> bool:
     return bool(long) and (text.isupper() or text.islower() or all(w[0].isupper() or not w[0].isalpha() for w in long))
 
 
-def foreign_lines(lines: list[str]) -> Iterator[tuple[int, str, bool]]:
+def foreign_lines(lines: list[str], lower: bool = True) -> Iterator[tuple[int, str, bool]]:
     """(line number, text without page number, page number beside it) of lines that may be page furniture.
 
     The text is empty for lines that hold nothing but a page number. Numbers
-    among other numbers are a list, not page numbers.
+    among other numbers are a list, not page numbers. Without ``lower``, lines
+    wholly in lower case are passed over.
     """
-    full = [i for i, line in enumerate(lines) if line.strip()]
-    for at, i in enumerate(full):
-        line = lines[i]
-        if len(line) > 100:
+    for i, line in enumerate(lines):
+        if len(line) > 100 or not line or line.isspace():
             continue
-        if PAGE.fullmatch(line):
-            near = [lines[j] for j in full[max(0, at - 1) : at] + full[at + 1 : at + 2]]
-            if _BARE.fullmatch(line) and any(_BARE.fullmatch(x) for x in near):
+        if len(line) <= 28 and PAGE.fullmatch(line):
+            if _BARE.fullmatch(line) and (_BARE.fullmatch(_beside(lines, i, -1)) or _BARE.fullmatch(_beside(lines, i, 1))):
                 continue
             yield i, "", True
             continue
+        if line.islower():
+            if not lower:
+                continue
+        elif not line.isupper() and _LOWER_WORD.search(line):
+            continue
         rest, page = split_page(line)
         if may_be_header(rest):
             if not page and rest.islower():
-                before, after = (lines[full[at - 1]] if at else "."), (lines[full[at + 1]] if at + 1 < len(full) else "")
-                alone = not _ENDS.search(before.rstrip()) or (i + 1 < len(lines) and not lines[i + 1].strip()) or not after
-                if not alone:
+                after = i + 1 < len(lines) and lines[i + 1].strip()
+                if after and _ENDS.search(_beside(lines, i, -1).rstrip() or "."):
                     continue
             yield i, rest, page
 
 
+def _beside(lines: list[str], i: int, step: int) -> str:
+    """The nearest line with text before or after line i, or an empty string."""
+    i += step
+    while 0 <= i < len(lines):
+        if lines[i] and not lines[i].isspace():
+            return lines[i]
+        i += step
+    return ""
+
+
 class Model:
     """What the passes over all chunks know: vocabulary, known words and recurring header lines.
 
@@ -132,6 +146,8 @@ class Model:
         self.vocabulary, self.known, self.headers = vocabulary, known, headers
         self.trie = Trie(list(vocabulary))
         self.fixes: dict[str, str | None] = {}
+        self.seen: set[str] = set()
+        self.tokens: dict[str, str] = {}
 
     @staticmethod
     def _slots(text: str, bits: int) -> tuple[int, int, int]:
@@ -155,7 +171,7 @@ class Model:
             return True
         if _CODE.fullmatch(word):
             return len(low) < 4 or len(_DIGIT.findall(low)) != 1 or plain(low) not in self.vocabulary
-        if not low.isascii() or not low.isalpha():
+        if len(low) <= 40 and _ODD_CHAR.search(low):
             flat = plain(low)
             if flat != low and (_LIGATURE.search(low) or low not in self.vocabulary) and flat in self.vocabulary:
                 return False
@@ -164,10 +180,33 @@ class Model:
         parts = re.split(r"[-‐/’']", low)
         return len(parts) > 1 and all(len(p) < 3 or self.is_known(p) for p in parts)
 
+    def read(self, texts: list[str]) -> None:
+        """Find the corrections of all tokens of the texts that weren't seen before."""
+        if len(self.seen) > 1_000_000:
+            self.seen, self.tokens, self.fixes = set(), {}, {}
+        new: set[str] = set()
+        for text in texts:
+            new.update(text.split())
+        new -= self.seen
+        self.seen |= new
+        asked = []
+        words: set[str] = set()
+        for token in new:
+            inner = core(token)
+            if len(inner) <= 60 and not self.fine(inner):
+                parts = [inner, *(p for p in re.split(r"[-‐/]", inner) if len(p) > 2 and not self.fine(p))]
+                words.update(p.lower() for p in parts)
+                asked.append((token, inner))
+        self.learn(words)
+        for token, inner in asked:
+            good = self.fix(inner)
+            if good is None and re.search(r"[-‐/]", inner):
+                good = "".join(p if self.fine(p) else self.fix(p) or p for p in re.split(r"([-‐/])", inner))
+            if good is not None and good != inner:
+                self.tokens[token] = token.replace(inner, good)
+
     def learn(self, words: set[str]) -> None:
         """Find the corrections of unknown words (lower case), all at once."""
-        if len(self.fixes) > 200_000:
-            self.fixes.clear()
         todo = [w for w in words if w not in self.fixes]
         asked: list[tuple[str, str]] = []
         for w in todo:
@@ -245,6 +284,16 @@ def _words_and_lines(batches):
     raw: Counter[str] = Counter()
     noisy: Counter[str] = Counter()
     lines: Counter[str] = Counter()
+    seen: set[str] = set()
+    odd: set[str] = set()
+
+    def symptoms(tokens: list[str]) -> bool:
+        new = set(tokens) - seen
+        if new:
+            odd.update(t for t in new if len(t) < 60 and _ODD_TOKEN.search(t))
+            seen.update(new)
+        return not odd.isdisjoint(tokens)
+
 
     def flush():
         words: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
@@ -256,27 +305,33 @@ def _words_and_lines(batches):
             tokens.clear()
         rows = [("w", w, words[0][w], words[1][w]) for w in words[0]] + [("l", k, n, 0) for k, n in lines.items()]
         lines.clear()
+        seen.clear()
+        odd.clear()
         types = (pa.string(), pa.string(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["kind", "key", "n", "noisy"])
 
     for batch in batches:
         for title, content, file in zip(*(c.to_pylist() for c in batch.columns)):
             keys = set()
-            scanned = bool(title) and ("\n" in title or bool(_SYMPTOM.search(title)))
+            heading = title.split() if title else []
+            scanned = bool(title) and ("\n" in title or symptoms(heading))
             if content:
                 if "\n" in content:
-                    for _, text, _ in foreign_lines(content.split("\n")):
-                        if text and not text.islower():
+                    for _, text, page in foreign_lines(content.split("\n"), lower=False):
+                        if text:
                             keys.add(line_key(text))
-                scanned = scanned or bool(_SYMPTOM.search(content))
-                (noisy if scanned else raw).update(content.split())
+                        scanned = scanned or page
+                    scanned = scanned or ("-\n" in content and bool(_BROKEN_LINE.search(content)))
+                tokens = content.split()
+                scanned = symptoms(tokens) or scanned
+                (noisy if scanned else raw).update(tokens)
             if title:
                 keys.update(line_key(p) for p in title_parts(title) if may_be_header(p) and not p.islower())
-                (noisy if scanned else raw).update(title.split())
+                (noisy if scanned else raw).update(heading)
             for k in keys:
                 lines[f"{file}\n{k}"] += 1
                 lines["\n" + k] += 1
-        if len(raw) + len(noisy) + len(lines) > 500_000:
+        if len(raw) + len(noisy) + len(lines) + len(seen) > 1_000_000:
             yield flush()
     yield flush()
 
@@ -334,6 +389,7 @@ def _bits(keys: DataFrame, bits: int) -> np.ndarray:
 
 _TOKEN = re.compile(r"\S+")
 _DIGIT = re.compile(r"\d")
+_ODD_CHAR = re.compile(r"[^a-z'’\-]")
 
 
 class Repair:
@@ -409,25 +465,10 @@ class Repair:
 
     def words(self, text: str) -> str:
         """The text with misread words corrected."""
-
-        def one(m: re.Match) -> str:
-            token = m[0]
-            inner = core(token)
-            if self.model.fine(inner):
-                return token
-            good = self.model.fix(inner)
-            if good is None:
-                parts = re.split(r"([-‐/])", inner)
-                if len(parts) > 1:
-                    fixed = [p if self.model.fine(p) else self.model.fix(p) or p for p in parts]
-                    if fixed != parts:
-                        self.kinds.add("ocr")
-                        return token.replace(inner, "".join(fixed))
-                return token
-            self.kinds.add("ocr")
-            return token.replace(inner, good)
-
-        return _TOKEN.sub(one, text)
+        if self.model.tokens.keys().isdisjoint(text.split()):
+            return text
+        self.kinds.add("ocr")
+        return _TOKEN.sub(lambda m: self.model.tokens.get(m[0], m[0]), text)
 
     def content(self, text: str) -> str:
         lines = self.lines(text)
@@ -481,19 +522,6 @@ def _plausible(lines: list[str], i: int) -> bool:
     return bool(lines[i].strip()) and not (len(lines) == 1)
 
 
-def unknown_words(model: Model, texts: list[str]) -> set[str]:
-    out = set()
-    seen: set[str] = set()
-    for text in texts:
-        seen.update(text.split())
-    for token in seen:
-        w = core(token)
-        if not model.fine(w):
-            out.add(w.lower())
-            out.update(p for p in re.split(r"[-‐/]", w.lower()) if len(p) > 2 and not model.fine(p))
-    return out
-
-
 def _scan(shared, with_text: bool):
     def run(batches):
         model = shared.value
@@ -505,7 +533,7 @@ def _scan(shared, with_text: bool):
                 for cid, title, content, file in zip(*(c.to_pylist() for c in part.columns)):
                     a, b = Repair(model, file), Repair(model, file)
                     ready.append((cid, a, title, b, content, b.lines(content) if content else []))
-                model.learn(unknown_words(model, [x for r in ready for x in [r[2] or "", *r[5]]]))
+                model.read([x for r in ready for x in (r[2], *r[5]) if x])
                 for cid, a, title, b, content, lines in ready:
                     good_title = a.title(title) if title else title
                     if with_text:
