@@ -47,7 +47,8 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared file system; nothing happens once the session is gone."""
     try:
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
@@ -68,5 +69,5 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    atexit.register(_delete, spark, path)
+    atexit.register(delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
