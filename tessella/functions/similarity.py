@@ -3,25 +3,29 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.text import ngrams, rouge_text, sentences, squeeze
 
 
-def overlap_scores(reference: Column, candidate: Column, n: int) -> tuple[Column, Column, Column]:
-    """Precision, recall and F of the distinct word n-grams of two texts."""
-    a, b = ngrams(F.split(reference, " "), n), ngrams(F.split(candidate, " "), n)
-    both = F.size(F.array_intersect(a, b))
-    p, r = F.coalesce(F.try_divide(both, F.size(b)), F.lit(0.0)), F.coalesce(F.try_divide(both, F.size(a)), F.lit(0.0))
-    return p, r, 2.0 * p * r / (p + r + 1e-8)
+def rouge_n(df: DataFrame, key: str, reference: Column, candidate: Column, sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """(key, rouge<n>_p, rouge<n>_r, rouge<n>_f): overlap of distinct word n-grams.
 
-
-def rouge_n(reference: Column, candidate: Column, n: int) -> Column:
-    """Struct (p, r, f) of ROUGE-n, each the larger of the raw and the normalised texts' value."""
-    raw = overlap_scores(squeeze(F.coalesce(reference, F.lit(""))), squeeze(F.coalesce(candidate, F.lit(""))), n)
-    flat = overlap_scores(rouge_text(F.coalesce(reference, F.lit(""))), rouge_text(F.coalesce(candidate, F.lit(""))), n)
-    return F.struct(*[F.greatest(x, y).alias(c) for x, y, c in zip(raw, flat, "prf")])
+    Each value is the larger of the raw and the normalised texts' one; null and
+    blank texts score 0. Every n-gram array is made once, in a step of its own.
+    """
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    forms = {"raw": squeeze, "flat": rouge_text}
+    words = df.select(key, *[F.split(form(blank(c)), " ").alias(f"{name}_{side}") for name, form in forms.items() for side, c in (("a", reference), ("b", candidate))])
+    tags = [(f"{name}{n}", name, n) for name in forms for n in sizes]
+    grams = words.select(key, *[ngrams(F.col(f"{name}_{side}"), n).alias(f"{tag}_{side}") for tag, name, n in tags for side in "ab"])
+    sizes_ = grams.select(key, *[x for tag, _, _ in tags for x in (F.size(F.array_intersect(f"{tag}_a", f"{tag}_b")).alias(f"{tag}_n"), F.size(f"{tag}_a").alias(f"{tag}_la"), F.size(f"{tag}_b").alias(f"{tag}_lb"))])
+    share = lambda tag, of: F.coalesce(F.try_divide(f"{tag}_n", f"{tag}_l{of}"), F.lit(0.0))
+    pr = sizes_.select(key, *[x for tag, _, _ in tags for x in (share(tag, "b").alias(f"{tag}_p"), share(tag, "a").alias(f"{tag}_r"))])
+    f = lambda tag: 2.0 * F.col(f"{tag}_p") * F.col(f"{tag}_r") / (F.col(f"{tag}_p") + F.col(f"{tag}_r") + 1e-8)
+    best = lambda n, of: F.greatest(*[of(f"{name}{n}") for name in forms])
+    return pr.select(key, *[best(n, (lambda tag, c=c: F.col(f"{tag}_{c}")) if c != "f" else f).alias(f"rouge{n}_{c}") for n in sizes for c in "prf"])
 
 
 def lcs(a: list[str], b: list[str]) -> int:

@@ -33,14 +33,14 @@ def find_orphans(refs: DataFrame, parents: DataFrame, *, max_bits: int = MAX_BIT
     )
     asked = refs.where(F.col("ref_id").isNotNull() & (F.trim("ref_id") != ""))
     bloom = BloomFilter.build(parents.select("key"), "key", max_bits=max_bits)
-    probed = bloom.probe(asked, "ref_id", "_maybe")
-    proven = probed.where(~F.col("_maybe")).drop("_maybe")
-    open_ = probed.where("_maybe").drop("_maybe")
+    probed = bloom.probe(asked, "ref_id", "__may_have_parent")
+    proven = probed.where("not __may_have_parent").drop("__may_have_parent")
+    open_ = probed.where("__may_have_parent").drop("__may_have_parent").alias("r")
     verified = open_.join(
-        live,
-        (F.col("ref_id") == F.col("_key"))
-        & (F.col("_from") <= F.col("at"))
-        & (F.col("_to").isNull() | (F.col("_to") > F.col("at"))),
+        live.alias("p"),
+        (F.col("r.ref_id") == F.col("p._key"))
+        & (F.col("p._from") <= F.col("r.at"))
+        & (F.col("p._to").isNull() | (F.col("p._to") > F.col("r.at"))),
         "left_anti",
     )
     return proven.unionByName(verified)

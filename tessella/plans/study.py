@@ -199,7 +199,7 @@ def _cross(source: str, row: str, column: str, values) -> str:
         LEFT JOIN {source} m ON m.{row} = r.{row} AND m.{column} = v.v GROUP BY r.{row}, v.v, t.total"""
 
 
-_SUS = f'WITH {_E}, z AS (SELECT id, "user", ' + " + ".join(f"({_points(q)})" for q in range(1, 11)) + " AS sus_score FROM e)"
+_SUS = f'WITH {_E}, z AS (SELECT id, "user", (' + " + ".join(f"({_points(q)})" for q in range(1, 11)) + ")::DOUBLE AS sus_score FROM e)"
 ORACLES = {
     "task_completion": _T + 'SELECT "user", task_id, model, round(minutes, 6) AS minutes, attempts FROM t WHERE minutes <= 10',
     "completion_summary": _T + f"SELECT {_SUM} FROM t WHERE minutes <= 10",

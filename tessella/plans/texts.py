@@ -81,8 +81,8 @@ def _items(spark, d):
 
 def rouge12(spark, d):
     """ROUGE-1 and ROUGE-2 of question and answer of every item."""
-    one, two = (Y.rouge_n(F.col("expected_answer"), F.col("question"), n) for n in (1, 2))
-    return _items(spark, d).select("id", one.alias("a"), two.alias("b")).select("id", *(F.round(f"{s}.{c}", 5).alias(f"rouge{n}_{c}") for s, n in (("a", 1), ("b", 2)) for c in "prf"))
+    scores = Y.rouge_n(_items(spark, d), "id", F.col("expected_answer"), F.col("question"))
+    return scores.select("id", *(F.round(c, 5).alias(c) for c in scores.columns[1:]))
 
 
 def generation_summary(spark, d):

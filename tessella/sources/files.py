@@ -35,7 +35,7 @@ def read_chunks(spark: SparkSession, paths: str | list[str], schema: str = CHUNK
 def read_bad_json(spark: SparkSession, paths: str | list[str], schema: str = CHUNK) -> DataFrame:
     """(source_file, record) of files that couldn't be parsed."""
     rows = spark.read.schema(schema + ", _bad string").options(multiLine=True, recursiveFileLookup=True, pathGlobFilter="*.json*", mode="PERMISSIVE", columnNameOfCorruptRecord="_bad").json(paths)
-    return rows.where("_bad is not null").select(F.col("_metadata.file_name").alias("source_file"), F.col("_bad").alias("record"))
+    return rows.where("_bad is not null and chunk_id is null").select(F.col("_metadata.file_name").alias("source_file"), F.col("_bad").alias("record"))
 
 
 def read_lessons(spark: SparkSession, path: str) -> DataFrame:
