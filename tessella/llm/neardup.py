@@ -7,6 +7,7 @@ from itertools import combinations
 from math import floor, sqrt
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,9 @@ from tessella.llm.shingles import Shingled, mix
 from tessella.operators.components import connected_components
 from tessella.session import materialize
 
-SYMBOLS, RADIUS, FINGERPRINTS = 5, 1, 12
+SYMBOLS, RADIUS, FINGERPRINTS = 4, 1, 14
+#: Symbols of the second, finer sketch.
+FINE = 128
 #: Bits of the array that tells which variants occur twice: 32 MB, whatever the number of texts.
 SHARED_BITS = 28
 RANGES = 64
@@ -204,9 +207,14 @@ def _emit_members(k: int, min_words: int, bloom):
         for ids, s, rows, cls in _texts(batches, k, min_words):
             wanted = bloom.value(cls)
             new = np.array([w and not (c in seen or seen.add(c)) for c, w in zip(cls.tolist(), wanted.tolist())], dtype=bool)
-            sets = iter(s.sets(rows[new]))
+            fresh = rows[new]
+            sets, fine = iter(s.sets(fresh)), iter(mix(s.minima(fresh, FINE)).astype(np.uint8))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cls), ids.take(pa.array(rows)), pa.array([next(sets).view(np.int64) if n else None for n in new], pa.list_(pa.int64()))], names=["cls", "id", "shingles"]
+                [
+                    pa.array(cls), ids.take(pa.array(rows)), pa.array([next(sets).view(np.int64) if n else None for n in new], pa.list_(pa.int64())),
+                    pa.array([next(fine).tobytes() if n else None for n in new], pa.binary()),
+                ],
+                names=["cls", "id", "shingles", "fine"],
             )
 
     return run
@@ -241,7 +249,7 @@ def _prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, *, id: str, text: str, threshold: float = 0.8, shingle: int = 5, min_words: int = 1,
-    fingerprints: int = FINGERPRINTS, symbols: int = SYMBOLS, radius: int = RADIUS, max_bucket: int = 2048,
+    fingerprints: int = FINGERPRINTS, symbols: int = SYMBOLS, radius: int = RADIUS, max_bucket: int = 4096,
 ) -> tuple[DataFrame, DataFrame]:
     """(links, members): pairs of text classes with their similarity, and the class of each id.
 
@@ -258,8 +266,8 @@ def near_duplicates(
     chance that at least symbols - radius of the symbols agree. Most variants
     occur once; a first pass marks the slots of a fixed bit array that are met
     twice, and only variants in such slots are shuffled with their class. Pairs
-    that meet are first compared on sketches of all their symbols, which drops
-    far pairs and about one in 25,000 of those at the threshold.
+    that meet are first compared on two sketches of their symbols, which drop
+    far pairs and about one in 12,000 of those at the threshold.
 
     A key shared by more than ``max_bucket`` classes isn't expanded: the
     classes under such keys go through an exact prefix-filter join, in which
@@ -294,13 +302,29 @@ def near_duplicates(
     # a bit array of 2**24 bits over mix(cls); membership is verified by the joins below
     mask = (1 << 24) - 1
     probe = _class_bits(asked, mask)
-    members = materialize(rows.mapInArrow(_emit_members(shingle, min_words, spark.sparkContext.broadcast(probe)), f"cls long, id {docs.schema[id].dataType.simpleString()}, shingles array<long>"))
-    sets = members.where("shingles is not null").groupBy("cls").agg(F.first("shingles").alias("shingles"))
+    members = materialize(
+        rows.mapInArrow(_emit_members(shingle, min_words, spark.sparkContext.broadcast(probe)), f"cls long, id {docs.schema[id].dataType.simpleString()}, shingles array<long>, fine binary")
+    )
+    fine = members.where("fine is not null").groupBy("cls").agg(F.first("fine").alias("fine"))
+    enough = least_agreeing(FINE, threshold)
+
+    def agree(x: pd.Series, y: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype="int64")
+        p, q = (np.frombuffer(b"".join(v), np.uint8).reshape(len(v), FINE) for v in (x, y))
+        return pd.Series((p == q).sum(axis=1))
+
+    near = materialize(
+        cand.join(fine.select(F.col("cls").alias("a"), F.col("fine").alias("fa")), "a").join(fine.select(F.col("cls").alias("b"), F.col("fine").alias("fb")), "b")
+        .where(F.pandas_udf(agree, "long")("fa", "fb") >= enough).select("a", "b")
+    )
+    sets = members.where("shingles is not null")
     if crowded:
-        cand = cand.unionByName(_prefix_pairs(sets.join(crowd, "cls", "left_semi"), threshold)).distinct()
+        near = materialize(near.unionByName(_prefix_pairs(sets.join(crowd, "cls", "left_semi").groupBy("cls").agg(F.first("shingles").alias("shingles")), threshold)).distinct())
+    sets = sets.join(near.select(F.explode(F.array("a", "b")).alias("cls")), "cls", "left_semi").groupBy("cls").agg(F.first("shingles").alias("shingles"))
     both = F.size(F.array_intersect("sa", "sb"))
     links = (
-        cand.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a")
+        near.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a")
         .join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b")
         .where((F.size("sa") >= threshold * F.size("sb")) & (F.size("sb") >= threshold * F.size("sa")))
         .select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("sizes"))
