@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -68,6 +69,17 @@ def semantic_chunks(spark, d):
     return C.explode_pieces(_docs(spark, d), "doc_id", "text", C.semantic_split).select("doc_id", "chunk_index", "total_chunks", "content")
 
 
+def semantic_adjacent_sim(spark, d):
+    """Mean similarity of neighbouring sentences of every document with two or more."""
+
+    @F.pandas_udf("double")
+    def mean(texts: pd.Series) -> pd.Series:
+        near = [C.adjacent_similarity(C.split_sentences(t)) for t in texts]
+        return pd.Series([sum(x) / len(x) if x else None for x in near], dtype="float64")
+
+    return _docs(spark, d).where("text is not null").select("doc_id", F.round(mean("text"), 6).alias("mean_similarity")).where("mean_similarity is not null")
+
+
 def chunking_compare(spark, d):
     """Both chunkings of the documents that have both: chunk counts and mean lengths."""
     a = C.explode_pieces(_docs(spark, d), "doc_id", "text", C.recursive_split).groupBy("doc_id").agg(F.count("*").alias("n_recursive"), F.round(F.avg("chars"), 6).alias("mean_recursive"))
@@ -228,7 +240,7 @@ def model_assignment(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        md_clean, rouge_preprocess, sentence_split, section_extract_lenient, section_chunks, recursive_chunks, recursive_chunks_overlap, window_chunks, semantic_chunks, chunking_compare,
+        md_clean, rouge_preprocess, sentence_split, section_extract_lenient, section_chunks, recursive_chunks, recursive_chunks_overlap, window_chunks, semantic_chunks, semantic_adjacent_sim, chunking_compare,
         rouge12, generation_summary, rouge_l, sentence_rouge_l, judge_score_parse, url_filename, safe_title, download_links, download_url_resolve, log_line_pairs, log_url_scan, html_links,
         lesson_text, prototype_text, lesson_scan, union_sources, incremental_anti, existing_semi, shared_files, model_assignment,
     )

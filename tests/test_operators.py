@@ -330,6 +330,17 @@ def test_html_fields(spark):
     assert one(spark, '<a href="/x/downloads/a.pdf?b">q</a><a href="/y">z</a>', html.download_links) == ["/x/downloads/a.pdf?b"]
 
 
+def test_sql_functions(spark):
+    from tessella.functions.register import register_functions
+
+    assert "section_table" in register_functions(spark)
+    row = spark.sql("SELECT recursive_split(repeat('ab. ', 500)) AS p, rouge_l_f('a b', 'a b') AS f, split_sentences('A b. C d.') AS s").first()
+    assert len(row["p"]) == 2 and row["f"] > 0.99 and row["s"] == ["A b.", "C d."]
+    text = "# T\none two three four five six seven eight"
+    assert spark.sql(f"SELECT * FROM section_table('{text}')").first()["title"] == "T"
+    assert spark.sql("SELECT count(*) FROM piece_table(repeat('ab. ', 500), 100)").first()[0] > 10
+
+
 def test_models(spark):
     df = spark.createDataFrame([("pump valve", "The pump failed. Birds sing"), (None, None)], "q string, c string")
     rows = df.select(M.embed(F.col("q"), M.HashingEmbedder(16)).alias("v"), M.generate(F.col("q"), F.col("c"), M.ExtractiveGenerator()).alias("a"), M.judge(F.col("q"), F.col("c"), F.col("c"), M.OverlapJudge()).alias("j")).collect()
