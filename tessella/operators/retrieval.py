@@ -76,6 +76,10 @@ def metrics_by_query(retrieved: DataFrame, relevant: DataFrame, *, match: str =
     )
     n_got, n_rel = got.groupBy("query_id").agg(F.count("*").alias("n_retrieved")), rel.groupBy("query_id").agg(F.count("*").alias("n_relevant"))
     all_ = n_rel.join(n_got, "query_id", "left").join(met, "query_id", "left").na.fill(0, ["n_retrieved", "found"])
+    return _scores(all_)
+
+
+def _scores(all_: DataFrame) -> DataFrame:
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("n_relevant", "n_retrieved").cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + 1.0))
     r = lambda c, n: F.round(F.coalesce(c, F.lit(0.0)), 6).alias(n)
     return all_.select(
@@ -85,6 +89,25 @@ def metrics_by_query(retrieved: DataFrame, relevant: DataFrame, *, match: str =
     )
 
 
+def label_metrics(retrieved: DataFrame, labels: DataFrame) -> DataFrame:
+    """The metrics of ``metrics_by_query`` where all other rows of the query's label are relevant.
+
+    retrieved: (query_id, doc_id, rank), without the query itself; labels: (id,
+    label). Relevant rows are counted per label, never listed: only retrieved
+    rows are joined with their labels. Queries whose label is theirs alone are
+    left out.
+    """
+    n_of = labels.groupBy("label").agg((F.count("*") - 1).alias("n_relevant")).where("n_relevant > 0")
+    own = labels.select(F.col("id").alias("query_id"), F.col("label").alias("own"))
+    theirs = labels.select(F.col("id").alias("doc_id"), F.col("label").alias("its"))
+    same = F.col("own") == F.col("its")
+    per = retrieved.join(own, "query_id").join(theirs, "doc_id").groupBy("query_id", "own").agg(
+        F.count("*").alias("n_retrieved"), F.count_if(same).alias("found"), F.min(F.when(same, F.col("rank"))).alias("first"),
+        F.sum(F.when(same, 1.0 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias("dcg"),
+    )
+    return _scores(per.join(n_of, per.own == n_of.label))
+
+
 def metrics_summary(by_query: DataFrame) -> DataFrame:
     """Macro averages and totals; one row, null averages without queries."""
     r = lambda c: F.round(F.avg(c), 6).alias(c)

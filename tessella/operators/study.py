@@ -69,13 +69,13 @@ def time_summary(times: DataFrame, *keys: str) -> DataFrame:
 
 
 def attempts_to_success(answers: DataFrame) -> DataFrame:
-    """Per user, task and model: the number of the first correct submission in time order, or of all if none is."""
-    subs = submissions(answers).where("user is not null")
-    w = Window.partitionBy("user", "task_id", "model").orderBy("timestamp", "id")
+    """Per user, task and model ('unknown' without one): the number of the first correct submission in time order, or of all if none is."""
+    subs = submissions(answers).where("user is not null").select("user", "task_id", F.coalesce("model", F.lit("unknown")).alias("model"), "is_correct", F.struct("timestamp", "id").alias("at"))
+    keys = ["user", "task_id", "model"]
+    first = subs.where("is_correct").groupBy(*keys).agg(F.min("at").alias("first"))  # partial aggregates only, no group is sorted
     return (
-        subs.withColumn("n", F.row_number().over(w))
-        .groupBy("user", "task_id", "model")
-        .agg(F.coalesce(F.min(F.when(F.col("is_correct"), F.col("n"))), F.max("n")).alias("attempts"), F.coalesce(F.max("is_correct"), F.lit(False)).alias("solved"))
+        subs.join(first, keys, "left").groupBy(*keys)
+        .agg(F.count_if(F.col("first").isNull() | (F.col("at") <= F.col("first"))).alias("attempts"), F.coalesce(F.max("is_correct"), F.lit(False)).alias("solved"))
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
+from tessella.operators.ordering import in_order
 from tessella.operators.profile import describe, fixed_ranges, width_histogram
 from tessella.tables import table
 
@@ -143,18 +144,18 @@ def figure_table_lines(spark, d):
 
 def section_position(spark, d):
     """Ordinal of each chunk in its file by section, the file's chunk total and the index gap before it."""
-    w = Window.partitionBy("file_name").orderBy("section_number", "chunk_id")
-    return chunks(spark, d, "section_number").select(
-        "chunk_id", F.row_number().over(w).alias("ordinal"), F.count("*").over(Window.partitionBy("file_name")).alias("n_in_file"),
-        F.coalesce(F.col("section_number") - F.lag("section_number").over(w) - 1, F.lit(0)).alias("gap_before"),
+    rows = in_order(chunks(spark, d, "section_number"), "file_name", F.col("section_number"), "chunk_id")
+    totals = chunks(spark, d).groupBy("file_name").agg(F.count("*").alias("n_in_file"))
+    return rows.join(totals, "file_name").select(
+        "chunk_id", F.col("_ordinal").alias("ordinal"), "n_in_file", F.coalesce(F.col("section_number") - F.col("_previous") - 1, F.lit(0)).alias("gap_before")
     )
 
 
 def page_carry_forward(spark, d):
     """The last known page of each chunk's file (pages of even sections count as unmarked)."""
     marked = F.when(F.col("section_number") % 2 == 1, F.col("page_number"))
-    w = Window.partitionBy("file_name").orderBy("section_number", "chunk_id").rowsBetween(Window.unboundedPreceding, 0)
-    return chunks(spark, d, "section_number", "page_number").select("chunk_id", F.last(marked, ignorenulls=True).over(w).alias("page"))
+    rows = in_order(chunks(spark, d, "section_number", "page_number"), "file_name", F.col("section_number"), "chunk_id", carry=marked)
+    return rows.select("chunk_id", F.col("_carried").alias("page"))
 
 
 def level_title_rollup(spark, d):

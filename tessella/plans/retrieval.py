@@ -47,20 +47,14 @@ def vector_norms(spark, d):
     return table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.round(F.min(V.norm(F.col("embedding"))), 5).alias("least"), F.round(F.max(V.norm(F.col("embedding"))), 5).alias("most"))
 
 
-def _labelled(spark, d):
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    got = _knn(spark, d, k=4, exclude_self=True).select("query_id", F.col("doc_id").cast("string").alias("doc_key"), "rank")
-    asked = e.where("id % 20 = 0").select(F.col("id").alias("query_id"), "label")
-    rel = asked.join(e.select("label", F.col("id").alias("rel")), "label").where("query_id <> rel").select("query_id", F.col("rel").cast("string").alias("rel_key"))
-    return got, rel
-
-
 def retrieval_metrics_by_query(spark, d):
-    return R.metrics_by_query(*_labelled(spark, d))
+    """Relevant are all other vectors of the query's label."""
+    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    return R.label_metrics(_knn(spark, d, k=4, exclude_self=True), labels)
 
 
 def retrieval_metrics(spark, d):
-    return R.metrics_summary(R.metrics_by_query(*_labelled(spark, d)))
+    return R.metrics_summary(retrieval_metrics_by_query(spark, d))
 
 
 def _item_lists(spark, d):

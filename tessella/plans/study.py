@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.text import model_family
 from tessella.operators import study as S
+from tessella.operators.ordering import in_order
 from tessella.tables import table
 
 
@@ -124,12 +125,10 @@ def model_names(spark, d):
 
 
 def answer_after_query(spark, d):
-    """Each user's answer or query row with the text that user asked next (rows in time order)."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user").orderBy("timestamp", "id")
-    rows = S.clean_log(_answers(spark, d)).where("user is not null and timestamp is not null")
-    return rows.select("id", F.lead("id").over(w).alias("next_id"), F.lead("query").over(w).alias("next_query"), F.row_number().over(w).alias("turn"))
+    """Each row of a user's answers log with its turn, and the seconds since the row before."""
+    rows = S.clean_log(_answers(spark, d)).where("user is not null and timestamp is not null").select("id", "user", F.unix_micros("timestamp").alias("us"))
+    turns = in_order(rows, "user", F.col("us"), "id", width=86_400_000_000)  # a day
+    return turns.select("id", F.col("_ordinal").alias("turn"), ((F.col("us") - F.col("_previous")) / 1e6).alias("seconds_since"))
 
 
 def concept_eval(spark, d):
@@ -231,7 +230,7 @@ ORACLES = {
     + ") SELECT g.question, g.option, g.position, count(l.option) AS n FROM g LEFT JOIN l ON l.question = g.question AND l.option = g.option GROUP BY 1, 2, 3",
     "processing_time_stats": f"WITH {_Q} SELECT task_id, {_FAMILY.format(c='model', e='trim(model)')} AS model, count(*) AS n, round(avg(processing_time), 6) AS mean_seconds, round(stddev_samp(processing_time), 4) AS std_seconds FROM q WHERE processing_time >= 0 GROUP BY 1, 2",
     "model_names": f"WITH {_Q} SELECT model AS as_written, {_FAMILY.format(c='model', e='trim(model)')} AS family, count(*) AS n FROM q GROUP BY 1, 2",
-    "answer_after_query": f"""WITH {_A} SELECT id, lead(id) OVER w AS next_id, lead(query) OVER w AS next_query, row_number() OVER w AS turn FROM a WHERE "user" IS NOT NULL AND timestamp IS NOT NULL WINDOW w AS (PARTITION BY "user" ORDER BY timestamp, id)""",
+    "answer_after_query": f"""WITH {_A} SELECT id, row_number() OVER w AS turn, (epoch_us(timestamp) - epoch_us(lag(timestamp) OVER w)) / 1e6 AS seconds_since FROM a WHERE "user" IS NOT NULL AND timestamp IS NOT NULL WINDOW w AS (PARTITION BY "user" ORDER BY timestamp, id)""",
     "concept_eval": f"WITH {_A}, {_S}, c AS (SELECT id, lower(coalesce(answer, '')) AS t FROM s), l AS (SELECT id, list_filter([{', '.join(repr(c) for c in CONCEPTS)}], lambda x: contains(t, x)) AS f, list_filter([{', '.join(repr(c) for c in CONCEPTS)}], lambda x: NOT contains(t, x)) AS m FROM c) "
     "SELECT id, len(f) AS n_found, len(f) >= 2 AS enough, array_to_string(list_slice(m, 1, 2), ', ') AS hints FROM l",
     "all_tasks_done": f"""WITH {_A}, p AS (SELECT "user", task_id, coalesce(bool_or(is_correct), false) AS ok, bool_or(starts_with(coalesce(query, ''), 'Task skipped')) AS skipped FROM a WHERE "user" IS NOT NULL AND task_id LIKE 'task%' GROUP BY 1, 2)

@@ -100,6 +100,32 @@ def test_knn_exact_with_blocks(spark):
     assert R.knn(df.where("id < 0"), df, k=3).count() == 0 and R.knn(df.where("id = 0"), df.where("id < 0"), k=3).count() == 0
 
 
+def test_in_order_over_buckets(spark):
+    import random
+
+    from tessella.operators.ordering import in_order
+
+    rng = random.Random(6)
+    rows = [(rng.choice("ab"), rng.choice([None, *range(60)]), i, rng.choice([None, None, i])) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, p int, i int, c int")
+    got = {r["i"]: (r["_ordinal"], r["_previous"], r["_carried"]) for r in in_order(df, "g", F.col("p"), "i", carry=F.col("c"), width=7).collect()}
+    for g in "ab":
+        kept = before = None
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        for n, (_, p, i, c) in enumerate(own, 1):
+            kept = c if c is not None else kept
+            assert got[i] == (n, before, kept)
+            before = p
+    assert in_order(df.limit(0), "g", F.col("p"), "i").count() == 0
+
+
+def test_label_metrics(spark):
+    got = spark.createDataFrame([(1, 2, 1), (1, 3, 2), (4, 1, 1)], "query_id long, doc_id long, rank int")
+    labels = spark.createDataFrame([(1, "x"), (2, "y"), (3, "x"), (4, "z"), (5, "x")], "id long, label string")
+    rows = R.label_metrics(got, labels).collect()
+    assert len(rows) == 1 and rows[0]["precision"] == 0.5 and rows[0]["recall"] == 0.5 and rows[0]["reciprocal_rank"] == 0.5
+
+
 def test_vector_functions(spark):
     r = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0]), ([0.0, 0.0], [1.0, 0.0])], "a array<float>, b array<float>").select(V.cosine(F.col("a"), F.col("b")), V.squared_l2(F.col("a"), F.col("b"))).collect()
     assert r[0][0] == pytest.approx(0.96) and r[0][1] == 2.0 and r[1][0] is None
