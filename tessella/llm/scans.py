@@ -117,10 +117,6 @@ def foreign_lines(lines: list[str], lower: bool = True) -> Iterator[tuple[int, s
             continue
         rest, page = split_page(line)
         if may_be_header(rest):
-            if not page and rest.islower():
-                after = i + 1 < len(lines) and lines[i + 1].strip()
-                if after and _ENDS.search(_beside(lines, i, -1).rstrip() or "."):
-                    continue
             yield i, rest, page
 
 
@@ -225,7 +221,7 @@ class Model:
                 for (w, _), found in zip(part, self.trie.within([f for _, f in part], k)):
                     for i in found:
                         v = self.trie.words[i]
-                        cost = misreading(w, v)
+                        cost = misreading(w, v) if v != w else 0
                         if cost:
                             rank = (cost, -self.vocabulary[v], v)
                             if w not in best or rank < best[w]:
@@ -344,11 +340,12 @@ def title_parts(title: str) -> list[str]:
     return [split_page(p)[0] for p in [*out, *([inner[1].strip()] if inner else [])] if p]
 
 
-def fit(chunks: DataFrame, *, share: float = 5e-7, header_bits: int = 1 << 25, known_bits: int = 1 << 25) -> Model:
+def fit(chunks: DataFrame, *, share: float = 1e-6, suspect_ratio: int = 200, header_bits: int = 1 << 25, known_bits: int = 1 << 25) -> Model:
     """One pass over (title, content, file): word and line counts, combined per task before the shuffle.
 
     The vocabulary keeps words of at least 3 occurrences and ``share`` of all
-    (so at most 1 / share words); every word met twice is known. Only chunks
+    (so at most 1 / share words); every word met twice is known, unless a known
+    misreading makes it of a word ``suspect_ratio`` times as common. Only chunks
     without symptoms of scanning count, and words with a fifth or more of their
     occurrences in chunks with them count nothing. Lines are headers if they recur in a file, or three
     times anywhere.
@@ -361,9 +358,22 @@ def fit(chunks: DataFrame, *, share: float = 5e-7, header_bits: int = 1 << 25, k
     words = counts.where("kind = 'w'")
     total = words.agg(F.sum("n")).first()[0] or 0
     vocabulary = {r["key"]: r["n"] for r in words.where(F.col("n") >= max(3, share * total)).select("key", "n").toLocalIterator() if is_word(r["key"])}
-    known = _bits(words.select("key"), known_bits)
+    draft = chunks.sparkSession.sparkContext.broadcast(Model(vocabulary, np.zeros(8, np.uint8), np.zeros(8, np.uint8)))
+
+    def suspects(batches):
+        for batch in batches:
+            keys, ns = (c.to_pylist() for c in batch.columns)
+            draft.value.learn({k for k in keys if 3 < len(k) <= 40})
+            found = [(k, draft.value.fixes.get(k), n) for k, n in zip(keys, ns)]
+            bad = [(k, n) for k, v, n in found if v is not None and draft.value.vocabulary[v] >= suspect_ratio * n]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in bad], pa.string()), pa.array([n for _, n in bad], pa.int64())], names=["key", "n"])
+
+    rare = words.where(F.col("n") * suspect_ratio <= max(vocabulary.values(), default=0)).select("key", "n")
+    misread = materialize(rare.repartition("key").mapInArrow(suspects, "key string, n long"))
+    known = _bits(words.select("key").join(misread, "key", "left_anti"), known_bits)
     headers = _bits(counts.where("kind = 'l' and (n >= 3 or key not like '\n%')").select("key"), header_bits)
-    return Model(vocabulary, known, headers)
+    bad = {r["key"] for r in misread.where(F.col("n") >= max(3, share * total)).toLocalIterator()}  # words of the vocabulary
+    return Model({k: n for k, n in vocabulary.items() if k not in bad}, known, headers)
 
 
 def is_word(text: str) -> bool:
@@ -426,7 +436,7 @@ class Repair:
                 if _plausible(lines, i):
                     gone.add(i)
                     self.kinds.add("page_number")
-            elif self.model.is_header(self.file, rest):
+            elif self.model.is_header(self.file, rest) or (not rest.islower() and _interrupts(lines, i)):
                 gone.add(i)
                 self.kinds.add("header")
                 if page:
@@ -517,6 +527,12 @@ class Repair:
         return self.words(" ".join(text.split()))
 
 
+def _interrupts(lines: list[str], i: int) -> bool:
+    """Whether line i stands within a sentence: the text before it hasn't ended and goes on in lower case after it."""
+    before, after = _beside(lines, i, -1).strip(), _beside(lines, i, 1).strip()
+    return bool(before) and after[:1].islower() and before[-1:].isalnum() and not _ITEM.match(before) and not PAGE.fullmatch(before)
+
+
 def _plausible(lines: list[str], i: int) -> bool:
     """A roman numeral or letter-number line counts as a page number only by itself; all other forms always do."""
     return bool(lines[i].strip()) and not (len(lines) == 1)
