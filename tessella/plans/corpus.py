@@ -205,8 +205,8 @@ def _ranges_sql(source: str, column: str, edges: list, label) -> str:
 _W = f"WITH {SQL_CHUNKS} "
 ORACLES = {
     "chunk_stats": _W + "SELECT chunk_id, words, chars, round(CASE WHEN words = 0 THEN 0.0 ELSE chars / words END, 6) AS average_word_length FROM chunks",
-    "doc_stats": _W + "SELECT file_name, count(*) AS n_chunks, sum(words) AS words, sum(chars) AS chars, min(words) AS min_words, max(words) AS max_words FROM chunks GROUP BY 1",
-    "chunk_totals": _W + "SELECT count(*) AS n_chunks, sum(words) AS words, sum(chars) AS chars, min(words) AS min_words, max(words) AS max_words, min(chars) AS min_chars, max(chars) AS max_chars FROM chunks",
+    "doc_stats": _W + "SELECT file_name, count(*) AS n_chunks, CAST(sum(words) AS BIGINT) AS words, CAST(sum(chars) AS BIGINT) AS chars, min(words) AS min_words, max(words) AS max_words FROM chunks GROUP BY 1",
+    "chunk_totals": _W + "SELECT count(*) AS n_chunks, CAST(sum(words) AS BIGINT) AS words, CAST(sum(chars) AS BIGINT) AS chars, min(words) AS min_words, max(words) AS max_words, min(chars) AS min_chars, max(chars) AS max_chars FROM chunks",
     "chunk_averages": _W + """SELECT round(sum(n) / count(*) FILTER (WHERE w > 0), 6) AS chunks_per_successful_file, round(sum(n) / count(*), 6) AS chunks_per_file, round(sum(w) / sum(n), 6) AS words_per_chunk,
         round(sum(c) / sum(n), 6) AS chars_per_chunk FROM (SELECT file_name, count(*) AS n, sum(words) AS w, sum(chars) AS c FROM chunks GROUP BY 1)""",
     "describe_overall": _W + _describe_sql("chunks", {"words": "words", "chars": "chars", "tokens": "chars / 4.0"}),
@@ -236,7 +236,7 @@ ORACLES = {
     "page_carry_forward": _W + """, m AS (SELECT chunk_id, file_name, section_number, CASE WHEN section_number % 2 = 1 THEN page_number END AS p FROM chunks)
         SELECT chunk_id, last_value(p IGNORE NULLS) OVER (PARTITION BY file_name ORDER BY section_number NULLS FIRST, chunk_id ROWS UNBOUNDED PRECEDING) AS page FROM m""",
     "level_title_rollup": _W + """, b AS (SELECT section_level, substr(upper(coalesce(title, '?')), 1, 1) AS initial, words FROM chunks)
-        SELECT section_level, initial, count(*) AS n, sum(words) AS words, CAST(grouping(section_level, initial) AS INTEGER) AS level_of_total FROM b GROUP BY ROLLUP (section_level, initial)""",
+        SELECT section_level, initial, count(*) AS n, CAST(sum(words) AS BIGINT) AS words, CAST(grouping(section_level, initial) AS INTEGER) AS level_of_total FROM b GROUP BY ROLLUP (section_level, initial)""",
     "filename_years": """WITH y AS (SELECT TRY_CAST(nullif(regexp_extract(file_name, '((?:19|20)[0-9]{2})', 1), '') AS INTEGER) AS year FROM documents)
         SELECT year, count(*) AS n, min(min(year)) OVER () AS first_year, max(max(year)) OVER () AS last_year FROM y WHERE year BETWEEN 1999 AND 2098 GROUP BY year""",
     "lesson_years": "SELECT year, count(*) AS n_lessons FROM (SELECT DISTINCT year(scraped_at) AS year, url FROM lessons WHERE url <> 'url') GROUP BY year",

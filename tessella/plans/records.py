@@ -48,7 +48,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_sessions(spark: SparkSession, d: str) -> DataFrame:
     return _sessions(spark, d).select(
-        F.col("entity").alias("username"), "start_ts", "end_ts", "start_id", "end_id",
+        F.col("entity").alias("username"), *(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("start_ts", "end_ts")), "start_id", "end_id",
         F.round("duration_seconds", 6).alias("duration_seconds"), F.col("n_events").alias("n_queries"), F.col("n_kinds").alias("n_tasks"),
     )
 
@@ -76,7 +76,7 @@ ORACLES = {
     "p1_report": f"""WITH {_ORPHANS} SELECT CASE WHEN regexp_matches(ref_id, '^[a-z]+://') THEN 'lessons' ELSE 'chunk' END AS referenced_table,
         strftime(created_at, '%Y-%m') AS month, count(*) AS "references", count(DISTINCT id) AS items FROM orphans GROUP BY 1, 2""",
     "p2_found": f"WITH {_SESSIONS} SELECT username, arg_min(id, (ts, id)) AS start_id, arg_max(id, (ts, id)) AS end_id FROM s GROUP BY username, n",
-    "p2_sessions": f"""WITH {_SESSIONS} SELECT username, min(ts) AS start_ts, max(ts) AS end_ts, arg_min(id, (ts, id)) AS start_id, arg_max(id, (ts, id)) AS end_id,
+    "p2_sessions": f"""WITH {_SESSIONS} SELECT username, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS end_ts, arg_min(id, (ts, id)) AS start_id, arg_max(id, (ts, id)) AS end_id,
         round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) AS duration_seconds, count(*) AS n_queries, count(DISTINCT task_id) AS n_tasks
         FROM s GROUP BY username, n""",
 }

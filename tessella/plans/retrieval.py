@@ -156,7 +156,7 @@ _REL = "SELECT query_id, trim(r) AS rel_key FROM (SELECT id AS query_id, unnest(
 _GOT = r"""SELECT query_id, rank, f || '_' || CAST(n + step AS VARCHAR) AS doc_key FROM (SELECT id AS query_id, regexp_extract(trim(relevant_chunk_ids[1]), '^(.*\.pdf)_([0-9]+)$', 1) AS f,
     TRY_CAST(regexp_extract(trim(relevant_chunk_ids[1]), '^(.*\.pdf)_([0-9]+)$', 2) AS INTEGER) AS n FROM i) CROSS JOIN (VALUES (1, 1), (2, 0), (3, 2)) s(rank, step) WHERE f <> ''"""
 _SUM = """SELECT count(*) AS n_queries, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(reciprocal_rank), 6) AS reciprocal_rank, round(avg(hit), 6) AS hit, round(avg(ndcg), 6) AS ndcg,
-    sum(n_retrieved) AS total_retrieved, sum(n_relevant) AS total_relevant FROM m"""
+    CAST(sum(n_retrieved) AS BIGINT) AS total_retrieved, CAST(sum(n_relevant) AS BIGINT) AS total_relevant FROM m"""
 _EXACT = f"WITH {_ITEMS}, " + _metrics_sql(_GOT, _REL, "doc_key = rel_key")
 _SUB = f"WITH {_ITEMS}, " + _metrics_sql(_GOT, _REL, "(contains(doc_key, rel_key) OR contains(rel_key, doc_key))")
 _DOCS = """docs AS (SELECT doc_key, source_type, min(title) AS title, min(url) AS url FROM (SELECT chunk_id AS doc_key, 'pdf' AS source_type, coalesce(metadata.file_name, 'Unknown') AS title, metadata.download_url AS url FROM chunk

@@ -23,5 +23,5 @@ ORACLES = {
     "stream_daily_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
     "stream_user_sessions": """WITH f AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 1800000000 THEN 0 ELSE 1 END AS o FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
         s AS (SELECT user_id, sum(o) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM f), c AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY 1, 2)
-        SELECT user_id, count(*) AS n_sessions, sum(n) AS n_events, max(n) AS longest FROM c GROUP BY 1""",
+        SELECT user_id, count(*) AS n_sessions, CAST(sum(n) AS BIGINT) AS n_events, max(n) AS longest FROM c GROUP BY 1""",
 }

@@ -80,6 +80,30 @@ def semantic_adjacent_sim(spark, d):
     return _docs(spark, d).where("text is not null").select("doc_id", F.round(mean("text"), 6).alias("mean_similarity")).where("mean_similarity is not null")
 
 
+def _weights(spark, d):
+    """(doc_id, s, term, w): unit TF-IDF weights of every sentence, its document being the corpus."""
+    sent = _docs(spark, d).where("text is not null").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("s", "sentence"))
+    terms = sent.select("doc_id", "s", F.explode(F.regexp_extract_all(F.lower("sentence"), F.lit("[a-z0-9]{2,}"), F.lit(0))).alias("term"))
+    tf = terms.groupBy("doc_id", "s", "term").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("doc_id", "term").agg(F.count("*").alias("df"))
+    n = sent.groupBy("doc_id").agg(F.count("*").alias("n"))
+    raw = tf.join(df, ["doc_id", "term"]).join(n, "doc_id").select("doc_id", "s", "term", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
+    size = raw.groupBy("doc_id", "s").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
+    return raw.join(size, ["doc_id", "s"]).select("doc_id", "s", "term", (F.col("w") / F.col("size")).alias("w"))
+
+
+def semantic_tfidf(spark, d):
+    """Terms and largest weight of every sentence."""
+    return _weights(spark, d).groupBy("doc_id", "s").agg(F.count("*").alias("n_terms"), F.round(F.max("w"), 5).alias("largest"), F.round(F.sum("w"), 4).alias("total"))
+
+
+def semantic_next_similarity(spark, d):
+    """Cosine of every sentence and the next one that share a term."""
+    w = _weights(spark, d)
+    nxt = w.select("doc_id", (F.col("s") - 1).alias("s"), "term", F.col("w").alias("w2"))
+    return w.join(nxt, ["doc_id", "s", "term"]).groupBy("doc_id", "s").agg(F.round(F.sum(F.col("w") * F.col("w2")), 5).alias("similarity"))
+
+
 def chunking_compare(spark, d):
     """Both chunkings of the documents that have both: chunk counts and mean lengths."""
     a = C.explode_pieces(_docs(spark, d), "doc_id", "text", C.recursive_split).groupBy("doc_id").agg(F.count("*").alias("n_recursive"), F.round(F.avg("chars"), 6).alias("mean_recursive"))
@@ -240,7 +264,7 @@ def model_assignment(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        md_clean, rouge_preprocess, sentence_split, section_extract_lenient, section_chunks, recursive_chunks, recursive_chunks_overlap, window_chunks, semantic_chunks, semantic_adjacent_sim, chunking_compare,
+        md_clean, rouge_preprocess, sentence_split, section_extract_lenient, section_chunks, recursive_chunks, recursive_chunks_overlap, window_chunks, semantic_chunks, semantic_adjacent_sim, semantic_tfidf, semantic_next_similarity, chunking_compare,
         rouge12, generation_summary, rouge_l, sentence_rouge_l, judge_score_parse, url_filename, safe_title, download_links, download_url_resolve, log_line_pairs, log_url_scan, html_links,
         lesson_text, prototype_text, lesson_scan, union_sources, incremental_anti, existing_semi, shared_files, model_assignment,
     )
@@ -289,7 +313,13 @@ def _recursive_sql() -> str:
         c AS (SELECT doc_id, n - 1 AS chunk_index, content, count(*) OVER (PARTITION BY doc_id) AS total_chunks FROM s WHERE n > 0)"""
 
 
+_WEIGHTS = rf"""sent AS (SELECT doc_id, unnest(range(0, len(ss))) AS s, unnest(ss) AS sentence FROM (SELECT doc_id, string_split(regexp_replace({_RAW.format(c='text')}, '([.!?]) ', '\1' || chr(1), 'g'), chr(1)) AS ss FROM documents WHERE text IS NOT NULL)),
+    terms AS (SELECT doc_id, s, unnest(regexp_extract_all(lower(sentence), '[a-z0-9]{{2,}}')) AS term FROM sent), tf AS (SELECT doc_id, s, term, count(*) AS tf FROM terms GROUP BY 1, 2, 3), df AS (SELECT doc_id, term, count(*) AS df FROM tf GROUP BY 1, 2),
+    n AS (SELECT doc_id, count(*) AS n FROM sent GROUP BY 1), raw AS (SELECT tf.doc_id, s, tf.term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df ON df.doc_id = tf.doc_id AND df.term = tf.term JOIN n ON n.doc_id = tf.doc_id),
+    z AS (SELECT doc_id, s, sqrt(sum(w * w)) AS size FROM raw GROUP BY 1, 2), w AS (SELECT raw.doc_id, raw.s, term, w / size AS w FROM raw JOIN z ON z.doc_id = raw.doc_id AND z.s = raw.s)"""
 ORACLES = {
+    "semantic_tfidf": f"WITH {_WEIGHTS} SELECT doc_id, s, count(*) AS n_terms, round(max(w), 5) AS largest, round(sum(w), 4) AS total FROM w GROUP BY 1, 2",
+    "semantic_next_similarity": f"WITH {_WEIGHTS} SELECT a.doc_id, a.s, round(sum(a.w * b.w), 5) AS similarity FROM w a JOIN w b ON b.doc_id = a.doc_id AND b.s = a.s + 1 AND b.term = a.term GROUP BY 1, 2",
     "md_clean": r"""WITH m AS (SELECT doc_id, '## ' || coalesce(title, 'none') || chr(10) || chr(10) || '**Source:** _' || coalesce(source, 'none') || '_ [link](https://x.example/a)' || chr(10) || chr(10) || '-----' || chr(10) || '<!-- Page 1 -->' || chr(10) || coalesce(text, '') AS t FROM documents)
         SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t,
         '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '(?m)^#{1,6}[ \t]+', '', 'g'), '\*\*(.*?)\*\*', '\1', 'g'), '_(.*?)_', '\1', 'g'), '`(.*?)`', '\1', 'g'), '-----+', chr(10) || chr(10), 'g'), '<!-- Page [0-9]+ -->', '', 'g'),
@@ -299,7 +329,7 @@ ORACLES = {
     "section_extract_lenient": r"""WITH m AS (SELECT doc_id, string_split('# ' || coalesce(title, 'Document') || chr(10) || coalesce(text, ''), chr(10)) AS ls FROM documents),
         l AS (SELECT doc_id, unnest(range(0, len(ls))) AS pos, unnest(ls) AS line FROM m),
         h AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^#{1,6}[ \t]+[^ \t]') OR regexp_matches(line, '^[A-Z][a-zA-Z ]+: ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS s FROM l),
-        b AS (SELECT doc_id, s, string_agg(line, chr(10) ORDER BY pos) AS body FROM h WHERE s > 0 GROUP BY 1, 2) SELECT doc_id, s AS section, length(body) AS chars, md5(body) AS body_md5 FROM b""",
+        b AS (SELECT doc_id, s, string_agg(line, chr(10) ORDER BY pos) AS body FROM h WHERE s > 0 GROUP BY 1, 2) SELECT doc_id, CAST(s AS BIGINT) AS section, length(body) AS chars, md5(body) AS body_md5 FROM b""",
     "recursive_chunks": f"{_recursive_sql()} SELECT doc_id, chunk_index, total_chunks, content FROM c",
     "recursive_chunks_overlap": f"""{_recursive_sql()}, o AS (SELECT *, right(lag(content) OVER (PARTITION BY doc_id ORDER BY chunk_index), 100) AS tail FROM c)
         SELECT doc_id, chunk_index, (CASE WHEN tail IS NULL THEN '' WHEN substr(tail, 1, 1) IN (' ', chr(9), chr(10), chr(13), chr(12)) THEN tail WHEN strpos(tail, ' ') > 0 THEN substr(tail, strpos(tail, ' ') + 1) ELSE '' END) || content AS content FROM o""",

@@ -44,6 +44,27 @@ def table_or_build(spark: SparkSession, path: str, build) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: The log tables and their columns.
+LOG_TABLES = {
+    "user_answers": "id BIGINT, username STRING, task_id STRING, answer STRING, is_correct BOOLEAN, timestamp TIMESTAMP, entry_type STRING, model_used STRING, query STRING",
+    "user_evaluations": "id BIGINT, username STRING, timestamp TIMESTAMP, sus_responses MAP<STRING, STRING>, task_difficulty MAP<STRING, STRING>, ai_helpfulness STRING, ai_relevance STRING, retrieval_quality STRING, "
+    "traditional_comparison STRING, improvement_suggestions STRING, favorite_feature STRING, skipped_tasks ARRAY<STRING>",
+    "system_logs": "id BIGINT, timestamp TIMESTAMP, level STRING, message STRING, logger STRING, pathname STRING, lineno INT",
+    "rag_queries": "id BIGINT, timestamp TIMESTAMP, username STRING, task_id STRING, question STRING, model STRING, processing_time DOUBLE, num_docs_retrieved INT, answer_length INT",
+}
+
+
+def create_log_tables(spark: SparkSession, database: str = "default") -> None:
+    """The log tables as Parquet tables, where they don't exist."""
+    for name, columns in LOG_TABLES.items():
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet")
+
+
+def table_size(spark: SparkSession, name: str) -> int | None:
+    """Exact row count of a table, None where there is none."""
+    return spark.table(name).count() if spark.catalog.tableExists(name) else None
+
+
 def report(title: str, sections: dict[str, DataFrame], *, max_rows: int = 1000) -> tuple[str, str]:
     """(Markdown, JSON) of small result tables; more than ``max_rows`` rows in one are an error, not cut."""
     out, data = [f"# {title}"], {}

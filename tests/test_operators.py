@@ -344,6 +344,17 @@ def test_sources_and_sinks(spark, tmp_path):
         sinks.report("R", {"x": spark.range(5)}, max_rows=3)
 
 
+def test_log_tables(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS logs_test LOCATION '{tmp_path}'")
+    try:
+        sinks.create_log_tables(spark, "logs_test")
+        sinks.create_log_tables(spark, "logs_test")
+        spark.sql("INSERT INTO logs_test.system_logs VALUES (1, now(), 'INFO', 'm', 'l', 'p', 3)")
+        assert sinks.table_size(spark, "logs_test.system_logs") == 1 and sinks.table_size(spark, "logs_test.none") is None
+    finally:
+        spark.sql("DROP DATABASE logs_test CASCADE")
+
+
 def test_html_fields(spark):
     page = """<html><head><title>Lesson 1</title></head><body><h3>Subject</h3><div><em><strong>Valves &amp; pipes</strong></em></div><h3>Abstract:</h3><p>First</p><p>second<br>line</p>
     <h3>Topic(s)</h3><ul><li>a</li><li>b</li></ul><dl class="dl-horizontal"><dt>Lesson Date</dt><dd>1999-05-03</dd></dl><script>x</script></body></html>"""
