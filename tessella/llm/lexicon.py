@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 
 
@@ -9,27 +11,29 @@ class Trie:
     """The words of a vocabulary as a trie in flat arrays, level by level."""
 
     def __init__(self, words: list[str]) -> None:
-        self.words = sorted(set(words))
+        self.words = sorted(set(words) - {""})
         self.chars = {c: i for i, c in enumerate(sorted(set("".join(self.words))))}
-        children: list[dict[int, int]] = [{}]
-        self.word_at = {}
+        parent, label, end = array("q"), array("q"), array("q", [-1])  # of nodes in the order of the sorted words; the root is node 0
+        path = [0]
+        before = ""
         for k, word in enumerate(self.words):
-            node = 0
-            for c in word:
-                nxt = children[node].get(self.chars[c])
-                if nxt is None:
-                    nxt = len(children)
-                    children[node][self.chars[c]] = nxt
-                    children.append({})
-                node = nxt
-            self.word_at[node] = k
-        self.first = np.zeros(len(children) + 1, np.int64)
-        self.first[1:] = np.cumsum([len(c) for c in children])
-        self.label = np.array([k for c in children for k in c], dtype=np.int64)
-        self.child = np.array([n for c in children for n in c.values()], dtype=np.int64)
-        self.ends = np.full(len(children), -1, dtype=np.int64)
-        for node, k in self.word_at.items():
-            self.ends[node] = k
+            same = 0
+            while same < len(before) and before[same] == word[same]:
+                same += 1
+            del path[same + 1 :]
+            for c in word[same:]:
+                parent.append(path[-1])
+                label.append(self.chars[c])
+                end.append(-1)
+                path.append(len(end) - 1)
+            end[path[-1]] = k
+            before = word
+        up = np.frombuffer(parent, np.int64) if len(parent) else np.zeros(0, np.int64)
+        order = np.argsort(up, kind="stable")
+        self.child = order + 1
+        self.label = np.frombuffer(label, np.int64)[order] if len(label) else np.zeros(0, np.int64)
+        self.first = np.searchsorted(up[order], np.arange(len(end) + 1))
+        self.ends = np.array(end, dtype=np.int64)
 
     def within(self, queries: list[str], k: int) -> list[list[int]]:
         """Per query the indices of all words within Levenshtein distance ``k``.

@@ -9,6 +9,7 @@ from math import floor, sqrt
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ FINE = 128
 #: Bits of the array that tells which variants occur twice: 32 MB, whatever the number of texts.
 SHARED_BITS = 28
 RANGES = 64
+#: Bytes of text that are shingled at once.
+BYTES = 1 << 21
 
 
 def variants(symbols: np.ndarray, radius: int, number: int) -> np.ndarray:
@@ -44,13 +47,19 @@ def variants(symbols: np.ndarray, radius: int, number: int) -> np.ndarray:
 
 
 def _texts(batches: Iterator[pa.RecordBatch], k: int, min_words: int):
-    """Per batch the ids, the shingles, the rows with enough words and their class ids."""
+    """The ids, the shingles, the rows with enough words and their class ids, of some MB of text at a time."""
     for batch in batches:
-        if batch.num_rows:
-            s = Shingled(batch.column(1).to_pylist(), k)
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)) if batch.num_rows else []
+        start = 0
+        while start < batch.num_rows:
+            held = sizes[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(sizes, held + BYTES, side="right")))
+            part = batch.slice(start, stop - start)
+            start = stop
+            s = Shingled(part.column(1).to_pylist(), k)
             rows = np.flatnonzero(s.n_words >= max(min_words, k))
             if len(rows):
-                yield batch.column(0), s, rows, s.sequence[rows].view(np.int64)
+                yield part.column(0), s, rows, s.sequence[rows].view(np.int64)
 
 
 def _keys(batches, k: int, min_words: int, fingerprints: int, symbols: int, radius: int):

@@ -178,7 +178,7 @@ class Model:
 
     def read(self, texts: list[str]) -> None:
         """Find the corrections of all tokens of the texts that weren't seen before."""
-        if len(self.seen) > 1_000_000:
+        if len(self.seen) > 500_000:
             self.seen, self.tokens, self.fixes = set(), {}, {}
         new: set[str] = set()
         for text in texts:
@@ -327,7 +327,7 @@ def _words_and_lines(batches):
             for k in keys:
                 lines[f"{file}\n{k}"] += 1
                 lines["\n" + k] += 1
-        if len(raw) + len(noisy) + len(lines) + len(seen) > 1_000_000:
+        if len(raw) + len(noisy) + len(lines) + len(seen) > 600_000:
             yield flush()
     yield flush()
 
