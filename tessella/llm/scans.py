@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.lexicon import Trie
+from tessella.llm.shingles import Shingled
 from tessella.session import materialize
 
 #: What is read (left) for what is printed (right), by shape.
@@ -27,6 +28,9 @@ ODD = str.maketrans({"0": "o", "1": "l", "!": "i", "|": "l", "5": "s", "¢": "c"
 _BOTH = tuple((x, y) for a, b in (("vv", "w"), ("rn", "m"), ("cl", "d"), ("ii", "u"), ("li", "h")) for x, y in ((a, b), (b, a)))
 _FOLD = (("vv", "w"), ("rn", "m"), ("cl", "d"), ("ii", "u"), ("li", "h"), ("nn", "m"), ("ri", "n"))
 
+#: Size of the bit array of word pairs: 2**25 bits are 4 MB.
+CONTEXT_BITS = 25
+
 _HYPHENS = "-\xad‐¬"
 _ROMAN = r"[ivxlc]{1,6}"
 _NUMBER = rf"(?:[-–—~]\s*\d{{1,4}}\s*[-–—~]?|\d{{1,4}}|\[\d{{1,4}}\]|\(\d{{1,4}}\)|\d{{1,4}}\s*/\s*\d{{1,4}}|(?:page|pg\.?|p\.|seite|s\.|página|pág\.)\s*\d{{1,4}}(?:\s*(?:of|/|von|de|sur)\s*\d{{1,4}})?|[A-Z]-\d{{1,4}}|{_ROMAN})"
@@ -134,16 +138,17 @@ class Model:
     """What the passes over all chunks know: vocabulary, known words and recurring header lines.
 
     ``vocabulary`` has the words that are corrections; its size is bounded by
-    1 / share. ``known`` and ``headers`` are sets of 32-bit hashes in bit arrays of
-    fixed size.
+    1 / share. ``known``, ``headers`` and ``context`` (pairs of neighbouring words)
+    are hash sets in bit arrays of fixed size.
     """
 
-    def __init__(self, vocabulary: dict[str, int], known: np.ndarray, headers: np.ndarray) -> None:
-        self.vocabulary, self.known, self.headers = vocabulary, known, headers
+    def __init__(self, vocabulary: dict[str, int], known: np.ndarray, headers: np.ndarray, context: np.ndarray | None = None) -> None:
+        self.vocabulary, self.known, self.headers, self.context = vocabulary, known, headers, context
         self.trie = Trie(list(vocabulary))
-        self.fixes: dict[str, str | None] = {}
+        self.fixes: dict[str, list[str]] = {}  # candidates, the likeliest first
         self.seen: set[str] = set()
         self.tokens: dict[str, str] = {}
+        self.choices: dict[str, list[str]] = {}  # tokens with several candidates that are as near
 
     @staticmethod
     def _slots(text: str, bits: int) -> tuple[int, int, int]:
@@ -179,7 +184,7 @@ class Model:
     def read(self, texts: list[str]) -> None:
         """Find the corrections of all tokens of the texts that weren't seen before."""
         if len(self.seen) > 500_000:
-            self.seen, self.tokens, self.fixes = set(), {}, {}
+            self.seen, self.tokens, self.choices, self.fixes = set(), {}, {}, {}
         new: set[str] = set()
         for text in texts:
             new.update(text.split())
@@ -200,6 +205,8 @@ class Model:
                 good = "".join(p if self.fine(p) else self.fix(p) or p for p in re.split(r"([-‐/])", inner))
             if good is not None and good != inner:
                 self.tokens[token] = token.replace(inner, good)
+                if len(self.fixes.get(inner.lower()) or ()) > 1:
+                    self.choices[token] = [token.replace(inner, self.in_case(inner, v)) for v in self.fixes[inner.lower()]]
 
     def learn(self, words: set[str]) -> None:
         """Find the corrections of unknown words (lower case), all at once."""
@@ -213,7 +220,7 @@ class Model:
                     forms.add(plain(w[:at] + b + w[at + len(a) :]))
                     at = w.find(a, at + 1)
             asked += [(w, f) for f in forms]
-        best: dict[str, tuple[int, int, str]] = {}
+        best: dict[str, set[tuple[int, int, str]]] = {}
         for k in (1, 2):
             batch = [(w, f) for w, f in asked if w not in best and (k == 1 or len(w) >= 6)]
             for start in range(0, len(batch), 2000):
@@ -223,18 +230,30 @@ class Model:
                         v = self.trie.words[i]
                         cost = misreading(w, v) if v != w else 0
                         if cost:
-                            rank = (cost, -self.vocabulary[v], v)
-                            if w not in best or rank < best[w]:
-                                best[w] = rank
+                            best.setdefault(w, set()).add((cost, -self.vocabulary[v], v))
         for w in todo:
-            self.fixes[w] = best[w][2] if w in best else None
+            ranked = sorted(best.get(w, ()))
+            self.fixes[w] = [v for cost, _, v in ranked if cost == ranked[0][0]]
 
     def fix(self, word: str) -> str | None:
-        """The corrected word in the case of the misread one, or None."""
-        low = word.lower()
-        good = self.fixes.get(low)
-        if good is None:
-            return None
+        """The likeliest correction in the case of the misread word, or None."""
+        good = self.fixes.get(word.lower())
+        return self.in_case(word, good[0]) if good else None
+
+    def follows(self, first: str, second: str) -> bool:
+        """Whether the corpus has the two words side by side."""
+        pair = Shingled([f"{core(first)} {core(second)}"], 2).hashes
+        if self.context is None or not len(pair):
+            return False
+        at = int(pair[0] >> np.uint64(64 - CONTEXT_BITS))
+        return bool(self.context[at >> 3] >> (at & 7) & 1)
+
+    def choose(self, before: str, token: str, after: str) -> str:
+        """Of candidates that are as near, the one that fits its neighbours best, then the commonest."""
+        return max(self.choices[token], key=lambda c: bool(before) * self.follows(before, c) + bool(after) * self.follows(c, after))
+
+    @staticmethod
+    def in_case(word: str, good: str) -> str:
         if word.isupper() and len(word) > 1:
             return good.upper()
         return good[0].upper() + good[1:] if word[0].isupper() or (not word[0].islower() and word[1:2].isupper()) else good
@@ -340,7 +359,7 @@ def title_parts(title: str) -> list[str]:
     return [split_page(p)[0] for p in [*out, *([inner[1].strip()] if inner else [])] if p]
 
 
-def fit(chunks: DataFrame, *, share: float = 1e-6, suspect_ratio: int = 200, header_bits: int = 1 << 25, known_bits: int = 1 << 25) -> Model:
+def fit(chunks: DataFrame, *, share: float = 1e-6, suspect_ratio: int = 200, context: bool = False, header_bits: int = 1 << 25, known_bits: int = 1 << 25) -> Model:
     """One pass over (title, content, file): word and line counts, combined per task before the shuffle.
 
     The vocabulary keeps words of at least 3 occurrences and ``share`` of all
@@ -365,7 +384,7 @@ def fit(chunks: DataFrame, *, share: float = 1e-6, suspect_ratio: int = 200, hea
             keys, ns = (c.to_pylist() for c in batch.columns)
             draft.value.learn({k for k in keys if 3 < len(k) <= 40})
             found = [(k, draft.value.fixes.get(k), n) for k, n in zip(keys, ns)]
-            bad = [(k, n) for k, v, n in found if v is not None and draft.value.vocabulary[v] >= suspect_ratio * n]
+            bad = [(k, n) for k, v, n in found if v and draft.value.vocabulary[v[0]] >= suspect_ratio * n]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in bad], pa.string()), pa.array([n for _, n in bad], pa.int64())], names=["key", "n"])
 
     rare = words.where(F.col("n") * suspect_ratio <= max(vocabulary.values(), default=0)).select("key", "n")
@@ -373,13 +392,31 @@ def fit(chunks: DataFrame, *, share: float = 1e-6, suspect_ratio: int = 200, hea
     known = _bits(words.select("key").join(misread, "key", "left_anti"), known_bits)
     headers = _bits(counts.where("kind = 'l' and (n >= 3 or key not like '\n%')").select("key"), header_bits)
     bad = {r["key"] for r in misread.where(F.col("n") >= max(3, share * total)).toLocalIterator()}  # words of the vocabulary
-    return Model({k: n for k, n in vocabulary.items() if k not in bad}, known, headers)
+    return Model({k: n for k, n in vocabulary.items() if k not in bad}, known, headers, _context(chunks) if context else None)
 
 
 def is_word(text: str) -> bool:
     return text.replace("-", "").replace("’", "").replace("'", "").isalpha() and len(text) > 1
 
 
+def _context(chunks: DataFrame) -> np.ndarray:
+    """Bit array of the pairs of neighbouring words in all contents; a task sends its set bytes only."""
+
+    def run(batches):
+        out = np.zeros(1 << (CONTEXT_BITS - 3), np.uint8)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2000):
+                at = (Shingled([t or "" for t in batch.column(0).slice(start, 2000).to_pylist()], 2).hashes >> np.uint64(64 - CONTEXT_BITS)).astype(np.int64)
+                np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at].astype(np.int64))], names=["at", "b"])
+
+    rows = chunks.select("content").where("content is not null").mapInArrow(run, "at long, b long").groupBy("at").agg(F.bit_or("b").alias("b")).toPandas()
+    out = np.zeros(1 << (CONTEXT_BITS - 3), np.uint8)
+    out[rows["at"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64).astype(np.uint8)
+    return out
+
+
 def _bits(keys: DataFrame, bits: int) -> np.ndarray:
     """A Bloom bit array (three hashes) of fixed size over ``keys``."""
 
@@ -478,6 +515,12 @@ class Repair:
         if self.model.tokens.keys().isdisjoint(text.split()):
             return text
         self.kinds.add("ocr")
+        if self.model.context is not None and not self.model.choices.keys().isdisjoint(text.split()):
+            parts = re.split(r"(\s+)", text)
+            for i in range(0, len(parts), 2):
+                if parts[i] in self.model.choices:
+                    parts[i] = self.model.choose(parts[i - 2] if i else "", parts[i], parts[i + 2] if i + 2 < len(parts) else "")
+            text = "".join(parts)
         return _TOKEN.sub(lambda m: self.model.tokens.get(m[0], m[0]), text)
 
     def content(self, text: str) -> str:
@@ -579,14 +622,16 @@ def scan_noise(chunks: DataFrame, *, with_text: bool = False, **options) -> Data
     broken words and looks for words that are unknown: Levenshtein automata of
     all unknown words of a batch are intersected with the vocabulary trie
     (distance 1, then 2), and of the candidates those count that a known
-    misreading of shapes explains; the fewest confusions, then the commonest
-    word wins. Both passes stream; nothing but counts is shuffled.
+    misreading of shapes explains. The fewest confusions win, then the words
+    that the corpus has beside the neighbours (pairs of words in a bit array;
+    only where text is repaired), then the commonest. All passes stream;
+    nothing but counts and bits is shuffled.
 
     Null ids take no part; null, empty and clean fields give no rows; repeated
     rows count once. A text of one line has no page furniture.
     """
     rows = chunks.select("chunk_id", "title", "content", "file").where("chunk_id is not null and (title is not null or content is not null)")
-    model = fit(rows.select("title", "content", "file"), **options)
+    model = fit(rows.select("title", "content", "file"), context=with_text, **options)
     shared = rows.sparkSession.sparkContext.broadcast(model)
     schema = "chunk_id string, field string, noise string, repaired string"
     return rows.mapInArrow(_scan(shared, with_text), schema).dropDuplicates(["chunk_id", "field", "noise"])

@@ -96,6 +96,17 @@ def test_scan_kinds_and_repair(spark):
     assert not {k for k in got if k[0].startswith(("n", "c"))}
 
 
+def test_context_decides_between_candidates(spark):
+    body = [(f"c{i}", "T", "the hold was kept and the bold step was taken by the crew", "f") for i in range(6)]
+    body += [(f"d{i}", "T", "the cat sat with a hat on the cat", "f") for i in range(4)]
+    body += [("s1", "T", "the |old step was taken", "f")]
+    df = spark.createDataFrame(body, "chunk_id string, title string, content string, file string")
+    model = scans.fit(df.select("title", "content", "file"), context=True)
+    model.choices = {"x": ["hold", "bold"]}
+    assert model.follows("bold", "step") and not model.follows("hold", "step")
+    assert model.choose("the", "x", "step") == "bold" and model.choose("the", "x", "was") == "hold"
+
+
 def test_scan_of_empty_table(spark):
     assert scans.scan_noise(spark.createDataFrame([], "chunk_id string, title string, content string, file string")).count() == 0
 
