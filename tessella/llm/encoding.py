@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,6 +72,9 @@ def ungarble(text: str, chain: tuple[tuple[str, str], ...]) -> str | None:
     return text
 
 
+#: Size of the bit array of words and their neighbours: 2**25 bits are 4 MB.
+CONTEXT_BITS = 25
+
 _PUNCT = r"[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+"
 _SPACE = re.compile(r"[ \t\r\n\f]+")
 _STRIP = re.compile(f"^{_PUNCT}|{_PUNCT}$")
@@ -109,7 +114,7 @@ def _generate(shared):
 
 
 def garbled_table(words: DataFrame) -> DataFrame:
-    """(garbled, original, chain, weak): which corpus words are garbled forms of clean corpus words.
+    """(garbled, original, chain, weak, options): which corpus words are garbled forms of clean corpus words.
 
     words: (word, n). Every word is garbled under every chain, and the forms
     are hash-joined with the corpus words. Which of two words that map to each
@@ -119,7 +124,8 @@ def garbled_table(words: DataFrame) -> DataFrame:
     originals the one with the largest product counts, times the number of
     forms of three or more characters that speak for its chain; a form of one
     or two characters needs a chain for which such forms speak. ``weak`` marks
-    single characters left of a form whose no-break space was lost.
+    single characters left of a form whose no-break space was lost; ``options``
+    has all originals in question, several where a chain lost characters.
     """
     # one row per character: at most as many as Unicode has, whatever the corpus
     chars = words.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c"), "n").where("c rlike '[^\\\\x00-\\\\x7f]'").groupBy("c").agg(F.sum("n").alias("n")).toPandas()
@@ -135,13 +141,14 @@ def garbled_table(words: DataFrame) -> DataFrame:
         known = F.create_map(*[F.lit(x) for pair in support.items() for x in pair])[F.col("chain")] if support else F.lit(None).cast("long")
         judged = clean.withColumn("support", F.coalesce(known, F.lit(0))).where("support > 0")
         best = judged.groupBy("garbled").agg(F.max_by(F.struct("original", "chain", "weak"), F.struct(F.col("score") * F.col("support"), "original")).alias("m")).select("garbled", "m.*")
-    return best.select("garbled", "original", "chain", "weak")
+    options = judged.groupBy("garbled").agg(F.collect_set("original").alias("options"))  # words of one lossy form
+    return best.select("garbled", "original", "chain", "weak").join(options, "garbled")
 
 
 def find_garbled(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(tokens, table): the garbled words of each document, and the table they were found in.
 
-    tokens: (id, garbled, original, chain), one row per document and garbled
+    tokens: (id, garbled, original, chain, options), one row per document and garbled
     word; original is null for words with U+FFFD that match no corpus word.
     Words are runs between ASCII white space, without ASCII punctuation around
     them; pure ASCII words can't show any garbling.
@@ -160,16 +167,49 @@ def find_garbled(docs: DataFrame, *, id: str = "doc_id", text: str = "text") ->
     bloom = BloomFilter.build(table, "garbled")
     maybe = bloom.probe(flat, "word", "_maybe").where("_maybe").drop("_maybe")
     sure = F.max(~F.col("weak")).over(Window.partitionBy("id", "chain"))
-    tokens = maybe.join(table, F.col("word") == F.col("garbled")).withColumn("sure", sure).where("sure").select("id", "garbled", "original", "chain")
+    tokens = maybe.join(table, F.col("word") == F.col("garbled")).withColumn("sure", sure).where("sure").select("id", "garbled", "original", "chain", "options")
     lost = flat.where(F.col("word").contains("�")).join(table, F.col("word") == F.col("garbled"), "left_anti")
-    lost = lost.select("id", F.col("word").alias("garbled"), F.lit(None).cast("string").alias("original"), F.lit(None).cast("int").alias("chain"))
+    lost = lost.select("id", F.col("word").alias("garbled"), F.lit(None).cast("string").alias("original"), F.lit(None).cast("int").alias("chain"), F.array().cast("array<string>").alias("options"))
     return tokens.unionByName(lost).dropDuplicates(["id", "garbled"]), table
 
 
-def restore_text(text: str, found: dict[str, tuple[str | None, int]], chains: list[int]) -> tuple[str, int, int]:
+def _beside(word: str, other: str, left: bool) -> int:
+    """Slot of a word and its neighbour (digits as #, without case and punctuation) in the context's bit array."""
+    other = re.sub(r"\d+", "#", _STRIP.sub("", other).lower())
+    return xxhash.xxh3_64_intdigest(f"{other}\t{word}" if left else f"{word}\t{other}\t") >> (64 - CONTEXT_BITS)
+
+
+def context_bits(texts: DataFrame) -> np.ndarray:
+    """Bit array of all words that aren't ASCII with each of their neighbours; column ``t``. A task sends its set bytes only."""
+
+    def run(batches):
+        out = np.zeros(1 << (CONTEXT_BITS - 3), np.uint8)
+        for batch in batches:
+            slots = []
+            for t in batch.column(0).to_pylist():
+                parts = t.split()
+                for i, p in enumerate(parts):
+                    if not p.isascii():
+                        word = _STRIP.sub("", p)
+                        slots += [_beside(word, parts[i - 1], True)] if i else []
+                        slots += [_beside(word, parts[i + 1], False)] if i + 1 < len(parts) else []
+            at = np.array(slots, dtype=np.int64)
+            np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at].astype(np.int64))], names=["at", "b"])
+
+    rows = texts.mapInArrow(run, "at long, b long").groupBy("at").agg(F.bit_or("b").alias("b")).toPandas()
+    out = np.zeros(1 << (CONTEXT_BITS - 3), np.uint8)
+    out[rows["at"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64).astype(np.uint8)
+    return out
+
+
+def restore_text(text: str, found: dict[str, tuple[str | None, int, list[str]]], chains: list[int], context: np.ndarray | None = None) -> tuple[str, int, int]:
     """(restored text, garbled words restored, garbled words left).
 
-    found: garbled word -> (original or None, chain).
+    found: garbled word -> (original or None, chain, options). Of several
+    options the one that the corpus has beside both neighbours counts, else
+    beside one, else the original.
 
     Words in ``found`` are replaced by their verified originals; other words
     that aren't ASCII are undone by the document's own chains where that is
@@ -178,14 +218,23 @@ def restore_text(text: str, found: dict[str, tuple[str | None, int]], chains: li
     done = left = 0
     out = []
     lost_space = False
-    for part in re.split(r"([ \t\r\n\f]+)", text):
+    parts = re.split(r"([ \t\r\n\f]+)", text)
+
+    def fits(word: str, i: int) -> int:
+        sides = [(parts[j], j < i) for j in (i - 2, i + 2) if 0 <= j < len(parts)]
+        slots = [_beside(word, other, left) for other, left in sides if other]
+        return sum(int(context[s >> 3] >> (s & 7) & 1) for s in slots)
+
+    for i, part in enumerate(parts):
         if lost_space and part[:2] == "  ":  # the first of them was the no-break space of a garbled form
             part = part[1:]
         lost_space = False
         if not part.isascii():
             core = _STRIP.sub("", part)
             at = part.find(core)
-            good, chain = found.get(core, (None, -1))
+            good, chain, options = found.get(core, (None, -1, []))
+            if len(options) > 1 and context is not None:
+                good = max([good, *sorted(options)], key=lambda w: fits(w, i))
             if good is not None and garble(good, CHAINS[chain]) == core + "\xa0":
                 lost_space = True
             if good is None:
@@ -209,8 +258,10 @@ def restore_garbled(docs: DataFrame, *, id: str = "doc_id", text: str = "text")
     Documents that aren't garbled don't appear. See ``find_garbled``.
     """
     tokens, _ = find_garbled(docs, id=id, text=text)
-    per_doc = tokens.groupBy("id").agg(F.collect_list(F.struct("garbled", "original", "chain")).alias("found"))  # words of one document
-    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("t")).where(F.col("t").rlike(r"[^\x00-\x7f]")).join(per_doc, "id").dropDuplicates(["id"])
+    per_doc = tokens.groupBy("id").agg(F.collect_list(F.struct("garbled", "original", "chain", "options")).alias("found"))  # words of one document
+    texts = docs.select(F.col(id).alias("id"), F.col(text).alias("t")).where(F.col("t").rlike(r"[^\x00-\x7f]"))
+    shared = docs.sparkSession.sparkContext.broadcast(context_bits(texts.select("t")))
+    rows = texts.join(per_doc, "id").dropDuplicates(["id"])
 
     @F.pandas_udf("restored string, chains string, words_restored int, words_left int")
     def restore(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
@@ -221,7 +272,8 @@ def restore_garbled(docs: DataFrame, *, id: str = "doc_id", text: str = "text")
                 if r["chain"] is not None and not np.isnan(r["chain"]):
                     counts[int(r["chain"])] = counts.get(int(r["chain"]), 0) + 1
             order = sorted(counts, key=lambda k: (-counts[k], k))
-            s, a, b = restore_text(t, {r["garbled"]: (r["original"], -1 if r["chain"] is None or np.isnan(r["chain"]) else int(r["chain"])) for r in rows}, order)
+            words = {r["garbled"]: (r["original"], -1 if r["chain"] is None or np.isnan(r["chain"]) else int(r["chain"]), list(r["options"])) for r in rows}
+            s, a, b = restore_text(t, words, order, shared.value)
             out.append((s, "; ".join(CHAIN_NAMES[k] for k in order), a, b))
         return pd.DataFrame(out, columns=["restored", "chains", "words_restored", "words_left"])
 
