@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.lexicon import Trie
 from tessella.llm.shingles import Shingled
+from tessella.operators.bloom import BloomFilter
 from tessella.session import materialize
 
 #: What is read (left) for what is printed (right), by shape.
@@ -49,7 +50,9 @@ _BROKEN_LINE = re.compile(rf"[^\W\d_][{_HYPHENS}][ ]?\r?\n\s*[a-z]")
 _LOWER_WORD = re.compile(r"(?:^|\s)[a-zà-öø-ÿ][^\s\d]{3}")
 _EDGE = ".,;:()[]{}\"“”„‘’'«»…?<>*_`~"
 _CODE = re.compile(r"[A-Z0-9]{1,4}-\d+|[-+±~]?\d[\d.,:/%×x-]*[^\W\d_]{0,3}[\d%]?|\d+(?:st|nd|rd|th)", re.I)
+_HYPHENATED = re.compile(rf"[{_HYPHENS}]\s")
 _LIGATURE = re.compile("[ﬀ-ﬆ]")
+_BROKEN_WORD = re.compile(rf"\S+[{_HYPHENS}][ ]?\r?\n(?:[^\n]*\n){{0,4}}?\s*[a-zà-öø-ÿﬁ-ﬆ]\S*")  # with page furniture between the parts
 
 
 def core(token: str) -> str:
@@ -294,10 +297,45 @@ def misreading(read: str, printed: str, most: int = 3) -> int | None:
     return best.get((n, m)) if (best.get((n, m)) or 0) <= most else None
 
 
+#: Of a row of ``_counted``: what counts.
+FILE_CONTENT, FILE_TITLE, TITLE, CONTENT = 1, 2, 4, 8
+ALL = FILE_CONTENT | FILE_TITLE | TITLE | CONTENT
+
+
+def _counted(chunks: DataFrame) -> DataFrame:
+    """(title, content, file, how, copies): every text once for each thing it counts for.
+
+    Contents met once are read where they are and count for everything. The
+    others (told by a Bloom filter of their hashes, so a few more) are reduced:
+    lines of a content count once per file and once overall, those of a title
+    and its words once per (file, title, content) and (title, content), words
+    of a content once. ``copies`` are the chunks that have the content.
+    """
+    id_ = F.col("chunk_id") if "chunk_id" in chunks.columns else F.monotonically_increasing_id().cast("string")
+    rows = chunks.select(id_.alias("id"), "title", "content", "file", F.xxhash64(F.coalesce("content", F.lit(""))).alias("h"))
+    repeated = materialize(rows.groupBy("h").count().where("count >= 2").select("h"))
+    probed = BloomFilter.build(repeated, "h").probe(rows, "h", "again")
+    once = probed.where("not again").select("title", "content", "file", F.lit(ALL).alias("how"), F.lit(1).cast("long").alias("copies"))
+    texts = materialize(
+        probed.where("again").select("id", "title", "content", "file").distinct()
+        .groupBy("title", "content", "file").agg(F.count(F.lit(1)).alias("copies"))
+    )
+    none = F.lit(None).cast("string")
+    parts = (
+        (texts, FILE_TITLE), (texts.groupBy("title", "content").agg(F.lit(1).alias("copies")).withColumn("file", none), TITLE),
+        (texts.groupBy("content", "file").agg(F.lit(1).alias("copies")).withColumn("title", none), FILE_CONTENT),
+        (texts.groupBy("content").agg(F.min("title").alias("title"), F.sum("copies").alias("copies")).withColumn("file", none), CONTENT),
+    )
+    for df, how in parts:
+        once = once.unionByName(df.select("title", "content", "file", F.lit(how).alias("how"), F.col("copies").cast("long").alias("copies")))
+    return once
+
+
 def _words_and_lines(batches):
-    """Of a partition: ('w', word, count in chunks without and with symptoms) and ('l', file + line key or line key, count)."""
+    """Of rows of ``_counted``: ('w', word, count in texts without and with symptoms, count in all copies), ('l', file + line key or line key, count) and ('t', totals of 'w')."""
     raw: Counter[str] = Counter()
     noisy: Counter[str] = Counter()
+    more: Counter[str] = Counter()
     lines: Counter[str] = Counter()
     seen: set[str] = set()
     odd: set[str] = set()
@@ -311,22 +349,24 @@ def _words_and_lines(batches):
 
 
     def flush():
-        words: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
-        for found, tokens in zip(words, (raw, noisy)):
+        words: tuple[Counter[str], ...] = (Counter(), Counter(), Counter())
+        for found, tokens in zip(words, (raw, noisy, more)):
             for token, n in tokens.items():
                 w = core(token).lower()
                 if len(w) > 1 and not _DIGIT.search(w):
                     found[w] += n
             tokens.clear()
-        rows = [("w", w, words[0][w], words[1][w]) for w in words[0]] + [("l", k, n, 0) for k, n in lines.items()]
+        clean, scanned, extra = words
+        rows = [("w", w, clean[w], scanned[w], clean[w] + scanned[w] + extra[w]) for w in clean.keys() | scanned.keys()] + [("l", k, n, 0, 0) for k, n in lines.items()]
+        rows.append(("t", "", *(sum(c.values()) for c in (clean, scanned)), sum(r[4] for r in rows)))
         lines.clear()
         seen.clear()
         odd.clear()
-        types = (pa.string(), pa.string(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["kind", "key", "n", "noisy"])
+        types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["kind", "key", "n", "noisy", "stored"])
 
     for batch in batches:
-        for title, content, file in zip(*(c.to_pylist() for c in batch.columns)):
+        for title, content, file, how, copies in zip(*(c.to_pylist() for c in batch.columns)):
             keys = set()
             heading = title.split() if title else []
             scanned = bool(title) and ("\n" in title or symptoms(heading))
@@ -339,13 +379,24 @@ def _words_and_lines(batches):
                     scanned = scanned or ("-\n" in content and bool(_BROKEN_LINE.search(content)))
                 tokens = content.split()
                 scanned = symptoms(tokens) or scanned
-                (noisy if scanned else raw).update(tokens)
+                if how & CONTENT:
+                    if scanned and "\n" in content:
+                        tokens = _BROKEN_WORD.sub(" ", content).split()
+                    (noisy if scanned else raw).update(tokens)
+                    if copies > 1:
+                        for token in tokens:
+                            more[token] += copies - 1
+            above = set()
             if title:
-                keys.update(line_key(p) for p in title_parts(title) if may_be_header(p) and not p.islower())
-                (noisy if scanned else raw).update(heading)
-            for k in keys:
-                lines[f"{file}\n{k}"] += 1
-                lines["\n" + k] += 1
+                above.update(line_key(p) for p in title_parts(title) if may_be_header(p) and not p.islower())
+                if how & TITLE:
+                    (noisy if scanned else raw).update(_TITLE_HYPHEN.sub(" ", title).split() if _HYPHENATED.search(title) else heading)
+            for bits, found in (((FILE_CONTENT, CONTENT), keys), ((FILE_TITLE, TITLE), above - keys)):
+                for k in found:
+                    if how & bits[0]:
+                        lines[f"{file}\n{k}"] += 1
+                    if how & bits[1]:
+                        lines["\n" + k] += 1
         if len(raw) + len(noisy) + len(lines) + len(seen) > 600_000:
             yield flush()
     yield flush()
@@ -360,38 +411,52 @@ def title_parts(title: str) -> list[str]:
 
 
 def fit(chunks: DataFrame, *, share: float = 1e-6, suspect_ratio: int = 200, context: bool = False, header_bits: int = 1 << 25, known_bits: int = 1 << 25) -> Model:
-    """One pass over (title, content, file): word and line counts, combined per task before the shuffle.
-
-    The vocabulary keeps words of at least 3 occurrences and ``share`` of all
-    (so at most 1 / share words); every word met twice is known, unless a known
-    misreading makes it of a word ``suspect_ratio`` times as common. Only chunks
-    without symptoms of scanning count, and words with a fifth or more of their
-    occurrences in chunks with them count nothing. Lines are headers if they recur in a file, or three
-    times anywhere.
+    """Word and line counts of (title, content, file) rows, combined per task before the shuffle.
+
+    Copies of a text count once (see ``_counted``); with a column ``chunk_id``
+    a repeated row counts as one copy. Sure are words met twice in texts
+    without symptoms of scanning whose odds of standing in texts with symptoms
+    are at most a quarter. They are known unless a known misreading makes
+    them of a word ``suspect_ratio`` times as common. Other words met twice in any
+    texts and copies, if the odds don't speak against it, are doubtful: they are known unless a known misreading
+    makes them of a sure word or of a commoner one. The vocabulary keeps known
+    words of at least 3 occurrences and ``share`` of all (so at most 2 / share
+    words). Lines are headers if they recur in a file, or three times anywhere.
     """
     counts = (
-        chunks.mapInArrow(_words_and_lines, "kind string, key string, n long, noisy long")
-        .groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("noisy").alias("noisy")).where("n >= 2 and noisy * 4 <= n")
+        _counted(chunks).mapInArrow(_words_and_lines, "kind string, key string, n long, noisy long, stored long")
+        .groupBy("kind", "key").agg(*(F.sum(c).alias(c) for c in ("n", "noisy", "stored"))).where("n >= 2 or stored >= 2 or kind = 't'")
     )
     counts = materialize(counts, "kind")
-    words = counts.where("kind = 'w'")
-    total = words.agg(F.sum("n")).first()[0] or 0
-    vocabulary = {r["key"]: r["n"] for r in words.where(F.col("n") >= max(3, share * total)).select("key", "n").toLocalIterator() if is_word(r["key"])}
-    draft = chunks.sparkSession.sparkContext.broadcast(Model(vocabulary, np.zeros(8, np.uint8), np.zeros(8, np.uint8)))
+    total = counts.where("kind = 't'").agg(F.sum("n").alias("n"), F.sum("noisy").alias("noisy"), F.sum("stored").alias("stored")).first()
+    clean, noisy, stored = (total[c] or 0 for c in ("n", "noisy", "stored"))
+    odds = 0.25
+    sure = (F.col("n") >= 2) & (F.col("noisy") <= odds * F.col("n"))
+    doubtful = ((F.col("stored") >= 2) & (F.col("noisy") <= odds * (F.col("n") + 2)))  # what only noisy texts have where others abound is mostly broken words
+    least, least_doubtful = max(3, share * clean), max(3, share * stored)
+    words = counts.where("kind = 'w'").where(sure | doubtful).select("key", (F.col("n") + F.col("noisy")).alias("n"), sure.alias("sure"), F.when(sure, F.col("n") >= least).otherwise(F.col("stored") >= least_doubtful).alias("often"))
+    often = [r for r in words.where("often").toLocalIterator() if is_word(r["key"])]
+    vocabulary = {r["key"]: r["n"] for r in often}
+    firm = frozenset(r["key"] for r in often if r["sure"])
+    draft = chunks.sparkSession.sparkContext.broadcast((Model(vocabulary, np.zeros(8, np.uint8), np.zeros(8, np.uint8)), firm))
 
     def suspects(batches):
+        model, firm = draft.value
         for batch in batches:
-            keys, ns = (c.to_pylist() for c in batch.columns)
-            draft.value.learn({k for k in keys if 3 < len(k) <= 40})
-            found = [(k, draft.value.fixes.get(k), n) for k, n in zip(keys, ns)]
-            bad = [(k, n) for k, v, n in found if v and draft.value.vocabulary[v[0]] >= suspect_ratio * n]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in bad], pa.string()), pa.array([n for _, n in bad], pa.int64())], names=["key", "n"])
-
-    rare = words.where(F.col("n") * suspect_ratio <= max(vocabulary.values(), default=0)).select("key", "n")
-    misread = materialize(rare.repartition("key").mapInArrow(suspects, "key string, n long"))
+            rows = list(zip(*(c.to_pylist() for c in batch.columns)))
+            model.learn({k for k, _, is_sure, _ in rows if (3 if is_sure else 2) < len(k) <= 40})
+            bad = []
+            for k, n, is_sure, often in rows:
+                v = (model.fixes.get(k) or [None])[0]
+                if v and (model.vocabulary[v] >= suspect_ratio * n if is_sure else v in firm or model.vocabulary[v] > n):
+                    bad.append((k, often))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in bad], pa.string()), pa.array([o for _, o in bad], pa.bool_())], names=["key", "often"])
+
+    rare = words.where(~F.col("sure") | (F.col("n") * suspect_ratio <= max(vocabulary.values(), default=0)))
+    misread = materialize(rare.repartition("key").mapInArrow(suspects, "key string, often boolean"))
     known = _bits(words.select("key").join(misread, "key", "left_anti"), known_bits)
-    headers = _bits(counts.where("kind = 'l' and (n >= 3 or key not like '\n%')").select("key"), header_bits)
-    bad = {r["key"] for r in misread.where(F.col("n") >= max(3, share * total)).toLocalIterator()}  # words of the vocabulary
+    headers = _bits(counts.where("kind = 'l' and (n >= 3 or key not like '\n%') and n >= 2").select("key"), header_bits)
+    bad = {r["key"] for r in misread.where("often").toLocalIterator()}  # words of the vocabulary
     return Model({k: n for k, n in vocabulary.items() if k not in bad}, known, headers, _context(chunks) if context else None)
 
 
@@ -473,7 +538,7 @@ class Repair:
                 if _plausible(lines, i):
                     gone.add(i)
                     self.kinds.add("page_number")
-            elif self.model.is_header(self.file, rest) or (not rest.islower() and _interrupts(lines, i)):
+            elif self.model.is_header(self.file, rest) or (not rest.islower() and (_interrupts(lines, i) or page and _touches(lines, i))):
                 gone.add(i)
                 self.kinds.add("header")
                 if page:
@@ -576,6 +641,13 @@ def _interrupts(lines: list[str], i: int) -> bool:
     return bool(before) and after[:1].islower() and before[-1:].isalnum() and not _ITEM.match(before) and not PAGE.fullmatch(before)
 
 
+def _touches(lines: list[str], i: int) -> bool:
+    """Whether line i is the first or last with text and no blank line parts it from the rest."""
+    if not _beside(lines, i, -1):
+        return bool(lines[i + 1 : i + 2] and lines[i + 1].strip())
+    return not _beside(lines, i, 1) and bool(lines[i - 1].strip())
+
+
 def _plausible(lines: list[str], i: int) -> bool:
     """A roman numeral or letter-number line counts as a page number only by itself; all other forms always do."""
     return bool(lines[i].strip()) and not (len(lines) == 1)
@@ -631,7 +703,7 @@ def scan_noise(chunks: DataFrame, *, with_text: bool = False, **options) -> Data
     rows count once. A text of one line has no page furniture.
     """
     rows = chunks.select("chunk_id", "title", "content", "file").where("chunk_id is not null and (title is not null or content is not null)")
-    model = fit(rows.select("title", "content", "file"), context=with_text, **options)
+    model = fit(rows, context=with_text, **options)
     shared = rows.sparkSession.sparkContext.broadcast(model)
     schema = "chunk_id string, field string, noise string, repaired string"
     return rows.mapInArrow(_scan(shared, with_text), schema).dropDuplicates(["chunk_id", "field", "noise"])

@@ -95,6 +95,19 @@ def test_scan_kinds_and_repair(spark):
     assert not {k for k in got if k[0].startswith(("n", "c"))}
 
 
+def test_scan_counts_copies_once(spark):
+    misread = "The prcssure was confirmed before the countdown."
+    heading = "Engineers confirmed the margin.\n\nLanding Strut Margin\n\nThe heated check valve."
+    got = scanned(spark, [
+        *[("p%d" % i, "Test Configuration", f"The pressure of tank {i} was confirmed.", "p.pdf") for i in range(4)],
+        *[("m1", "Test Configuration", misread, "m.pdf")] * 4, *[(f"k{i}", f"Title {i}", misread, f"k{i}.pdf") for i in range(5)],
+        *[("h1", "Test Configuration", heading, "h.pdf")] * 3, *[(f"j{i}", f"Title {i}", heading, f"j{i}.pdf") for i in range(5)],
+        ("s1", "Test Configuration", "7  HAVREL PROGRAM HANDBOOK\nThe landing strut.", "s.pdf"), ("s1", "Test Configuration", "7  HAVREL PROGRAM HANDBOOK\nThe landing strut.", "s.pdf"),
+    ])
+    assert {k for k in got if k[0][0] in "mk"} == {(c, "content") for c in ("m1", "k0", "k1", "k2", "k3", "k4")} and got["m1", "content"] == [{"ocr"}, misread.replace("prcss", "press")]
+    assert not {k for k in got if k[0][0] in "hjpc"} and got["s1", "content"][0] == {"header", "page_number"}
+
+
 def test_context_decides_between_candidates(spark):
     body = [(f"c{i}", "T", "the hold was kept and the bold step was taken by the crew", "f") for i in range(6)]
     body += [(f"d{i}", "T", "the cat sat with a hat on the cat", "f") for i in range(4)]
