@@ -416,9 +416,11 @@ def fit(chunks: DataFrame, *, share: float = 1e-6, suspect_ratio: int = 200, con
     Copies of a text count once (see ``_counted``); with a column ``chunk_id``
     a repeated row counts as one copy. Sure are words met twice in texts
     without symptoms of scanning whose odds of standing in texts with symptoms
-    are at most a quarter. They are known unless a known misreading makes
-    them of a word ``suspect_ratio`` times as common. Other words met twice in any
-    texts and copies, if the odds don't speak against it, are doubtful: they are known unless a known misreading
+    are at most a quarter or twice those of all words, so that a large scanned
+    share alone casts no doubt. They are known unless a known misreading makes
+    them of a word ``suspect_ratio`` times as common. Other words met twice
+    there, or, if the odds don't speak against it, in any texts and copies, are
+    doubtful: they are known unless a known misreading
     makes them of a sure word or of a commoner one. The vocabulary keeps known
     words of at least 3 occurrences and ``share`` of all (so at most 2 / share
     words). Lines are headers if they recur in a file, or three times anywhere.
@@ -430,9 +432,9 @@ def fit(chunks: DataFrame, *, share: float = 1e-6, suspect_ratio: int = 200, con
     counts = materialize(counts, "kind")
     total = counts.where("kind = 't'").agg(F.sum("n").alias("n"), F.sum("noisy").alias("noisy"), F.sum("stored").alias("stored")).first()
     clean, noisy, stored = (total[c] or 0 for c in ("n", "noisy", "stored"))
-    odds = 0.25
+    odds = max(0.25, 2 * noisy / max(1, clean))
     sure = (F.col("n") >= 2) & (F.col("noisy") <= odds * F.col("n"))
-    doubtful = ((F.col("stored") >= 2) & (F.col("noisy") <= odds * (F.col("n") + 2)))  # what only noisy texts have where others abound is mostly broken words
+    doubtful = (F.col("n") >= 2) | ((F.col("stored") >= 2) & (F.col("noisy") <= odds * (F.col("n") + 2)))  # what only noisy texts have where others abound is mostly broken words
     least, least_doubtful = max(3, share * clean), max(3, share * stored)
     words = counts.where("kind = 'w'").where(sure | doubtful).select("key", (F.col("n") + F.col("noisy")).alias("n"), sure.alias("sure"), F.when(sure, F.col("n") >= least).otherwise(F.col("stored") >= least_doubtful).alias("often"))
     often = [r for r in words.where("often").toLocalIterator() if is_word(r["key"])]

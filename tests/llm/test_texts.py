@@ -108,6 +108,13 @@ def test_scan_counts_copies_once(spark):
     assert not {k for k in got if k[0][0] in "hjpc"} and got["s1", "content"][0] == {"header", "page_number"}
 
 
+def test_scan_with_mostly_scanned_texts(spark):
+    body = [(f"q{i}", "T", f"The pressure transducer of unit {'abcdefghij'[i % 10] * (2 + i // 10)} was installed" + (" with a va1ve." if i % 4 else "."), "q.pdf") for i in range(40)]
+    df = spark.createDataFrame(body + [("m1", "T", "A prcssure test.", "m.pdf")], "chunk_id string, title string, content string, file string")
+    got = {tuple(r) for r in scans.scan_noise(df).select("chunk_id", "field", "noise").collect()}
+    assert {"pressure", "transducer", "installed"} <= set(scans.fit(df).vocabulary) and ("m1", "content", "ocr") in got
+
+
 def test_context_decides_between_candidates(spark):
     body = [(f"c{i}", "T", "the hold was kept and the bold step was taken by the crew", "f") for i in range(6)]
     body += [(f"d{i}", "T", "the cat sat with a hat on the cat", "f") for i in range(4)]
