@@ -8,14 +8,41 @@ from pyspark.sql import functions as F
 from tessella.functions.links import BASE, document_number, report_number, search_link
 
 
+#: Characters of the runs by which names that may contain one another are found.
+_RUN = 8
+
+
+def _contained(names: DataFrame, known: DataFrame) -> DataFrame:
+    """(file_name, url_within) of the names that contain a known file or are contained in one.
+
+    The first run of the shorter name stands somewhere in the longer one, so
+    the runs of one side at every place meet the first runs of the other. Runs
+    are as long as the shorter name where that is below ``_RUN``.
+    """
+
+    def first(df: DataFrame, c: str) -> DataFrame:
+        return df.where(F.length(c) > 0).withColumn("run", F.substring(c, 1, _RUN))
+
+    def everywhere(df: DataFrame, c: str) -> DataFrame:
+        runs = F.expr(f"flatten(transform(sequence(1, length({c})), i -> transform(sequence(1, {_RUN}), k -> substring({c}, i, k))))")
+        return df.where(F.length(c) > 0).withColumn("run", F.explode(F.array_distinct(runs)))
+
+    a = first(names, "file_name").join(everywhere(known, "file"), "run").where(F.expr("contains(file, file_name)"))
+    b = everywhere(names, "file_name").join(first(known, "file"), "run").where(F.expr("contains(file_name, file)"))
+    pairs = a.select("file_name", "file", "url").unionByName(b.select("file_name", "file", "url"))
+    return pairs.groupBy("file_name").agg(F.min_by("url", "file").alias("url_within"))
+
+
 def resolve_links(files: DataFrame, links: DataFrame, *, base: str = BASE) -> DataFrame:
     """(file_name, url, step): the link of every file by the first step that gives one.
 
     files: (file_name); links: (file, url). Steps: 'exact' name, name without
-    regard to 'case' (least key), 'number' in the name, 'partial' (one name
-    within the other, in its extension-less stem), 'search'. Each step is an
+    regard to 'case' (least key), 'number' in the name, 'partial' (another
+    extension, else one name within the other), 'search'. Each step is an
     equi-join on a derived key; several links of one key count as the least.
-    Null names take no part.
+    Containment is decided exactly among the pairs that share a run of
+    characters as long as the shorter name, up to ``_RUN``; of several keys the
+    least counts. Null names take no part.
     """
     names = files.where("file_name is not null").select("file_name").distinct()
     known = links.where("file is not null and url is not null").groupBy("file").agg(F.min("url").alias("url"))
@@ -29,7 +56,10 @@ def resolve_links(files: DataFrame, links: DataFrame, *, base: str = BASE) -> Da
         .withColumn("low", F.lower("file_name")).join(lower, "low", "left")
         .withColumn("stem", stem("file_name")).join(stems, "stem", "left")
     )
-    steps = (("exact", F.col("url")), ("case", F.col("url_low")), ("number", made), ("partial", F.col("url_stem")), ("search", search_link(F.col("file_name"), base)))
+    joined = joined.withColumn("made", made)
+    left = joined.where(F.coalesce("url", "url_low", "made", "url_stem").isNull()).select("file_name")
+    joined = joined.join(_contained(left, known), "file_name", "left")
+    steps = (("exact", F.col("url")), ("case", F.col("url_low")), ("number", F.col("made")), ("partial", F.coalesce("url_stem", "url_within")), ("search", search_link(F.col("file_name"), base)))
     return joined.select(
         "file_name", F.coalesce(*[u for _, u in steps]).alias("url"),
         F.coalesce(*[F.when(u.isNotNull(), F.lit(s)) for s, u in steps]).alias("step"),

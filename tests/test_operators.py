@@ -66,6 +66,14 @@ def test_resolve_links(spark):
     assert got["plan.pdf"] == ("partial", "u2") and got["my file.pdf"] == ("search", "https://reports.example/search?q=my%20file") and len(got) == 5
 
 
+def test_resolve_links_by_containment(spark):
+    known = spark.createDataFrame([("plan.pdf", "u1"), ("long report on valves.pdf", "u2"), ("b.c", "u3"), ("", "u4")], "file string, url string")
+    names = spark.createDataFrame([("my plan.pdf",), ("report on valves.pdf",), ("ab.cd",), ("x plan",), ("",)], "file_name string")
+    got = {r["file_name"]: (r["step"], r["url"]) for r in U.resolve_links(names, known).collect()}
+    assert got["my plan.pdf"] == ("partial", "u1") and got["report on valves.pdf"] == ("partial", "u2") and got["ab.cd"] == ("partial", "u3")
+    assert got["x plan"][0] == "search" and len(got) == 5
+
+
 def test_log_pairs(spark):
     rows = [("l", 0, "x Downloading from: http://a?x"), ("l", 1, "x Downloaded 1/2: a.pdf"), ("l", 2, "x Downloading from: http://b"), ("l", 3, "noise"), ("l", 4, "x Downloaded 2/2: b.pdf"), ("m", 0, "x Downloaded 1/2: c.pdf")]
     assert [tuple(r) for r in U.pair_log_lines(spark.createDataFrame(rows, "log string, line_no int, line string")).collect()] == [("a.pdf", "http://a?x")]
