@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.session import materialize
+
 _PART = "entity string, start_us long, start_id long, end_us long, end_id long, n_events long, kinds array<string>, edge boolean"
 _ARROW = pa.schema([("entity", pa.string()), ("start_us", pa.int64()), ("start_id", pa.int64()), ("end_us", pa.int64()), ("end_id", pa.int64()), ("n_events", pa.int64()), ("kinds", pa.list_(pa.string())), ("edge", pa.bool_())])
 
@@ -80,11 +82,11 @@ def sessionize(events: DataFrame, *, entity: str, ts: str, id: str, kind: str, g
         F.col(id).cast("long").alias("id"),
         F.col(kind).cast("string").alias("kind"),
     ).where("entity is not null and us is not null and id is not null")
-    parts = (
+    parts = materialize(
         rows.repartitionByRange("entity", "us", "id")
         .sortWithinPartitions("entity", "us", "id")
         .mapInArrow(_scanner(gap_seconds * 1_000_000), _PART)
-    )
+    )  # read twice below, so that rows are scanned once
     w = Window.partitionBy("entity").orderBy("start_us", "start_id", "end_us")
     opens = F.coalesce((F.col("start_us") - F.lag("end_us").over(w) > gap_seconds * 1_000_000).cast("int"), F.lit(1))
     stitched = (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -34,11 +35,16 @@ def build_session(app: str = "tessella", master: str | None = None, **extra: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, a laptop) a temporary folder is
-    used, and it is removed when the process ends.
+    Only a local master (tests, a laptop), where driver and executors are one
+    process, may do without the setting: then a temporary folder is used and
+    removed when the process ends. Anywhere else that raises an error, since
+    each machine would write to its own disk and read a part of the data.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         path = getattr(spark, "_tessella_shared", None)
         if path is None:
             path = tempfile.mkdtemp(prefix="tessella-")

@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators.bloom import BloomFilter
@@ -116,3 +117,18 @@ def test_components(spark):
     assert got[4] == got[1] == 1 and got[11] == 10 and got[7] == 7 and got[22] == 20 and 5 not in got
     assert {got[100 + i] for i in range(41)} == {100}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_only_a_local_session_may_lack_the_shared_folder():
+    from types import SimpleNamespace
+
+    from tessella.session import shared_dir
+
+    def session(master):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master=master))
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]", "k8s://https://host"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_dir(session(master))
+    local = session("local[4]")
+    assert shared_dir(local) == shared_dir(local)
