@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessella.llm import packing
 from tessella.llm.mixing import Flight, land, mix_shares, mix_sources, water_fill
 from tessella.llm.neardup import expand_pairs, near_duplicates, near_groups, variants
-from tessella.llm.nearest import nearest_in_time
+from tessella.llm.nearest import nearest_in_time, tick_candidates
 from tessella.llm.shingles import Shingled
 from tessella.llm.tokens import encoder, token_count, DEFAULT_TOKENIZER
 
@@ -101,6 +101,28 @@ def test_nearest_equals_brute_force(spark):
     assert nearest_in_time(left.limit(0), right).count() == 0 and nearest_in_time(left, right.limit(0)).count() == 0
 
 
+def test_nearest_with_fractions_on_both_sides(spark):
+    rng = random.Random(3)
+    lefts = [(i, "a", T0 + timedelta(microseconds=rng.randrange(-4_000_000, 6_000_000))) for i in range(300)]
+    rights = [(i, "a", T0 + timedelta(microseconds=rng.randrange(-4_000_000, 6_000_000))) for i in range(40)]
+    schema = "id long, entity string, ts timestamp"
+    for tol, tick in ((1, 1), (2, 1), (3, 2)):
+        want = {i: min((abs(t - u), j) for j, _, u in rights)[1] for i, _, t in lefts if min(abs(t - u) for _, _, u in rights) <= timedelta(seconds=tol)}
+        got = dict(r[:2] for r in nearest_in_time(spark.createDataFrame(lefts, schema), spark.createDataFrame(rights, schema), tolerance_seconds=tol, tick_seconds=tick).collect())
+        assert got == want
+
+
+def test_tick_expansion_is_linear_in_the_density(spark):
+    """A user with 100 rows a second on the right: no more candidates than two per tick and second with right rows."""
+    schema = "entity string, us long"
+    lefts = spark.range(2000).select(F.lit("hot").alias("entity"), (F.col("id") * 1_000_000).alias("us"))
+    rights = spark.range(20_000).select(F.lit("hot").alias("entity"), (F.col("id") * 10_000 + 3).alias("us"), F.col("id").alias("right_id"))
+    n = tick_candidates(lefts, rights, 120_000_000, 1_000_000).count()
+    assert n <= 241 * 200 < 241 * 20_000  # 200 seconds hold right rows
+    pairs = nearest_in_time(lefts.select("entity", F.timestamp_micros("us").alias("ts"), F.col("us").alias("id")), rights.select("entity", F.timestamp_micros("us").alias("ts"), F.col("right_id").alias("id")))
+    assert pairs.count() == 320
+
+
 def test_token_counts(spark):
     texts = ["Hello world", "", None, "naïve 😀", "x" * 5000]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(token_count(F.col("t"))).collect()]
