@@ -35,12 +35,14 @@ class Trie:
         self.first = np.searchsorted(up[order], np.arange(len(end) + 1))
         self.ends = np.array(end, dtype=np.int64)
 
-    def within(self, queries: list[str], k: int) -> list[list[int]]:
+    def within(self, queries: list[str], k: int, confusable: dict[str, frozenset[str]] | None = None) -> list[list[int]]:
         """Per query the indices of all words within Levenshtein distance ``k``.
 
         The automaton of a query is kept as k + 1 bit masks over its positions
         and walked down the trie together with those of all other queries.
-        Queries of more than 62 characters find nothing.
+        With ``confusable`` (character of a query -> characters it may stand
+        for), the only edits are substitutions of those, which prunes the walk
+        to few nodes. Queries of more than 62 characters find nothing.
         """
         found: list[list[int]] = [[] for _ in queries]
         live = [i for i, q in enumerate(queries) if 0 < len(q) <= 62]
@@ -52,11 +54,18 @@ class Trie:
                 j = self.chars.get(c)
                 if j is not None:
                     match[r, j] |= np.uint64(1 << at)
+        may = np.zeros_like(match)
+        for r, i in enumerate(live if confusable else ()):
+            for at, c in enumerate(queries[i]):
+                for other in confusable.get(c, ()):
+                    j = self.chars.get(other)
+                    if j is not None:
+                        may[r, j] |= np.uint64(1 << at)
         full = np.array([(1 << (len(queries[i]) + 1)) - 1 for i in live], dtype=np.uint64)
         last = np.array([1 << len(queries[i]) for i in live], dtype=np.uint64)
         one = np.uint64(1)
         row, node = np.arange(len(live)), np.zeros(len(live), np.int64)
-        state = [np.full(len(live), np.uint64((1 << (d + 1)) - 1)) & full for d in range(k + 1)]
+        state = [np.full(len(live), np.uint64(1 if confusable else (1 << (d + 1)) - 1)) & full for d in range(k + 1)]
         while len(row):
             n = self.first[node + 1] - self.first[node]
             src = np.repeat(np.arange(len(row)), n)
@@ -67,7 +76,11 @@ class Trie:
             hit, cap = match[row, self.label[edge]], full[row]
             old = [s[src] for s in state]
             new = [((old[0] & hit) << one) & cap]
+            swap = may[row, self.label[edge]] if confusable else None
             for d in range(1, k + 1):
+                if confusable:
+                    new.append((((old[d] & hit) | (old[d - 1] & swap)) << one) & cap)
+                    continue
                 new.append((((old[d] & hit) << one) | old[d - 1] | (old[d - 1] << one) | (new[d - 1] << one)) & cap)
             keep = np.flatnonzero(new[k])
             row, node, state = row[keep], node[keep], [s[keep] for s in new]

@@ -6,12 +6,14 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.filters import MAX_BITS, KeyFilter, hashes
 from tessella.llm.lexicon import Trie
 from tessella.llm.shingles import Shingled
 from tessella.operators.bloom import BloomFilter
@@ -26,11 +28,12 @@ PAIRS = {tuple(p.replace("\x00", "|").split(" ", 1)) for p in CONFUSIONS if " "
 
 #: Characters that stand for letters inside words only by misreading.
 ODD = str.maketrans({"0": "o", "1": "l", "!": "i", "|": "l", "5": "s", "¢": "c", "9": "g", "6": "b", "2": "z", "8": "b", "@": "a", "$": "s", "€": "e", "3": "e", "ø": "o", "æ": "ae", "œ": "oe"})
-_BOTH = tuple((x, y) for a, b in (("vv", "w"), ("rn", "m"), ("cl", "d"), ("ii", "u"), ("li", "h")) for x, y in ((a, b), (b, a)))
 _FOLD = (("vv", "w"), ("rn", "m"), ("cl", "d"), ("ii", "u"), ("li", "h"), ("nn", "m"), ("ri", "n"))
 
-#: Size of the bit array of word pairs: 2**25 bits are 4 MB.
-CONTEXT_BITS = 25
+#: Words of the vocabulary that one trie holds; larger vocabularies are asked trie by trie.
+TRIE_WORDS = 200_000
+#: Longest words that are looked at (longer runs are no words).
+LONGEST = 60
 
 _HYPHENS = "-\xad‐¬"
 _ROMAN = r"[ivxlc]{1,6}"
@@ -47,9 +50,11 @@ _TITLE_HYPHEN = re.compile(rf"([^\W\d_]+)[{_HYPHENS}]\s+([a-zà-öø-ÿﬁ-ﬆ][
 _LEADER = re.compile(rf"(?:\s*\.{{3,}}\s*|\s{{2,}}|\t+|\s*\n\s*)({_NUMBER})\s*$|\s+([-–—~]\s*\d{{1,4}}\s*[-–—~])\s*$", re.I)
 _ODD_TOKEN = re.compile(r"[^\W\d_][0-9!|¢€][^\W\d_]|[¢øﬀ-ﬆ\xad]|vv|[^\W\d_][‐¬]$", re.I)
 _BROKEN_LINE = re.compile(rf"[^\W\d_][{_HYPHENS}][ ]?\r?\n\s*[a-z]")
+_HYPHEN_END = re.compile(rf"[^\W\d_][{_HYPHENS}]\s*[\r\n]")
 _LOWER_WORD = re.compile(r"(?:^|\s)[a-zà-öø-ÿ][^\s\d]{3}")
 _EDGE = ".,;:()[]{}\"“”„‘’'«»…?<>*_`~"
 _CODE = re.compile(r"[A-Z0-9]{1,4}-\d+|[-+±~]?\d[\d.,:/%×x-]*[^\W\d_]{0,3}[\d%]?|\d+(?:st|nd|rd|th)", re.I)
+_CODE_JVM = r"(?i)^(?:[A-Z0-9]{1,4}-[0-9]+|[-+±~]?[0-9][0-9.,:/%×x-]*\p{L}{0,3}[0-9%]?|[0-9]+(?:st|nd|rd|th))$"  # the same for the JVM
 _HYPHENATED = re.compile(rf"[{_HYPHENS}]\s")
 _LIGATURE = re.compile("[ﬀ-ﬆ]")
 _BROKEN_WORD = re.compile(rf"\S+[{_HYPHENS}][ ]?\r?\n(?:[^\n]*\n){{0,4}}?\s*[a-zà-öø-ÿﬁ-ﬆ]\S*")  # with page furniture between the parts
@@ -137,135 +142,129 @@ def _beside(lines: list[str], i: int, step: int) -> str:
     return ""
 
 
-class Model:
-    """What the passes over all chunks know: vocabulary, known words and recurring header lines.
+class Answers:
+    """What the tables say about one text's questions: known words, recurring headers, corrections and pairs of neighbours."""
 
-    ``vocabulary`` has the words that are corrections; its size is bounded by
-    1 / share. ``known``, ``headers`` and ``context`` (pairs of neighbouring words)
-    are hash sets in bit arrays of fixed size.
-    """
-
-    def __init__(self, vocabulary: dict[str, int], known: np.ndarray, headers: np.ndarray, context: np.ndarray | None = None) -> None:
-        self.vocabulary, self.known, self.headers, self.context = vocabulary, known, headers, context
-        self.trie = Trie(list(vocabulary))
-        self.fixes: dict[str, list[str]] = {}  # candidates, the likeliest first
-        self.seen: set[str] = set()
-        self.tokens: dict[str, str] = {}
-        self.choices: dict[str, list[str]] = {}  # tokens with several candidates that are as near
-
-    @staticmethod
-    def _slots(text: str, bits: int) -> tuple[int, int, int]:
-        h = hash_text(text)
-        return h % bits, (h >> 21) % bits, (h * 0x9E3779B97F4A7C15 >> 17) % bits
-
-    def _has(self, words: np.ndarray, text: str) -> bool:
-        return all(words[p >> 3] >> (p & 7) & 1 for p in self._slots(text, len(words) * 8))
+    def __init__(self, found: list[tuple[str, list[str] | None]] = (), pairs: frozenset[int] = frozenset()) -> None:
+        self.held = {k for k, _ in found}
+        self.fixes = {k[1:]: v for k, v in found if k[0] == "f"}
+        self.pairs = pairs
 
     def is_known(self, word: str) -> bool:
-        return word in self.vocabulary or self._has(self.known, word)
+        return "k" + word in self.held
 
     def is_header(self, file: str | None, text: str) -> bool:
-        key = line_key(text)
-        return self._has(self.headers, f"{file}\n{key}") or self._has(self.headers, "\n" + key)
-
-    def fine(self, word: str) -> bool:
-        """Whether a token core needs no correction."""
-        low = word.lower()
-        if len(low) < 3 or not any(c.isalpha() for c in low):
-            return True
-        if _CODE.fullmatch(word):
-            return len(low) < 4 or len(_DIGIT.findall(low)) != 1 or plain(low) not in self.vocabulary
-        if len(low) <= 40 and _ODD_CHAR.search(low):
-            flat = plain(low)
-            if flat != low and (_LIGATURE.search(low) or low not in self.vocabulary) and flat in self.vocabulary:
-                return False
-        if self.is_known(low):
-            return True
-        parts = re.split(r"[-‐/’']", low)
-        return len(parts) > 1 and all(len(p) < 3 or self.is_known(p) for p in parts)
-
-    def read(self, texts: list[str]) -> None:
-        """Find the corrections of all tokens of the texts that weren't seen before."""
-        if len(self.seen) > 500_000:
-            self.seen, self.tokens, self.choices, self.fixes = set(), {}, {}, {}
-        new: set[str] = set()
-        for text in texts:
-            new.update(text.split())
-        new -= self.seen
-        self.seen |= new
-        asked = []
-        words: set[str] = set()
-        for token in new:
-            inner = core(token)
-            if len(inner) <= 60 and not self.fine(inner):
-                parts = [inner, *(p for p in re.split(r"[-‐/]", inner) if len(p) > 2 and not self.fine(p))]
-                words.update(p.lower() for p in parts)
-                asked.append((token, inner))
-        self.learn(words)
-        for token, inner in asked:
-            good = self.fix(inner)
-            if good is None and re.search(r"[-‐/]", inner):
-                good = "".join(p if self.fine(p) else self.fix(p) or p for p in re.split(r"([-‐/])", inner))
-            if good is not None and good != inner:
-                self.tokens[token] = token.replace(inner, good)
-                if len(self.fixes.get(inner.lower()) or ()) > 1:
-                    self.choices[token] = [token.replace(inner, self.in_case(inner, v)) for v in self.fixes[inner.lower()]]
-
-    def learn(self, words: set[str]) -> None:
-        """Find the corrections of unknown words (lower case), all at once."""
-        todo = [w for w in words if w not in self.fixes]
-        asked: list[tuple[str, str]] = []
-        for w in todo:
-            forms = {w, plain(w)}
-            for a, b in _BOTH:
+        return any("h" + k in self.held for k in header_keys(file, text))
+
+    def corrections(self, token: str) -> list[str]:
+        """The corrected forms of a token, the likeliest first; empty where it needs none."""
+        inner = core(token)
+        low = inner.lower()
+        if low in self.fixes:
+            return [token.replace(inner, in_case(inner, v)) for v in self.fixes[low]]
+        parts = re.split(r"([-‐/])", inner)
+        if len(parts) == 1 or self.is_known(low) or _CODE.fullmatch(inner):
+            return []
+        good = "".join(in_case(x, self.fixes[x.lower()][0]) if x.lower() in self.fixes else x for x in parts)
+        return [token.replace(inner, good)] if good != inner else []
+
+    def choose(self, before: str, options: list[str], after: str) -> str:
+        """Of corrections that are as near, the one that the corpus has beside its neighbours, then the commonest."""
+        return max(options, key=lambda c: sum(p in self.pairs for p in pair_hashes(before, c, after)))
+
+
+def token_keys(token: str) -> list[str]:
+    """The questions that a token may need: corrections of its core and of the parts of a compound."""
+    inner = core(token)
+    if len(inner) > LONGEST:
+        return []
+    low = inner.lower()
+    if low.isalpha():
+        return [f"f{low}"] if len(low) > 2 else []
+    if _CODE.fullmatch(low) and (len(low) < 4 or len(_DIGIT.findall(low)) != 1):
+        return []
+    parts = [p for p in re.split(r"[-‐/]", low) if len(p) > 2]
+    return [f"f{low}", *(f"f{p}" for p in parts if p != low)] if len(low) > 2 else []
+
+
+def header_keys(file: str | None, text: str) -> tuple[str, str]:
+    key = line_key(text)
+    return f"{file}\n{key}", "\n" + key
+
+
+def pair_hashes(before: str, word: str, after: str) -> list[int]:
+    """Hashes of a word with the one before and the one after it, as ``neighbours`` makes them of whole texts."""
+    return Shingled([f"{core(a)} {core(b)}" for a, b in ((before, word), (word, after)) if a and b], 2).hashes.view(np.int64).tolist()
+
+
+def in_case(word: str, good: str) -> str:
+    """``good`` in the case of the misread word."""
+    if word.isupper() and len(word) > 1:
+        return good.upper()
+    return good[0].upper() + good[1:] if word[0].isupper() or (not word[0].islower() and word[1:2].isupper()) else good
+
+
+def confusable() -> dict[str, frozenset[str]]:
+    """Per character read the characters that it may be printed as."""
+    out: dict[str, set[str]] = {}
+    for read, printed in PAIRS:
+        if len(read) == len(printed) == 1:
+            out.setdefault(read, set()).add(printed)
+    return {c: frozenset(v) for c, v in out.items()}
+
+
+_LONG_PAIRS = tuple(sorted((a, b) for a, b in PAIRS if max(len(a), len(b)) > 1))
+
+
+def word_forms(word: str, most: int) -> set[str]:
+    """A word as it may have been printed: odd characters resolved, and up to ``most`` confusions that join or part letters undone."""
+    forms, last = {word, plain(word)}, {word}
+    for _ in range(most):
+        nxt = set()
+        for w in last:
+            for a, b in _LONG_PAIRS:
                 at = w.find(a)
                 while at >= 0:
-                    forms.add(plain(w[:at] + b + w[at + len(a) :]))
+                    nxt.add(w[:at] + b + w[at + len(a) :])
                     at = w.find(a, at + 1)
-            asked += [(w, f) for f in forms]
-        best: dict[str, set[tuple[int, int, str]]] = {}
-        for k in (1, 2):
-            batch = [(w, f) for w, f in asked if w not in best and (k == 1 or len(w) >= 6)]
-            for start in range(0, len(batch), 2000):
-                part = batch[start : start + 2000]
-                for (w, _), found in zip(part, self.trie.within([f for _, f in part], k)):
-                    for i in found:
-                        v = self.trie.words[i]
-                        cost = misreading(w, v) if v != w else 0
-                        if cost:
-                            best.setdefault(w, set()).add((cost, -self.vocabulary[v], v))
-        for w in todo:
-            ranked = sorted(best.get(w, ()))
-            self.fixes[w] = [v for cost, _, v in ranked if cost == ranked[0][0]]
-
-    def fix(self, word: str) -> str | None:
-        """The likeliest correction in the case of the misread word, or None."""
-        good = self.fixes.get(word.lower())
-        return self.in_case(word, good[0]) if good else None
-
-    def follows(self, first: str, second: str) -> bool:
-        """Whether the corpus has the two words side by side."""
-        pair = Shingled([f"{core(first)} {core(second)}"], 2).hashes
-        if self.context is None or not len(pair):
-            return False
-        at = int(pair[0] >> np.uint64(64 - CONTEXT_BITS))
-        return bool(self.context[at >> 3] >> (at & 7) & 1)
-
-    def choose(self, before: str, token: str, after: str) -> str:
-        """Of candidates that are as near, the one that fits its neighbours best, then the commonest."""
-        return max(self.choices[token], key=lambda c: bool(before) * self.follows(before, c) + bool(after) * self.follows(c, after))
+        last = nxt
+        forms.update(plain(w) for w in nxt)
+    return forms - {""}
+
+
+def broken_words(lines: list[str], furniture: set[int]) -> set[tuple[str, str, str]]:
+    """(left part, hyphen, right part) of all words that may be broken over these lines, with or without ``furniture`` lines between the parts."""
+    out: set[tuple[str, str, str]] = set()
+    ends = [i for i, line in enumerate(lines) if (t := line.rstrip())[-1:] and t[-1] in _HYPHENS and len(t) > 1 and t[-2].isalpha()]
+    at_ends = set(ends)
+    lefts: dict[int, set[str]] = {}
+    for i in ends:
+        body = lines[i].strip()
+        own = {body[:-1].split()[-1]} | (lefts.get(i, set()) if len(body.split()) == 1 else set())
+        for j in range(i + 1, len(lines)):
+            if not lines[j].strip():
+                continue
+            right = lines[j].split()[0]
+            out.update((left, body[-1], right) for left in own)
+            if j in at_ends and len(lines[j].split()) == 1:  # the word goes on over a third line
+                lefts.setdefault(j, set()).update(left + glue + right[:-1] for left in own for glue in ("", body[-1], "-"))
+            if j not in furniture:
+                break
+    return out
 
-    @staticmethod
-    def in_case(word: str, good: str) -> str:
-        if word.isupper() and len(word) > 1:
-            return good.upper()
-        return good[0].upper() + good[1:] if word[0].isupper() or (not word[0].islower() and word[1:2].isupper()) else good
 
+def joined_forms(left: str, mark: str, right: str) -> list[str]:
+    """What a broken word may read when joined."""
+    return [left + right, f"{left}-{right}"] if mark in "-‐" else [left + right, left + mark + right, f"{left}-{right}"]
 
-def hash_text(text: str) -> int:
-    import xxhash
 
-    return xxhash.xxh3_64_intdigest(text)
+def known_keys(left: str, mark: str, right: str) -> list[str]:
+    """The words whose being known decides how a broken word is joined."""
+    a, b = core(left).lower(), core(right).lower()
+    if not a or not b:
+        return []
+    last = re.split(r"[-‐]", a)[-1]
+    return list(dict.fromkeys(f"k{w}" for w in (a + b, f"{a}-{b}", last + b, a, b)))
 
 
 def plain(word: str) -> str:
@@ -332,13 +331,19 @@ def _counted(chunks: DataFrame) -> DataFrame:
 
 
 def _words_and_lines(batches):
-    """Of rows of ``_counted``: ('w', word, count in texts without and with symptoms, count in all copies), ('l', file + line key or line key, count) and ('t', totals of 'w')."""
+    """Of rows of ``_counted``: ('w', word, count in texts without and with symptoms, count in all copies), ('l', file + line key or line key, count) and ('t', totals of 'w').
+
+    Parts of compounds, words with digits in them and joined forms of broken
+    words don't count as words, but come out as 'w' with zeros, so that their
+    corrections are looked up as well.
+    """
     raw: Counter[str] = Counter()
     noisy: Counter[str] = Counter()
     more: Counter[str] = Counter()
     lines: Counter[str] = Counter()
     seen: set[str] = set()
     odd: set[str] = set()
+    asked: set[str] = set()  # words that may need an answer though they don't count themselves
 
     def symptoms(tokens: list[str]) -> bool:
         new = set(tokens) - seen
@@ -347,7 +352,6 @@ def _words_and_lines(batches):
             seen.update(new)
         return not odd.isdisjoint(tokens)
 
-
     def flush():
         words: tuple[Counter[str], ...] = (Counter(), Counter(), Counter())
         for found, tokens in zip(words, (raw, noisy, more)):
@@ -355,9 +359,15 @@ def _words_and_lines(batches):
                 w = core(token).lower()
                 if len(w) > 1 and not _DIGIT.search(w):
                     found[w] += n
+                    if len(w) > 3 and not w.isalpha():
+                        asked.update(k[1:] for k in token_keys(token))
+                elif len(w) > 2 and _ALPHA.search(w):
+                    asked.update(k[1:] for k in token_keys(token))
             tokens.clear()
         clean, scanned, extra = words
         rows = [("w", w, clean[w], scanned[w], clean[w] + scanned[w] + extra[w]) for w in clean.keys() | scanned.keys()] + [("l", k, n, 0, 0) for k, n in lines.items()]
+        rows += [("w", w, 0, 0, 0) for w in asked - clean.keys() - scanned.keys()]
+        asked.clear()
         rows.append(("t", "", *(sum(c.values()) for c in (clean, scanned)), sum(r[4] for r in rows)))
         lines.clear()
         seen.clear()
@@ -372,11 +382,15 @@ def _words_and_lines(batches):
             scanned = bool(title) and ("\n" in title or symptoms(heading))
             if content:
                 if "\n" in content:
-                    for _, text, page in foreign_lines(content.split("\n"), lower=False):
-                        if text:
+                    rows = text_lines(content)
+                    found = list(foreign_lines(rows, lower=(broken := bool(_HYPHEN_END.search(content)))))
+                    for _, text, page in found:
+                        if text and not text.islower():
                             keys.add(line_key(text))
                         scanned = scanned or page
                     scanned = scanned or ("-\n" in content and bool(_BROKEN_LINE.search(content)))
+                    for parts in broken_words(rows, {i for i, _, _ in found}) if broken else ():
+                        asked.update(k[1:] for form in joined_forms(*parts) for k in token_keys(form))
                 tokens = content.split()
                 scanned = symptoms(tokens) or scanned
                 if how & CONTENT:
@@ -389,6 +403,9 @@ def _words_and_lines(batches):
             above = set()
             if title:
                 above.update(line_key(p) for p in title_parts(title) if may_be_header(p) and not p.islower())
+                if _HYPHENATED.search(title):
+                    for m in _TITLE_HYPHEN.finditer(title):
+                        asked.update(k[1:] for form in joined_forms(m[1], m[0][len(m[1])], m[2]) for k in token_keys(form))
                 if how & TITLE:
                     (noisy if scanned else raw).update(_TITLE_HYPHEN.sub(" ", title).split() if _HYPHENATED.search(title) else heading)
             for bits, found in (((FILE_CONTENT, CONTENT), keys), ((FILE_TITLE, TITLE), above - keys)):
@@ -397,7 +414,7 @@ def _words_and_lines(batches):
                         lines[f"{file}\n{k}"] += 1
                     if how & bits[1]:
                         lines["\n" + k] += 1
-        if len(raw) + len(noisy) + len(lines) + len(seen) > 600_000:
+        if len(raw) + len(noisy) + len(lines) + len(seen) + len(asked) > 600_000:
             yield flush()
     yield flush()
 
@@ -410,8 +427,17 @@ def title_parts(title: str) -> list[str]:
     return [split_page(p)[0] for p in [*out, *([inner[1].strip()] if inner else [])] if p]
 
 
-def fit(chunks: DataFrame, *, share: float = 1e-6, suspect_ratio: int = 200, context: bool = False, header_bits: int = 1 << 25, known_bits: int = 1 << 25) -> Model:
-    """Word and line counts of (title, content, file) rows, combined per task before the shuffle.
+@dataclass
+class Tables:
+    """What is known of the corpus, in written tables: every question is answered by an equi-join with them."""
+
+    vocabulary: DataFrame  # (key, n): the words that are corrections
+    answers: DataFrame  # (key, options): 'k' + known word, 'h' + header line, 'f' + word with its corrections
+    filter: KeyFilter  # of the answers' keys
+
+
+def fit(chunks: DataFrame, *, suspect_ratio: int = 200, trie_words: int = TRIE_WORDS, filter_bits: int = MAX_BITS) -> Tables:
+    """Tables of words and lines of (title, content, file) rows, counted per task before the shuffle.
 
     Copies of a text count once (see ``_counted``); with a column ``chunk_id``
     a repeated row counts as one copy. Sure are words met twice in texts
@@ -420,96 +446,159 @@ def fit(chunks: DataFrame, *, share: float = 1e-6, suspect_ratio: int = 200, con
     share alone casts no doubt. They are known unless a known misreading makes
     them of a word ``suspect_ratio`` times as common. Other words met twice
     there, or, if the odds don't speak against it, in any texts and copies, are
-    doubtful: they are known unless a known misreading
-    makes them of a sure word or of a commoner one. The vocabulary keeps known
-    words of at least 3 occurrences and ``share`` of all (so at most 2 / share
-    words). Lines are headers if they recur in a file, or three times anywhere.
+    doubtful: they are known unless a known misreading makes them of a sure
+    word or of a commoner one. The vocabulary has all known words of letters
+    met three times, whatever the size of the corpus. Lines are headers if they
+    recur in a file, or three times anywhere.
+
+    Every other distinct word is asked once: its automata are intersected with
+    the tries of the vocabulary (see ``candidates``). Words that no vocabulary
+    word explains stay as they are.
     """
     counts = (
         _counted(chunks).mapInArrow(_words_and_lines, "kind string, key string, n long, noisy long, stored long")
-        .groupBy("kind", "key").agg(*(F.sum(c).alias(c) for c in ("n", "noisy", "stored"))).where("n >= 2 or stored >= 2 or kind = 't'")
+        .groupBy("kind", "key").agg(*(F.sum(c).alias(c) for c in ("n", "noisy", "stored"))).where("n >= 2 or kind <> 'l'")
     )
     counts = materialize(counts, "kind")
-    total = counts.where("kind = 't'").agg(F.sum("n").alias("n"), F.sum("noisy").alias("noisy"), F.sum("stored").alias("stored")).first()
-    clean, noisy, stored = (total[c] or 0 for c in ("n", "noisy", "stored"))
+    total = counts.where("kind = 't'").agg(F.sum("n").alias("n"), F.sum("noisy").alias("noisy")).first()
+    clean, noisy = (total[c] or 0 for c in ("n", "noisy"))
     odds = max(0.25, 2 * noisy / max(1, clean))
     sure = (F.col("n") >= 2) & (F.col("noisy") <= odds * F.col("n"))
     doubtful = (F.col("n") >= 2) | ((F.col("stored") >= 2) & (F.col("noisy") <= odds * (F.col("n") + 2)))  # what only noisy texts have where others abound is mostly broken words
-    least, least_doubtful = max(3, share * clean), max(3, share * stored)
-    words = counts.where("kind = 'w'").where(sure | doubtful).select("key", (F.col("n") + F.col("noisy")).alias("n"), sure.alias("sure"), F.when(sure, F.col("n") >= least).otherwise(F.col("stored") >= least_doubtful).alias("often"))
-    often = [r for r in words.where("often").toLocalIterator() if is_word(r["key"])]
-    vocabulary = {r["key"]: r["n"] for r in often}
-    firm = frozenset(r["key"] for r in often if r["sure"])
-    draft = chunks.sparkSession.sparkContext.broadcast((Model(vocabulary, np.zeros(8, np.uint8), np.zeros(8, np.uint8)), firm))
-
-    def suspects(batches):
-        model, firm = draft.value
+    word = F.col("key").rlike(r"^[\p{L}\-’']{2,}$") & F.col("key").rlike(r"\p{L}")
+    words = counts.where("kind = 'w'").select("key", (F.col("n") + F.col("noisy")).alias("n"), sure.alias("sure"), (sure | doubtful).alias("met"), (word & F.when(sure, F.col("n") >= 3).otherwise(doubtful & (F.col("stored") >= 3))).alias("often"))
+    most = words.where("often").agg(F.max("n")).first()[0] or 0
+    plainly = F.col("sure") & (F.col("n") * suspect_ratio > most) & ~F.col("key").rlike(r"[^a-z'’\-]")  # too common to be a misreading
+    asked = words.where(~plainly & (F.length("key") > 2) & (F.length("key") <= LONGEST) & F.col("key").rlike(r"\p{L}"))
+    asked = materialize(asked.repartition(max(2 * chunks.sparkSession.sparkContext.defaultParallelism, -(-asked.count() // 20_000)), "key"))  # the dearest step per row
+    near = candidates(asked, words.where("often").select("key", "n", "sure"), trie_words=trie_words)
+    first = near.groupBy("key").agg(F.min(F.struct("cost", -F.col("n"), "v", "n", "sure")).alias("m")).select("key", F.col("m.n").alias("vn"), F.col("m.sure").alias("vsure"))
+    misread = materialize(
+        asked.where(F.col("met") & (F.length("key") <= 40) & (F.length("key") > F.when(F.col("sure"), 3).otherwise(2))).join(first, "key")
+        .where(F.when(F.col("sure"), F.col("vn") >= suspect_ratio * F.col("n")).otherwise(F.col("vsure") | (F.col("vn") > F.col("n")))).select("key")
+    )
+    known = materialize(words.where("met").join(misread, "key", "left_anti").select("key", "n", "often"))
+    vocabulary = known.where("often").select("key", "n")
+    good = near.join(misread.select(F.col("key").alias("v")), "v", "left_anti")
+    ranked = good.groupBy("key").agg(F.min("cost").alias("least"), F.max("flat").alias("flat"), F.collect_set(F.struct("cost", -F.col("n"), "v")).alias("all"))  # vocabulary words within the edits of one word
+    options = F.transform(F.array_sort(F.filter("all", lambda x: x["cost"] == F.col("least"))), lambda x: x["v"])
+    fixes = _unfit(asked, known, ranked).select("key", options.alias("options"))
+    none = F.lit(None).cast("array<string>")
+    lines = counts.where("kind = 'l' and (n >= 3 or key not like '\n%')").select(F.concat(F.lit("h"), "key").alias("key"), none.alias("options"))
+    answers = materialize(known.select(F.concat(F.lit("k"), "key").alias("key"), none.alias("options")).unionByName(lines).unionByName(fixes.withColumn("key", F.concat(F.lit("f"), "key"))))
+    return Tables(vocabulary, answers, KeyFilter.build(answers.select("key"), max_bits=filter_bits))
+
+
+def _unfit(asked: DataFrame, known: DataFrame, ranked: DataFrame) -> DataFrame:
+    """The asked words that need a correction and have one, with the columns of ``ranked``.
+
+    Codes count as misread only where one digit stands in a vocabulary word;
+    words with odd characters or ligatures wherever the plain form is in the
+    vocabulary; others unless they, or all parts of a compound, are known.
+    """
+    rows = asked.select("key").join(ranked, "key").join(known.select("key", F.lit(True).alias("known"), "often"), "key", "left")
+    low = F.col("key")
+    code = low.rlike(_CODE_JVM)
+    odd = (F.length("key") <= 40) & low.rlike(r"[^a-z'’\-]")
+    flat = odd & F.col("flat") & (low.rlike("[\ufb00-\ufb06]") | ~F.coalesce("often", F.lit(False)))
+    parts = rows.where(low.rlike(r"[-‐/’']")).select("key", F.explode(F.split("key", r"[-‐/’']")).alias("part")).where(F.length("part") > 2)
+    loose = parts.join(known.select(F.col("key").alias("part")), "part", "left_anti").select("key", F.lit(True).alias("loose")).distinct()
+    compound = low.rlike(r"[-‐/’']")
+    rows = rows.join(loose, "key", "left")
+    single = F.regexp_count("key", F.lit("[0-9]")) == 1
+    need = F.when(code, (F.length("key") > 3) & single & F.col("flat")).otherwise(flat | (F.col("known").isNull() & (~compound | F.coalesce("loose", F.lit(False)))))
+    return rows.where(need)
+
+
+def candidates(asked: DataFrame, vocabulary: DataFrame, *, trie_words: int = TRIE_WORDS) -> DataFrame:
+    """(key, v, cost, n, sure, flat): all vocabulary words that known misreadings turn into an asked word.
+
+    asked: (key, ...); vocabulary: (key, n, sure). The automata of all forms
+    of a word (see ``word_forms``) are intersected with a trie of the
+    vocabulary; their substitutions are those of the known confusions, so the
+    walk is complete for them: one in words of less than six letters, two in
+    others, besides one that joins or parts letters (two in others) and odd
+    characters. A trie holds at most ``trie_words`` words of neighbouring
+    lengths; with more, the tries are broadcast one after the other, and each
+    meets the words whose lengths can match. ``flat`` marks the word's own
+    plain form.
+    """
+    spark = asked.sparkSession
+    sizes = {r["k"]: r["count"] for r in vocabulary.groupBy(F.length("key").alias("k")).count().collect()}  # one row per length
+    bands: list[tuple[int, int, int, int]] = []  # least and greatest length, which part of how many
+    held = 0
+    for k in sorted(sizes):
+        parts = -(-sizes[k] // trie_words)
+        if parts > 1:
+            bands += [(k, k, i, parts) for i in range(parts)]
+            held = trie_words
+        elif bands and held + sizes[k] <= trie_words:
+            bands[-1] = (bands[-1][0], k, 0, 1)
+            held += sizes[k]
+        else:
+            bands.append((k, k, 0, 1))
+            held = sizes[k]
+    schema = "key string, v string, cost int, n long, sure boolean, flat boolean"
+    out = spark.createDataFrame([], schema)
+    for low, high, part, of in bands:
+        block = vocabulary.where(F.length("key").between(low, high) & (F.pmod(F.xxhash64("key"), F.lit(of)) == part))
+        rows = [(r["key"], r["n"], r["sure"]) for r in block.toLocalIterator()]  # at most about trie_words
+        trie = Trie([r[0] for r in rows])
+        facts = {w: (n, is_sure) for w, n, is_sure in rows}
+        shared = spark.sparkContext.broadcast((trie, facts))
+        reach = 4  # forms may be longer or shorter than the word by ligatures and pairs of letters
+        out = out.unionByName(asked.where(F.length("key").between(low - reach, high + reach)).select("key").mapInArrow(_intersect(shared), schema))
+    return materialize(out)
+
+
+def _intersect(shared):
+    def run(batches):
+        trie, facts = shared.value
+        swaps = confusable()
         for batch in batches:
-            rows = list(zip(*(c.to_pylist() for c in batch.columns)))
-            model.learn({k for k, _, is_sure, _ in rows if (3 if is_sure else 2) < len(k) <= 40})
-            bad = []
-            for k, n, is_sure, often in rows:
-                v = (model.fixes.get(k) or [None])[0]
-                if v and (model.vocabulary[v] >= suspect_ratio * n if is_sure else v in firm or model.vocabulary[v] > n):
-                    bad.append((k, often))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in bad], pa.string()), pa.array([o for _, o in bad], pa.bool_())], names=["key", "often"])
-
-    rare = words.where(~F.col("sure") | (F.col("n") * suspect_ratio <= max(vocabulary.values(), default=0)))
-    misread = materialize(rare.repartition("key").mapInArrow(suspects, "key string, often boolean"))
-    known = _bits(words.select("key").join(misread, "key", "left_anti"), known_bits)
-    headers = _bits(counts.where("kind = 'l' and (n >= 3 or key not like '\n%') and n >= 2").select("key"), header_bits)
-    bad = {r["key"] for r in misread.where("often").toLocalIterator()}  # words of the vocabulary
-    return Model({k: n for k, n in vocabulary.items() if k not in bad}, known, headers, _context(chunks) if context else None)
-
+            rows = []
+            words = batch.column(0).to_pylist()
+            for start in range(0, len(words), 1000):
+                part = words[start : start + 1000]
+                for k, group in ((1, [w for w in part if len(w) < 6]), (2, [w for w in part if len(w) >= 6])):
+                    pairs = [(w, f) for w in group for f in word_forms(w, k)]
+                    hits = {(w, i) for (w, _), found in zip(pairs, trie.within([f for _, f in pairs], k, swaps)) for i in found}
+                    for w, i in hits:
+                        v = trie.words[i]
+                        cost = misreading(w, v) if v != w else None
+                        if cost:
+                            rows.append((w, v, cost, *facts[v], v == plain(w)))
+            columns = list(zip(*rows)) if rows else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_()))], names=["key", "v", "cost", "n", "sure", "flat"])
 
-def is_word(text: str) -> bool:
-    return text.replace("-", "").replace("’", "").replace("'", "").isalpha() and len(text) > 1
+    return run
 
 
-def _context(chunks: DataFrame) -> np.ndarray:
-    """Bit array of the pairs of neighbouring words in all contents; a task sends its set bytes only."""
+def neighbours(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """(pair): which of the asked pairs of neighbouring words (hashes) the corpus has. Texts are read once; pairs that pass the filter are joined with those asked."""
+    filter_ = texts.sparkSession.sparkContext.broadcast(KeyFilter.build(asked))
 
     def run(batches):
-        out = np.zeros(1 << (CONTEXT_BITS - 3), np.uint8)
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
-                at = (Shingled([t or "" for t in batch.column(0).slice(start, 2000).to_pylist()], 2).hashes >> np.uint64(64 - CONTEXT_BITS)).astype(np.int64)
-                np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        at = np.flatnonzero(out)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at].astype(np.int64))], names=["at", "b"])
-
-    rows = chunks.select("content").where("content is not null").mapInArrow(run, "at long, b long").groupBy("at").agg(F.bit_or("b").alias("b")).toPandas()
-    out = np.zeros(1 << (CONTEXT_BITS - 3), np.uint8)
-    out[rows["at"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64).astype(np.uint8)
-    return out
+                h = Shingled([t or "" for t in batch.column(0).slice(start, 2000).to_pylist()], 2).hashes
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(h[filter_.value.may_hold(h)]).view(np.int64))], names=["pair"])
 
+    return texts.mapInArrow(run, "pair long").distinct().join(asked, "pair", "left_semi")
 
-def _bits(keys: DataFrame, bits: int) -> np.ndarray:
-    """A Bloom bit array (three hashes) of fixed size over ``keys``."""
 
-    def run(batches):
-        out = np.zeros(bits >> 3, np.uint8)
-        for batch in batches:
-            p = np.array([Model._slots(t, bits) for t in batch.column(0).to_pylist()], dtype=np.int64).ravel()
-            np.bitwise_or.at(out, p >> 3, (1 << (p & 7)).astype(np.uint8))
-        at = np.flatnonzero(out)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at].astype(np.int64))], names=["at", "b"])
-
-    rows = keys.mapInArrow(run, "at long, b long").groupBy("at").agg(F.bit_or("b").alias("b")).toPandas()
-    out = np.zeros(bits >> 3, np.uint8)
-    out[rows["at"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64).astype(np.uint8)
-    return out
+_DIGIT = re.compile(r"\d")
+_ALPHA = re.compile(r"[^\W\d_]")
 
 
-_TOKEN = re.compile(r"\S+")
-_DIGIT = re.compile(r"\d")
-_ODD_CHAR = re.compile(r"[^a-z'’\-]")
+def text_lines(text: str) -> list[str]:
+    return text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
 
 
 class Repair:
     """The noise kinds of a text and its repaired form."""
 
-    def __init__(self, model: Model, file: str | None) -> None:
+    def __init__(self, model: Answers, file: str | None) -> None:
         self.model, self.file = model, file
         self.kinds: set[str] = set()
 
@@ -533,7 +622,7 @@ class Repair:
 
     def lines(self, text: str) -> list[str]:
         """The text's lines without page furniture and with broken words joined; "" separates paragraphs."""
-        lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+        lines = text_lines(text)
         gone = set()
         for i, rest, page in foreign_lines(lines):
             if not rest:
@@ -579,16 +668,18 @@ class Repair:
 
     def words(self, text: str) -> str:
         """The text with misread words corrected."""
-        if self.model.tokens.keys().isdisjoint(text.split()):
+        if not self.model.fixes:
+            return text
+        fixed = {t: c for t in set(text.split()) if (c := self.model.corrections(t)) and c != [t]}
+        if not fixed:
             return text
         self.kinds.add("ocr")
-        if self.model.context is not None and not self.model.choices.keys().isdisjoint(text.split()):
-            parts = re.split(r"(\s+)", text)
-            for i in range(0, len(parts), 2):
-                if parts[i] in self.model.choices:
-                    parts[i] = self.model.choose(parts[i - 2] if i else "", parts[i], parts[i + 2] if i + 2 < len(parts) else "")
-            text = "".join(parts)
-        return _TOKEN.sub(lambda m: self.model.tokens.get(m[0], m[0]), text)
+        parts = re.split(r"(\s+)", text)
+        for i in range(0, len(parts), 2):
+            options = fixed.get(parts[i])
+            if options:
+                parts[i] = options[0] if len(options) == 1 else self.model.choose(parts[i - 2] if i else "", options, parts[i + 2] if i + 2 < len(parts) else "")
+        return "".join(parts)
 
     def content(self, text: str) -> str:
         lines = self.lines(text)
@@ -655,35 +746,114 @@ def _plausible(lines: list[str], i: int) -> bool:
     return bool(lines[i].strip()) and not (len(lines) == 1)
 
 
-def _scan(shared, with_text: bool):
+def _questions(shared):
+    """Rows (chunk_id, title, content, file) that may hold noise, with the keys to be asked: those that pass the filter."""
+
     def run(batches):
-        model = shared.value
+        filter_: KeyFilter = shared.value
+        hits: dict[str, list[str]] = {}  # token -> keys that pass
+        seen: set[str] = set()
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
-                rows = []
-                ready = []
-                for cid, title, content, file in zip(*(c.to_pylist() for c in part.columns)):
-                    a, b = Repair(model, file), Repair(model, file)
-                    ready.append((cid, a, title, b, content, b.lines(content) if content else []))
-                model.read([x for r in ready for x in (r[2], *r[5]) if x])
-                for cid, a, title, b, content, lines in ready:
-                    good_title = a.title(title) if title else title
-                    if with_text:
-                        good = b.content(content) if content else content
-                    else:
-                        good = None
-                        for line in lines:
-                            if line:
-                                b.words(line)
-                    rows += [(cid, "title", k, good_title if with_text else None) for k in sorted(a.kinds)]
-                    rows += [(cid, "content", k, good) for k in sorted(b.kinds)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=["chunk_id", "field", "noise", "repaired"])
+                rows = list(zip(*(c.to_pylist() for c in part.columns)))
+                if len(seen) > 500_000:
+                    seen, hits = set(), {}
+                split = [((title or "").split() + (content or "").split()) for _, title, content, _ in rows]
+                new = {t for tokens in split for t in tokens} - seen
+                seen |= new
+                asked = [(t, k) for t in new for k in token_keys(t)]
+                for (t, k), ok in zip(asked, filter_.may_hold(hashes([k for _, k in asked]))):
+                    if ok:
+                        hits.setdefault(t, []).append(k)
+                picked, keys = [], []
+                for (_, title, content, file), tokens in zip(rows, split):
+                    own = [k for t in hits.keys() & set(tokens) for k in hits[t]] if not hits.keys().isdisjoint(tokens) else []
+                    sure, more = _doubts(title, content, file)
+                    own += [f"k{k[1:]}" for k in own if any(c in k for c in "-‐/")] + [f"k{core(t).lower()}" for t in hits.keys() & set(tokens) if any(c in t for c in "-‐/")] if own else []
+                    picked.append((sure, own, len(more)))
+                    keys += more
+                passed = filter_.may_hold(hashes(keys))
+                at, out = 0, []
+                for row, (sure, own, n) in zip(rows, picked):
+                    own = own + [k for k, ok in zip(keys[at : at + n], passed[at : at + n]) if ok]
+                    at += n
+                    if sure or own:
+                        out.append((*row, list(dict.fromkeys(own))))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (*[pa.string()] * 4, pa.list_(pa.string())))], names=["chunk_id", "title", "content", "file", "asks"])
 
     return run
 
 
+def _doubts(title: str | None, content: str | None, file: str | None) -> tuple[bool, list[str]]:
+    """Whether the fields may hold noise whatever the tables say, and all keys on which their noise may depend."""
+    sure, keys = False, []
+    broken: set[tuple[str, str, str]] = set()
+    if content and ("\n" in content or "\r" in content):
+        lines = text_lines(content)
+        found = list(foreign_lines(lines))
+        for i, rest, page in found:
+            if not rest or (not rest.islower() and (_interrupts(lines, i) or page and _touches(lines, i))):
+                sure = True
+            if rest:
+                keys += [f"h{k}" for k in header_keys(file, rest)]
+        broken = broken_words(lines, {i for i, _, _ in found}) if _HYPHEN_END.search(content) else set()
+    if title:
+        sure = sure or bool(_LEADER.search(title)) or "\n" in title or " | " in title
+        for part in title_parts(title):
+            keys += [f"h{k}" for k in header_keys(file, part)]
+        if _HYPHENATED.search(title):
+            broken |= {(m[1], m[0][len(m[1])], m[2]) for m in _TITLE_HYPHEN.finditer(title)}
+    for parts in broken:
+        sure = True
+        keys += known_keys(*parts)
+        forms = [k for form in joined_forms(*parts) for k in token_keys(form)]
+        keys += forms + [f"k{k[1:]}" for k in forms if any(c in k for c in "-‐/")]
+    return sure, keys
+
+
+def _repair(with_text: bool):
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for cid, title, content, file, told, pairs in zip(*(c.to_pylist() for c in batch.columns)):
+                model = Answers([(x["key"], x["options"]) for x in told or ()], frozenset(pairs or ()))
+                a, b = Repair(model, file), Repair(model, file)
+                good_title = a.title(title) if title else title
+                if with_text:
+                    good = b.content(content) if content else content
+                else:
+                    good = None
+                    for line in b.lines(content) if content else ():
+                        if line:
+                            b.words(line)
+                rows += [(cid, "title", k, good_title if with_text else None) for k in sorted(a.kinds)]
+                rows += [(cid, "content", k, good) for k in sorted(b.kinds)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=["chunk_id", "field", "noise", "repaired"])
+
+    return run
+
+
+def _ambiguous(batches):
+    """(chunk_id, pair): pairs of words whose occurrence in the corpus decides between corrections that are as near."""
+    for batch in batches:
+        out = []
+        for cid, title, content, file, told in zip(*(c.to_pylist() for c in batch.columns)):
+            model = Answers([(x["key"], x["options"]) for x in told])
+            if all(len(v) < 2 for v in model.fixes.values()):
+                continue
+            repair = Repair(model, file)
+            for line in [*(repair.lines(content) if content else ()), repair.title(title) if title else ""]:
+                tokens = line.split()
+                for i, t in enumerate(tokens):
+                    options = model.corrections(t)
+                    if len(options) > 1:
+                        out += [(cid, p) for c in options for p in pair_hashes(tokens[i - 1] if i else "", c, tokens[i + 1] if i + 1 < len(tokens) else "")]
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.string()), pa.array([p for _, p in out], pa.int64())], names=["chunk_id", "pair"])
+
+
 def scan_noise(chunks: DataFrame, *, with_text: bool = False, **options) -> DataFrame:
     """(chunk_id, field, noise, repaired): a row per noise kind in the content or title of a chunk.
 
@@ -691,21 +861,37 @@ def scan_noise(chunks: DataFrame, *, with_text: bool = False, **options) -> Data
     page_number. ``repaired`` is the field without noise, in continuous
     paragraphs (null unless ``with_text``).
 
-    A first pass counts the words of chunks without symptoms and the lines that
-    may be headers (see ``fit``). The second pass removes page furniture, joins
-    broken words and looks for words that are unknown: Levenshtein automata of
-    all unknown words of a batch are intersected with the vocabulary trie
-    (distance 1, then 2), and of the candidates those count that a known
-    misreading of shapes explains. The fewest confusions win, then the words
-    that the corpus has beside the neighbours (pairs of words in a bit array;
-    only where text is repaired), then the commonest. All passes stream;
-    nothing but counts and bits is shuffled.
+    A first pass counts words and lines; of the counts, tables of known words,
+    recurring header lines and the corrections of all other words are made
+    (see ``fit``), each distinct word being asked once. A second pass finds the
+    chunks that may hold noise and the questions on which that depends; keys
+    that pass a filter of bounded size are answered by an equi-join with the
+    tables, so the filter's size changes the rows that are shuffled, never the
+    result. The third pass, over those chunks alone, removes page furniture,
+    joins broken words and corrects misread ones. The fewest confusions win,
+    then the words that the corpus has beside the neighbours (asked in a pass
+    of its own, only where text is repaired: the kinds don't depend on it),
+    then the commonest.
 
     Null ids take no part; null, empty and clean fields give no rows; repeated
-    rows count once. A text of one line has no page furniture.
+    rows count once. A text of one line has no page furniture. Lines of more
+    than 100 characters and headings of more than 90 aren't taken for page
+    furniture, runs of more than 60 characters not for words.
     """
     rows = chunks.select("chunk_id", "title", "content", "file").where("chunk_id is not null and (title is not null or content is not null)")
-    model = fit(rows, context=with_text, **options)
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-    schema = "chunk_id string, field string, noise string, repaired string"
-    return rows.mapInArrow(_scan(shared, with_text), schema).dropDuplicates(["chunk_id", "field", "noise"])
+    tables = fit(rows, **options)
+    spark = rows.sparkSession
+    text = "chunk_id string, title string, content string, file string"
+    suspects = materialize(rows.mapInArrow(_questions(spark.sparkContext.broadcast(tables.filter)), f"{text}, asks array<string>"))
+    asks = suspects.select("chunk_id", F.explode("asks").alias("key")).distinct()
+    told = asks.join(tables.answers, "key").groupBy("chunk_id").agg(F.collect_list(F.struct("key", "options")).alias("told"))  # questions of one chunk
+    none = F.lit(None).cast("array<bigint>").alias("pairs")
+    both = suspects.drop("asks").join(told, "chunk_id", "left")
+    if with_text:
+        both = materialize(both)
+        pairs = materialize(both.where(F.exists("told", lambda x: F.size(x["options"]) > 1)).mapInArrow(_ambiguous, "chunk_id string, pair long").distinct())
+        met = pairs.join(neighbours(rows.select("content"), pairs.select("pair").distinct()), "pair").groupBy("chunk_id").agg(F.collect_list("pair").alias("pairs"))
+        both = both.join(met, "chunk_id", "left")
+    else:
+        both = both.select("*", none)
+    return both.mapInArrow(_repair(with_text), "chunk_id string, field string, noise string, repaired string").dropDuplicates(["chunk_id", "field", "noise"])

@@ -1,7 +1,10 @@
 
+import os
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessella.llm import encoding, pairs, scans
 from tessella.llm.lexicon import Trie
@@ -112,18 +115,42 @@ def test_scan_with_mostly_scanned_texts(spark):
     body = [(f"q{i}", "T", f"The pressure transducer of unit {'abcdefghij'[i % 10] * (2 + i // 10)} was installed" + (" with a va1ve." if i % 4 else "."), "q.pdf") for i in range(40)]
     df = spark.createDataFrame(body + [("m1", "T", "A prcssure test.", "m.pdf")], "chunk_id string, title string, content string, file string")
     got = {tuple(r) for r in scans.scan_noise(df).select("chunk_id", "field", "noise").collect()}
-    assert {"pressure", "transducer", "installed"} <= set(scans.fit(df).vocabulary) and ("m1", "content", "ocr") in got
+    assert {"pressure", "transducer", "installed"} <= {r["key"] for r in scans.fit(df).vocabulary.collect()} and ("m1", "content", "ocr") in got
 
 
 def test_context_decides_between_candidates(spark):
     body = [(f"c{i}", "T", "the hold was kept and the bold step was taken by the crew", "f") for i in range(6)]
-    body += [(f"d{i}", "T", "the cat sat with a hat on the cat", "f") for i in range(4)]
-    body += [("s1", "T", "the |old step was taken", "f")]
+    body += [(f"d{i}", "T", "the cat sat with a hat on the cat", "f") for i in range(4)] + [("s1", "T", "the |old step was taken", "f")]
     df = spark.createDataFrame(body, "chunk_id string, title string, content string, file string")
-    model = scans.fit(df.select("title", "content", "file"), context=True)
-    model.choices = {"x": ["hold", "bold"]}
-    assert model.follows("bold", "step") and not model.follows("hold", "step")
-    assert model.choose("the", "x", "step") == "bold" and model.choose("the", "x", "was") == "hold"
+    asked = [scans.pair_hashes("the", c, "step") for c in ("hold", "bold")]
+    met = {r["pair"] for r in scans.neighbours(df.select("content"), spark.createDataFrame([(p,) for pair in asked for p in pair], "pair long").distinct()).collect()}
+    assert met == set(asked[0][:1] + asked[1])
+    model = scans.Answers([], frozenset(met))
+    assert model.choose("the", ["hold", "bold"], "step") == "bold" and model.choose("the", ["hold", "bold"], "was") == "hold"
+
+
+def test_scan_results_do_not_depend_on_filters_and_tries(spark):
+    """Full filters and tries of three words change the rows that are joined, not the result."""
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables here")
+    chunks = spark.read.parquet("/root/testdata/sf0.001/chunk.parquet").select("chunk_id", "title", "content", F.col("metadata.file_name").alias("file"))
+    want = sorted(tuple(r) for r in scans.scan_noise(chunks, with_text=True).collect())
+    assert len(want) > 20 and sorted(tuple(r) for r in scans.scan_noise(chunks, with_text=True, filter_bits=1 << 9, trie_words=100).collect()) == want
+
+
+@given(st.lists(st.text(alphabet="ceo", min_size=1, max_size=6), min_size=1, max_size=20), st.text(alphabet="ceo", min_size=1, max_size=6))
+@settings(max_examples=80, deadline=None)
+def test_trie_with_confusions_only(words, query):
+    trie = Trie(words)
+    swap = {"c": frozenset("e"), "e": frozenset("c")}
+    for k in (1, 2):
+        want = {w for w in words if len(w) == len(query) and all(a == b or b in swap.get(a, ()) for a, b in zip(query, w)) and sum(a != b for a, b in zip(query, w)) <= k}
+        assert {trie.words[i] for i in trie.within([query], k, swap)[0]} == want
+
+
+def test_word_forms_undo_joined_letters():
+    assert {"model", "rnodel"} <= scans.word_forms("rnodel", 1) and "mm" in scans.word_forms("rnrn", 2) and "mm" not in scans.word_forms("rnrn", 1)
+    assert scans.broken_words(["The trans-", "- 4 -", "ducer and pre-", "fab-", "ricated"], {1}) >= {("trans", "-", "ducer"), ("pre", "-", "fab-"), ("fab", "-", "ricated"), ("prefab", "-", "ricated")}
 
 
 def test_scan_of_empty_table(spark):
