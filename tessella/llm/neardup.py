@@ -13,16 +13,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.llm.filters import KeyFilter
 from tessella.llm.shingles import Shingled, mix
 from tessella.operators.components import connected_components
 from tessella.session import materialize
 
-SYMBOLS, RADIUS, FINGERPRINTS = 4, 1, 14
-#: Symbols of the second, finer sketch.
-FINE = 128
-#: Bits of the array that tells which variants occur twice: 32 MB, whatever the number of texts.
-SHARED_BITS = 28
-RANGES = 64
+SYMBOLS, RADIUS, FINGERPRINTS = 3, 1, 8
+#: Symbols of the sketch that travels with a variant (four bits each), and of the second, finer one (eight bits each).
+COARSE, FINE = 56, 128
+#: One class in so many is looked at to tell which variants are crowded.
+SAMPLED = 64
 #: Bytes of text that are shingled at once.
 BYTES = 1 << 21
 
@@ -69,71 +69,48 @@ def _keys(batches, k: int, min_words: int, fingerprints: int, symbols: int, radi
         new = np.array([not (c in seen or seen.add(c)) for c in cls.tolist()], dtype=bool)
         rows, cls = rows[new], cls[new]
         if len(rows):
-            signs = s.minima(rows, fingerprints * symbols)
+            signs = s.minima(rows, max(COARSE, fingerprints * symbols))
             yield cls, np.concatenate([variants(signs[:, t * symbols : (t + 1) * symbols], radius, t) for t in range(fingerprints)], axis=1), signs
 
 
-def _slot(keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(64 - SHARED_BITS)).astype(np.int64)
-
-
-def _emit_slots(*how):
-    """Which slots of the shared bit array this partition's variants fall in, as sorted differences by range."""
-    width = 1 << (SHARED_BITS - RANGES.bit_length() + 1)
-
-    def flush(slots: list[np.ndarray]) -> pa.RecordBatch:
-        at, n = np.unique(np.concatenate(slots), return_counts=True)
-        cuts = np.searchsorted(at, np.arange(RANGES + 1) * width)
-        rows = []
-        for r in range(RANGES):
-            own, twice = at[cuts[r] : cuts[r + 1]] - r * width, n[cuts[r] : cuts[r + 1]] > 1
-            if len(own):
-                steps = np.diff(own, prepend=0)
-                kind = "<u2" if steps.max() < 1 << 16 else "<u4"
-                rows.append((r, kind, steps.astype(kind).tobytes(), np.packbits(twice).tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.binary(), pa.binary()))], names=["r", "kind", "steps", "twice"])
+def _sample_keys(*how):
+    """(key, cls) of the variants of all texts given."""
 
     def run(batches):
-        held, size = [], 0
-        for _, keys, _ in _keys(batches, *how):
-            held.append(_slot(keys.ravel()))
-            size += keys.size
-            if size > 1 << 22:
-                yield flush(held)
-                held, size = [], 0
-        if held:
-            yield flush(held)
+        for cls, keys, _ in _keys(batches, *how):
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(cls, keys.shape[1]))], names=["key", "cls"])
 
     return run
 
 
-def _count_slots(batches):
-    """Of each range the slots that were met twice; holds two bit maps per range of this partition."""
-    width = 1 << (SHARED_BITS - RANGES.bit_length() + 1)
-    once: dict[int, np.ndarray] = {}
-    more: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for r, kind, steps, twice in zip(*(c.to_pylist() for c in batch.columns)):
-            at = np.cumsum(np.frombuffer(steps, kind).astype(np.int64))
-            own = once.setdefault(r, np.zeros(width, dtype=bool))
-            mine = more.setdefault(r, np.zeros(width, dtype=bool))
-            mine[at[own[at] | np.unpackbits(np.frombuffer(twice, np.uint8), count=len(at)).astype(bool)]] = True
-            own[at] = True
-    for r, mine in more.items():
-        yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([np.packbits(mine).tobytes()], pa.binary())], names=["r", "bits"])
+def nibbles(signs: np.ndarray) -> np.ndarray:
+    """Four bits of each of the first ``COARSE`` symbols, two to a byte."""
+    low = (mix(signs[:, :COARSE]) & np.uint64(15)).astype(np.uint8)
+    return low[:, ::2] | (low[:, 1::2] << np.uint8(4))
 
 
-def _emit_keys(shared, *how):
-    """(key, class, sketch) of the variants whose slot was met twice; a sketch has eight bits of every symbol."""
+def agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many nibbles of the sketches x and y (rows of 32-bit words) are equal."""
+    d = x ^ y
+    d |= d >> np.uint32(1)
+    d |= d >> np.uint32(2)
+    return COARSE - np.bitwise_count(d & np.uint32(0x11111111)).sum(axis=1, dtype=np.int64)
+
+
+def _emit_keys(crowded, *how):
+    """(key, class, sketch) of all variants; classes with a crowded variant come out once more, with null key."""
 
     def run(batches):
-        bits = shared.value
+        hot = crowded.value
         for cls, keys, signs in _keys(batches, *how):
-            at = _slot(keys.ravel())
-            hit = np.flatnonzero((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
-            sketch = mix(signs).astype(np.uint8)
-            whose = hit // keys.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()[hit]), pa.array(cls[whose]), _binary(sketch[whose])], names=["key", "cls", "sketch"])
+            flat = keys.ravel()
+            free = ~hot.may_hold(flat) if hot is not None else np.ones(len(flat), dtype=bool)
+            at = np.flatnonzero(free)
+            whose, sketch = at // keys.shape[1], nibbles(signs)
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)[at]), pa.array(cls[whose]), _binary(sketch[whose])], names=["key", "cls", "sketch"])
+            rest = np.unique(np.flatnonzero(~free) // keys.shape[1])
+            if len(rest):
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(rest), pa.int64()), pa.array(cls[rest]), pa.nulls(len(rest), pa.binary())], names=["key", "cls", "sketch"])
 
     return run
 
@@ -148,18 +125,18 @@ def _fixed(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
-def least_agreeing(n_symbols: int, threshold: float) -> int:
-    """How many eight-bit symbols of two sketches must agree; a pair at the threshold falls short about once in 25,000."""
-    p = threshold + (1 - threshold) / 256
-    return floor(n_symbols * p - 3.95 * sqrt(n_symbols * p * (1 - p)))
+def least_agreeing(n_symbols: int, threshold: float, values: int = 256, deviations: float = 3.95) -> int:
+    """How many symbols of two sketches (of so many values) must agree; a pair at the threshold falls short as often as a normal variable by ``deviations``."""
+    p = threshold + (1 - threshold) / values
+    return floor(n_symbols * p - deviations * sqrt(n_symbols * p * (1 - p)))
 
 
-def _collide(max_bucket: int, n_symbols: int, least: int):
+def _collide(max_bucket: int, least: int):
     """Rows sorted by (key, cls) to the pairs (a, b) of each key group whose sketches agree enough.
 
     A group above max_bucket gives its classes as (a, null).
     """
-    width = n_symbols
+    width = COARSE // 2
 
     def run(batches):
         rest_k, rest_c, rest_s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, width), np.uint8)
@@ -175,19 +152,25 @@ def _collide(max_bucket: int, n_symbols: int, least: int):
             size = np.diff(np.append(begin, len(k)))
             hot = np.repeat((size > max_bucket) | (k[begin] == hot_key if hot_key is not None else False), size)
             keep = np.flatnonzero(~hot & np.repeat(size > 1, size))
-            k2, c2, s2 = k[keep], c[keep], s[keep]
+            k2, c2, s2 = k[keep], c[keep], np.ascontiguousarray(s[keep]).view(np.uint32)
             a, b = [], []
-            for lag in range(1, max_bucket):
-                same = np.flatnonzero(k2[lag:] == k2[:-lag])
+            same = np.arange(len(k2))
+            for lag in range(1, max_bucket):  # of those with a partner at this distance, some have one at the next
+                same = same[same + lag < len(k2)]
+                same = same[k2[same + lag] == k2[same]]
                 if not len(same):
                     break
                 for part in np.array_split(same, len(same) // 100_000 + 1):
-                    part = part[(s2[part] == s2[part + lag]).sum(axis=1) >= least]
+                    part = part[agreeing(s2[part], s2[part + lag]) >= least]
                     a.append(c2[part])
                     b.append(c2[part + lag])
             return out(a, b, c[hot])
 
         for batch in batches:
+            lone = batch.column(0).null_count  # null keys come first
+            if lone:
+                yield out([], [], np.unique(batch.column(1).slice(0, lone).to_numpy(zero_copy_only=False)))
+                batch = batch.slice(lone)
             k = np.concatenate([rest_k, batch.column(0).to_numpy(zero_copy_only=False)])
             c = np.concatenate([rest_c, batch.column(1).to_numpy(zero_copy_only=False)])
             s = np.concatenate([rest_s, _fixed(batch.column(2), width)])
@@ -214,7 +197,7 @@ def _emit_members(k: int, min_words: int, bloom):
     def run(batches):
         seen: set[int] = set()
         for ids, s, rows, cls in _texts(batches, k, min_words):
-            wanted = bloom.value(cls)
+            wanted = bloom.value.may_hold(cls.view(np.uint64))
             new = np.array([w and not (c in seen or seen.add(c)) for c, w in zip(cls.tolist(), wanted.tolist())], dtype=bool)
             fresh = rows[new]
             sets, fine = iter(s.sets(fresh)), iter(mix(s.minima(fresh, FINE)).astype(np.uint8))
@@ -229,17 +212,6 @@ def _emit_members(k: int, min_words: int, bloom):
     return run
 
 
-class _Member:
-    """Probe of a Bloom filter from class ids, with the same positions as BloomFilter.probe."""
-
-    def __init__(self, words: np.ndarray, mask: int) -> None:
-        self.words, self.mask = words, mask
-
-    def __call__(self, cls: np.ndarray) -> np.ndarray:
-        p = (mix(cls.view(np.uint64)) & np.uint64(self.mask)).astype(np.int64)
-        return (self.words[p >> 6] >> (p & 63)) & 1 == 1
-
-
 def _prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """Exact candidates among (cls, shingles): classes that share one of their rarest shingles.
 
@@ -256,9 +228,22 @@ def _prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     return x.join(y, "h").where(near).select("a", "b").distinct()
 
 
+def _agreeing(pairs: DataFrame, fine: DataFrame, least: int) -> DataFrame:
+    """The pairs (a, b) whose fine sketches agree in at least so many symbols."""
+
+    def agree(x: pd.Series, y: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype="int64")
+        p, q = (np.frombuffer(b"".join(v), np.uint8).reshape(len(v), FINE) for v in (x, y))
+        return pd.Series((p == q).sum(axis=1))
+
+    both = pairs.join(fine.select(F.col("cls").alias("a"), F.col("fine").alias("fa")), "a").join(fine.select(F.col("cls").alias("b"), F.col("fine").alias("fb")), "b")
+    return both.where(F.pandas_udf(agree, "long")("fa", "fb") >= least).select("a", "b")
+
+
 def near_duplicates(
     docs: DataFrame, *, id: str, text: str, threshold: float = 0.8, shingle: int = 5, min_words: int = 1,
-    fingerprints: int = FINGERPRINTS, symbols: int = SYMBOLS, radius: int = RADIUS, max_bucket: int = 4096,
+    fingerprints: int = FINGERPRINTS, symbols: int = SYMBOLS, radius: int = RADIUS, max_bucket: int = 16_384,
 ) -> tuple[DataFrame, DataFrame]:
     """(links, members): pairs of text classes with their similarity, and the class of each id.
 
@@ -269,22 +254,25 @@ def near_duplicates(
 
     Every class has ``fingerprints`` fingerprints of ``symbols`` MinHash
     symbols. Each emits all variants within half the radius (``radius``
-    deletions); the variants are shuffled, classes that collide are
-    deduplicated and verified exactly on their shingles. A pair of similarity
-    J is a candidate with probability 1 - (1 - p)^fingerprints, p being the
-    chance that at least symbols - radius of the symbols agree. Most variants
-    occur once; a first pass marks the slots of a fixed bit array that are met
-    twice, and only variants in such slots are shuffled with their class. Pairs
-    that meet are first compared on two sketches of their symbols, which drop
-    far pairs and about one in 12,000 of those at the threshold.
-
-    A key shared by more than ``max_bucket`` classes isn't expanded: the
-    classes under such keys go through an exact prefix-filter join, in which
-    text shared by all brings no candidates, so no link is lost there.
-
-    Texts are read three times rather than shuffled. The broadcast bit arrays
-    (shared variants, classes to verify) have a fixed size; when they fill up,
-    more rows are shuffled, but the result stays the same.
+    deletions); the variants are shuffled by key with a sketch of 28 bytes,
+    classes that collide are deduplicated and verified exactly on their
+    shingles. A pair of similarity J is a candidate with probability
+    1 - (1 - p)^fingerprints, p being the chance that at least symbols -
+    radius of the symbols agree. Pairs that meet are first compared on two
+    sketches of their symbols, which drop far pairs and about one in 750 of
+    those at the threshold (one in 50,000 at 0.1 above it). What is shuffled grows in proportion to the texts,
+    whatever their number.
+
+    A variant shared by more than about ``max_bucket`` classes isn't shuffled:
+    such crowded variants are told beforehand from one text in ``SAMPLED``,
+    and the classes under them, and under any bucket that the sample missed,
+    go through an exact prefix-filter join, in which text shared by all brings
+    no candidates. So neither a crowd nor a wrong guess about it loses a link.
+
+    Texts are read three times rather than shuffled. The broadcast filters
+    (crowded variants, classes to verify) are sized by what they hold, up to
+    32 MB; a full one sends more rows through the exact joins, but the result
+    stays the same.
 
     Rows with null id or text and texts of fewer than ``min_words`` words (or
     fewer than one shingle) take no part. Repeated rows count once; an id with
@@ -293,43 +281,29 @@ def near_duplicates(
     spark = docs.sparkSession
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("t")).where(f"id is not null and t is not null and length(t) >= {2 * min_words - 1}")
     how = (shingle, min_words, fingerprints, symbols, radius)
-    counted = rows.mapInArrow(_emit_slots(*how), "r int, kind string, steps binary, twice binary").repartition("r").mapInArrow(_count_slots, "r int, bits binary")
-    width = 1 << (SHARED_BITS - RANGES.bit_length() - 2)
-    bits = np.zeros(RANGES * width, dtype=np.uint8)
-    for r in counted.toLocalIterator():  # at most RANGES rows of fixed size
-        bits[r["r"] * width : (r["r"] + 1) * width] = np.frombuffer(r["bits"], np.uint8)
-    keyed = rows.mapInArrow(_emit_keys(spark.sparkContext.broadcast(bits), *how), "key long, cls long, sketch binary")
-    n_symbols = fingerprints * symbols
-    collide = _collide(max_bucket, n_symbols, least_agreeing(n_symbols, threshold))
-    met = materialize(keyed.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(collide, "a long, b long").distinct())
+    sampled = rows.where(F.pmod(F.xxhash64("t"), F.lit(SAMPLED)) == 0).mapInArrow(_sample_keys(*how), "key long, cls long").distinct()
+    full = materialize(sampled.groupBy("key").count().where(F.col("count") > max(2, max_bucket // SAMPLED)).select("key"))
+    crowded = spark.sparkContext.broadcast(None if full.isEmpty() else KeyFilter.build(full))
+    keyed = rows.mapInArrow(_emit_keys(crowded, *how), "key long, cls long, sketch binary")
+    collide = _collide(max_bucket, least_agreeing(COARSE, threshold, 16, 3.0))
+    # a null key marks a class under a crowded variant; those are spread by their class
+    place = F.coalesce("key", F.xxhash64("cls"))
+    met = materialize(keyed.repartition(place).sortWithinPartitions("key", "cls").mapInArrow(collide, "a long, b long").distinct())
     cand = met.where("b is not null")
     crowd = met.where("b is null").select(F.col("a").alias("cls"))
-    crowded = not crowd.isEmpty()
+    is_crowd = not crowd.isEmpty()
     asked = cand.select(F.explode(F.array("a", "b")).alias("cls"))
-    if crowded:
+    if is_crowd:
         asked = asked.unionByName(crowd)
-    # a bit array of 2**24 bits over mix(cls); membership is verified by the joins below
-    mask = (1 << 24) - 1
-    probe = _class_bits(asked, mask)
-    members = materialize(
-        rows.mapInArrow(_emit_members(shingle, min_words, spark.sparkContext.broadcast(probe)), f"cls long, id {docs.schema[id].dataType.simpleString()}, shingles array<long>, fine binary")
-    )
+    probe = spark.sparkContext.broadcast(KeyFilter.build(asked.distinct()))
+    members = materialize(rows.mapInArrow(_emit_members(shingle, min_words, probe), f"cls long, id {docs.schema[id].dataType.simpleString()}, shingles array<long>, fine binary"))
     fine = members.where("fine is not null").groupBy("cls").agg(F.first("fine").alias("fine"))
-    enough = least_agreeing(FINE, threshold)
-
-    def agree(x: pd.Series, y: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype="int64")
-        p, q = (np.frombuffer(b"".join(v), np.uint8).reshape(len(v), FINE) for v in (x, y))
-        return pd.Series((p == q).sum(axis=1))
-
-    near = materialize(
-        cand.join(fine.select(F.col("cls").alias("a"), F.col("fine").alias("fa")), "a").join(fine.select(F.col("cls").alias("b"), F.col("fine").alias("fb")), "b")
-        .where(F.pandas_udf(agree, "long")("fa", "fb") >= enough).select("a", "b")
-    )
+    near = _agreeing(cand, fine, least_agreeing(FINE, threshold))
     sets = members.where("shingles is not null")
-    if crowded:
-        near = materialize(near.unionByName(_prefix_pairs(sets.join(crowd, "cls", "left_semi").groupBy("cls").agg(F.first("shingles").alias("shingles")), threshold)).distinct())
+    if is_crowd:
+        pairs = _prefix_pairs(sets.join(crowd, "cls", "left_semi").groupBy("cls").agg(F.first("shingles").alias("shingles")), threshold)
+        near = near.unionByName(_agreeing(pairs, fine, least_agreeing(FINE, threshold, deviations=6.0))).distinct()  # falls short once in 10**9
+    near = materialize(near)
     sets = sets.join(near.select(F.explode(F.array("a", "b")).alias("cls")), "cls", "left_semi").groupBy("cls").agg(F.first("shingles").alias("shingles"))
     both = F.size(F.array_intersect("sa", "sb"))
     links = (
@@ -343,21 +317,6 @@ def near_duplicates(
     return links, members.select("cls", "id").distinct()
 
 
-def _class_bits(classes: DataFrame, mask: int) -> _Member:
-    def bits(batches):
-        words = np.zeros((mask + 1) >> 6, dtype=np.int64)
-        for batch in batches:
-            p = (mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) & np.uint64(mask)).astype(np.int64)
-            np.bitwise_or.at(words, p >> 6, np.int64(1) << (p & 63))
-        at = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], names=["w", "b"])
-
-    rows = classes.mapInArrow(bits, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    words = np.zeros((mask + 1) >> 6, dtype=np.int64)
-    words[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64)
-    return _Member(words, mask)
-
-
 def expand_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
     """All pairs of different ids, (id_a, id_b) with id_a < id_b: linked classes and copies within a class."""
     x, y = members.select(F.col("cls").alias("a"), F.col("id").alias("i")), members.select(F.col("cls").alias("b"), F.col("id").alias("j"))

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import packing
+from tessella.llm import neardup, packing
 from tessella.llm.mixing import Flight, land, mix_shares, mix_sources, water_fill
 from tessella.llm.neardup import expand_pairs, near_duplicates, near_groups, variants
 from tessella.llm.nearest import nearest_in_time, tick_candidates
@@ -76,6 +76,15 @@ def test_variants_meet_within_the_radius():
     assert v[0] & v[1] and not v[0] & v[2] and set(variants(a, 2, 0)[0].tolist()) & set(variants(c, 2, 0)[0].tolist())
 
 
+def test_sketches_agree_as_symbols_do():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 2**63, (50, 60), dtype=np.uint64)
+    b = np.where(rng.random((50, 60)) < 0.5, a, rng.integers(0, 2**63, (50, 60), dtype=np.uint64))
+    low = lambda x: (neardup.mix(x[:, : neardup.COARSE]) & np.uint64(15)).astype(int)
+    got = neardup.agreeing(*(np.ascontiguousarray(neardup.nibbles(x)).view(np.uint32) for x in (a, b)))
+    assert got.tolist() == (low(a) == low(b)).sum(axis=1).tolist()
+
+
 def test_shingles_by_word():
     s = Shingled(["A b-c d", "a B c D!", "x", "", "é a b c d", "K b c d"], 3)  # the last begins with the Kelvin sign
     assert s.n_words.tolist() == [4, 4, 1, 0, 4, 4] and s.sequence[0] == s.sequence[1] == s.sequence[4] and s.sequence[5] != s.sequence[0]
