@@ -9,13 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.neardup import near_duplicates, near_groups
+from tessella.llm.neardup import near_duplicates
 from tessella.session import materialize
 
 #: Words that alone make an answer a placeholder.
 PLACEHOLDERS = "n a|na|n a n|nan|none|null|nil|tbd|tba|todo|to do|to be determined|to be defined|tbc|missing|empty|undefined|placeholder|no data|no value|not available|not applicable|unknown|xxx|keine|kein eintrag|k a|entfällt|s o|sans objet|à compléter|néant|ninguno|pendiente|sin datos|lorem ipsum"
 
-#: How answers decline, in the four languages; matched on an opening in lower case.
+#: How answers decline, in the four languages; seeds for templates too rare to recur, matched on clauses in lower case.
 DECLINING = "|".join((
     r"\bi (?:can ?not|can't|won't be able|will not be able|am unable|am not able|don't have|do not have|must decline|have to decline|apologi[sz]e|am sorry|am afraid)\b",
     r"\bi'm (?:sorry|unable|not able|afraid)\b",
@@ -103,9 +103,9 @@ def fit_languages(labelled: DataFrame, *, max_rows: int = 20_000, max_words: int
     their ids, and on its ``max_words`` most frequent words, added to the fixed
     function words. Without labelled rows only those are used.
     """
-    rows = labelled.where("text is not null and lang is not null")
-    share = min(1.0, max_rows / max(1, rows.count()))
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000)
+    rows = labelled.where("lang is not null")
+    share = min(1.0, max_rows / max(1, rows.count()))  # counted without reading texts
+    sample = rows.where("text is not null").where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000)
     found = sample.select(F.lower(F.trim("lang")).alias("lang"), F.explode(F.split(F.lower(F.regexp_replace("text", "[’]", "'")), r"[^\p{L}']+")).alias("w")).where("w <> ''")
     counts = found.groupBy("w").pivot("lang", list(_SETS)).count().na.fill(0)
     top = counts.orderBy(F.desc(sum((F.col(k) for k in _SETS), F.lit(0))), "w").limit(max_words).collect()
@@ -172,50 +172,109 @@ def _defects(shared):
     return run
 
 
-def opening(answer: Column, n: int = 16) -> Column:
-    """The first words of an answer in lower case, without punctuation."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(answer), "[’‘`]", "'"), r"[^\p{L}\p{N}']+", " "))
-    return F.array_join(F.slice(F.split(plain, " "), 1, n), " ")
+def _plain(text: Column) -> Column:
+    """Words in lower case with single spaces between them, no punctuation."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[’‘`]", "'"), r"[^\p{L}\p{N}']+", " "))
 
 
-def declining_openings(items: DataFrame, *, min_prompts: int = 3) -> DataFrame:
-    """Openings of answers that decline, one column ``opening``.
+def content_words(text: Column) -> Column:
+    """The distinct words of four or more letters that are no function words."""
+    words = F.filter(F.split(_plain(F.coalesce(text, F.lit(""))), " "), lambda w: F.length(w) > 3)
+    return F.array_except(words, F.array(*[F.lit(w) for w in sorted(set().union(*_SETS.values())) if len(w) > 3]))
 
-    items: (question, opening). Openings are combined with their number of
-    different prompts, then the distinct ones are clustered by verified MinHash
-    (five-word shingles, similarity 0.8). A cluster that recurs across at least
-    ``min_prompts`` prompts declines if most of its prompts' openings say so,
-    and takes openings along that say it otherwise; an opening outside such
-    clusters declines only if it says so itself.
+
+def clauses(answer: Column, question: Column) -> Column:
+    """The clauses of the whole answer: (text, n words, own: whether it has a content word of its own prompt, or a number, ends: whether a sentence ends with it)."""
+    asked = content_words(question)
+    marked = F.regexp_replace(F.regexp_replace(F.coalesce(answer, F.lit("")), r"[.!?;]+(?=\s|$)", "\x02\x01"), r"[,:…]+(?=\s|$)|[\r\n]+", "\x01")
+
+    def tell(part: Column) -> Column:
+        text = _plain(part)
+        words = F.split(text, " ")
+        return F.struct(text.alias("text"), F.size(words).alias("n"), (F.arrays_overlap(words, asked) | text.rlike("[0-9]")).alias("own"), F.contains(part, F.lit("\x02")).alias("ends"))
+
+    return F.filter(F.transform(F.split(marked, "\x01"), tell), lambda x: x["text"] != "")
+
+
+def _leading(spans: Column, empty) -> Column:
+    """Number and words of the leading clauses for which ``empty(clause, position)`` holds, and words of all: (run, words, total)."""
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("run"), F.lit(0).alias("words"), F.lit(0).alias("total"))
+
+    def step(s: Column, x: Column) -> Column:
+        on = (s["run"] == s["i"]) & empty(x, s["i"])
+        return F.struct((s["i"] + 1).alias("i"), (s["run"] + on.cast("int")).alias("run"), (s["words"] + F.when(on, x["n"]).otherwise(0)).alias("words"), (s["total"] + x["n"]).alias("total"))
+
+    return F.aggregate(spans, start, step)
+
+
+def declining_templates(told: DataFrame, *, min_prompts: int = 3, topical: float = 0.1) -> DataFrame:
+    """(h, text, prompts, around): clauses with which answers decline, told by their recurrence across unrelated prompts.
+
+    told: (id, prompt, asked, spans), of ``clauses``. Looked at are the clauses
+    with which answers open that say nothing of their prompt: no word of it and
+    no number in them, and at least half of the answer's words in that opening.
+    The distinct ones are clustered by verified MinHash (five-word shingles,
+    similarity 0.8). A clause declines if it recurs, if it and those near it open such
+    answers to at least ``min_prompts`` prompts that have no longer word in
+    common, if most of its occurrences anywhere are in such openings (a phrase
+    of ordinary answers stands beside content), one in four of them at the end
+    of a sentence, and if at most a quarter of its content words are what prompts ask about (words of
+    several prompts, and of at least ``topical`` as many prompts as answers). The phrase list ``DECLINING`` only seeds: near a clause that
+    matches it, one prompt is enough.
     """
-    spoken = materialize(
-        items.where("opening <> ''").groupBy("opening").agg(F.approx_count_distinct(F.xxhash64("question")).alias("prompts"))
-        .withColumn("says", F.col("opening").rlike(DECLINING))
-    )
-    links, members = near_duplicates(spoken, id="opening", text="opening", threshold=0.8, shingle=5, min_words=5)
-    groups = near_groups(links, members).select(F.col("id").alias("opening"), "group_id")
-    joined = spoken.join(groups, "opening", "left").withColumn("g", F.coalesce(F.col("group_id").cast("string"), F.concat(F.lit("o"), "opening")))
-    told = joined.groupBy("g").agg(F.sum("prompts").alias("all"), F.sum(F.when(F.col("says"), F.col("prompts")).otherwise(0)).alias("no"))
-    return (
-        joined.join(told, "g")
-        .where(F.col("says") | ((F.col("all") >= min_prompts) & (F.col("no") * 2 > F.col("all"))))
-        .select("opening").distinct()
+    strict = told.select("id", "prompt", "asked", "spans", _leading(F.col("spans"), lambda x, i: ~x["own"]).alias("lead")).where("lead.run > 0 and lead.words * 2 >= lead.total")
+    opened = materialize(strict.select("id", "prompt", "asked", F.explode(F.slice("spans", 1, F.col("lead.run"))).alias("c")).select("id", "prompt", "asked", F.xxhash64("c.text").alias("h"), "c.text", "c.n", "c.ends"))
+    spoken = materialize(opened.groupBy("h").agg(F.min("text").alias("text"), F.min("n").alias("n"), F.countDistinct("prompt").alias("prompts"), F.count("*").alias("opening"), F.count_if("ends").alias("ends")).withColumn("says", F.col("text").rlike(DECLINING)))
+    everywhere = told.select(F.explode("spans").alias("c")).select(F.xxhash64("c.text").alias("h")).join(spoken.select("h"), "h", "left_semi").groupBy("h").agg(F.count("*").alias("all"))
+    links, members = near_duplicates(spoken.where("n >= 5"), id="h", text="text", threshold=0.8, shingle=5, min_words=5)
+    near = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(members.toDF("a", "h"), "a").join(members.toDF("b", "other"), "b").select("h", "other").where("h <> other").distinct()
+    beside = near.join(spoken.select(F.col("h").alias("other"), "prompts", "says"), "other").groupBy("h").agg(F.sum("prompts").alias("more"), F.max("says").alias("seeded"))
+    longest = opened.select("h", "prompt", F.explode("asked").alias("w")).where("length(w) > 4").distinct().groupBy("h", "w").count().groupBy("h").agg(F.max("count").alias("common"))
+    judged = spoken.join(everywhere, "h").join(beside, "h", "left").join(longest, "h", "left").withColumn("around", F.col("prompts") + F.coalesce("more", F.lit(0)))
+    recurs = (F.col("prompts") >= 2) & (F.col("around") >= min_prompts) & (F.coalesce("common", F.lit(0)) < F.greatest("prompts", F.lit(2)))
+    judged = materialize(judged.where((F.col("n") >= 4) & (F.col("opening") * 2 >= F.col("all")) & (F.col("ends") * 4 >= F.col("opening")) & (recurs | F.col("says") | F.coalesce("seeded", F.lit(False)))).select("h", "text", "prompts", "around", content_words(F.col("text")).alias("words")))
+    words = materialize(judged.select("h", F.explode("words").alias("w")))
+    looked = words.select("w").distinct()
+    asked = told.select("prompt", "asked").dropDuplicates(["prompt"]).select(F.explode("asked").alias("w")).join(looked, "w", "left_semi").groupBy("w").agg(F.count("*").alias("nq"))
+    said = told.select(F.explode(F.array_distinct(F.split(F.array_join(F.transform("spans", lambda x: x["text"]), " "), " "))).alias("w")).join(looked, "w", "left_semi").groupBy("w").agg(F.count("*").alias("na"))
+    common = asked.join(said, "w").where((F.col("nq") >= 2) & (F.col("nq") >= topical * F.col("na"))).select("w")
+    about = words.join(common, "w").groupBy("h").agg(F.count("*").alias("about"))
+    return judged.join(about, "h", "left").where(F.coalesce("about", F.lit(0)) * 4 <= F.size("words")).select("h", "text", "prompts", "around")
+
+
+def declining(rows: DataFrame, *, min_prompts: int = 3) -> DataFrame:
+    """(id): items whose answer declines.
+
+    rows: (id, question, answer), whole answers. An answer declines if a clause
+    of ``declining_templates`` stands in it with nothing of its prompt before
+    it (a repetition of the question aside), and such clauses, with short ones
+    beside them, make up three eighths of its words.
+    """
+    told = rows.select("id", F.xxhash64("question").alias("prompt"), content_words(F.col("question")).alias("asked"), clauses(F.col("answer"), F.col("question")).alias("spans"), _plain(F.coalesce("question", F.lit(""))).alias("whole"))
+    told = materialize(told.withColumn("spans", F.filter("spans", lambda x: ~F.contains(F.concat(F.lit(" "), F.col("whole"), F.lit(" ")), F.concat(F.lit(" "), x["text"], F.lit(" "))) | (x["n"] < 3))).where("size(spans) > 0").drop("whole"))
+    found = declining_templates(told, min_prompts=min_prompts)
+    at = told.select("id", F.posexplode("spans").alias("pos", "c")).select("id", "pos", F.xxhash64("c.text").alias("h")).join(found.select("h"), "h", "left_semi").groupBy("id").agg(F.collect_list("pos").alias("at"))  # clauses of one answer
+    template = lambda i: F.array_contains("at", i)
+    both = told.join(at, "id").select(
+        "id", "at", _leading(F.col("spans"), lambda x, i: ~x["own"] | template(i)).alias("lead"),
+        F.aggregate(F.filter("spans", lambda x, i: template(i) | (~x["own"] & (x["n"] < 4))), F.lit(0), lambda s, x: s + x["n"]).alias("empty"),
     )
+    return both.where("array_min(at) < lead.run and empty * 8 >= lead.total * 3").select("id")
 
 
-def broken_pairs(items: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+def broken_pairs(items: DataFrame, labelled: DataFrame | None = None, *, min_prompts: int = 3) -> DataFrame:
     """(id, defect) of the items whose answer doesn't answer the question.
 
     items: (id, question, answer); labelled: (id, text, lang) to fit languages
     on (see ``fit_languages``), else fixed function words tell them. A repeated id counts once. At most one
     defect each, the first of: empty (null, blank, only markup or a
-    placeholder), refusal (see ``declining_openings``), copied_question,
+    placeholder), refusal (see ``declining``), copied_question,
     wrong_language, truncated. A null question can't be copied and has no
     language. Null ids take no part; an empty table gives no rows.
     """
-    rows = items.where("id is not null").dropDuplicates(["id"]).withColumn("opening", opening(F.coalesce("answer", F.lit(""))))
-    no = declining_openings(rows.select("question", "opening")).withColumn("declines", F.lit(True))
-    flagged = rows.join(no, "opening", "left").select("id", "question", "answer", F.coalesce("declines", F.lit(False)).alias("declines"))
+    rows = materialize(items.where("id is not null").select("id", "question", "answer").dropDuplicates(["id"]))
+    no = declining(rows, min_prompts=min_prompts).select("id", F.lit(True).alias("declines"))
+    flagged = rows.join(no, "id", "left").select("id", "question", "answer", F.coalesce("declines", F.lit(False)).alias("declines"))
     model = LanguageModel.of_function_words() if labelled is None else fit_languages(labelled)
     found = F.pandas_udf(_defects(items.sparkSession.sparkContext.broadcast(model)), "string")
     return flagged.select("id", found("question", "answer", "declines").alias("defect")).where("defect is not null")

@@ -180,6 +180,35 @@ def test_broken_pairs(spark):
     assert pairs.broken_pairs(df.limit(0)).count() == 0
 
 
+PARTS = "valve pump nozzle seal tank hinge sensor panel bearing rotor".split()
+
+
+def refusal_rows():
+    """Answers of a made-up template that no list knows, between answers that share phrases with one another."""
+    asks = ["What limits the {}?", "Why was the {} replaced?", "How does the {} react to shock?", "Which {} flew first?"]
+    rows = [(i, asks[i % 4].format(p), f"{pre}That lies beyond what these records permit me to tell{post}") for i, (p, pre, post) in enumerate(zip(PARTS, ["", "Well, ", "Alas. "] * 4, [".", ", and so be it.", ".", ". Kindly ask elsewhere today."] * 3))]
+    rows += [(50 + i, f"Why did the {p} fail?", f"The {p} failed in the endurance run. Tests were repeated after the acceptance run.") for i, p in enumerate(PARTS)]
+    rows += [(70 + i, f"How does the {p} react?", f"The {PARTS[i - 1]} cannot be reset in flight, so wear grows.") for i, p in enumerate(PARTS)]
+    rows += [(90, "What limits the pump of stage 90?", "What limits the pump of stage 90? That lies beyond what these records permit me to tell."), (91, "What of the seal?", "The seal lies beyond " + "the outer wall and " * 40 + "that lies beyond what these records permit me to tell.")]
+    return rows
+
+
+def test_recurring_templates_decline_without_the_list(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "DECLINING", "no such phrase")
+    df = spark.createDataFrame(refusal_rows(), "id long, question string, answer string")
+    assert {r["id"] for r in pairs.declining(df).collect()} == {*range(10), 90}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables here")
+def test_planted_refusals_are_found_without_the_list(spark, monkeypatch):
+    """Of sf0.1: 154 answers decline; templates that recur there reveal at least 135 of them, and nothing else."""
+    items = spark.read.parquet("/root/testdata/sf0.1/test_database_open_minded.parquet").select("id", "question", F.col("expected_answer").alias("answer")).dropDuplicates(["id"])
+    listed = {r["id"] for r in pairs.declining(items).collect()}
+    monkeypatch.setattr(pairs, "DECLINING", "no such phrase")
+    bare = {r["id"] for r in pairs.declining(items).collect()}
+    assert len(listed) == 154 and bare <= listed and len(bare) >= 135
+
+
 def test_language_model_is_fitted(spark):
     docs = [(i, "zub dar kel mor", "de") for i in range(5)] + [(i + 9, "wip rol ton gas", "fr") for i in range(5)] + [(99, None, "en"), (98, "x", None)]
     m = pairs.fit_languages(spark.createDataFrame(docs, "id long, text string, lang string"))
