@@ -21,7 +21,7 @@ READ = ("cp1252", "latin-1", "iso8859-15", "cp1250", "cp1251", "mac_roman", "cp4
 
 #: A chain is a list of (written as, read as) steps.
 CHAINS: list[tuple[tuple[str, str], ...]] = [((w, r),) for w in WRITTEN for r in READ if w != r and (w, r) != ("cp1252", "latin-1") and (w != "utf-8" or r != "ascii")]
-CHAINS += [(("utf-8", a), ("utf-8", b)) for a in ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251") for b in ("cp1252", "latin-1", a)][:]
+CHAINS += [(("utf-8", a), ("utf-8", b)) for a in ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251") for b in ("cp1252", "latin-1", a)]
 CHAINS = list(dict.fromkeys(CHAINS))
 CHAIN_NAMES = [" > ".join(f"{w} as {r}" for w, r in chain) for chain in CHAINS]
 
@@ -113,8 +113,8 @@ def _generate(shared):
     return run
 
 
-def garbled_table(words: DataFrame) -> DataFrame:
-    """(garbled, original, chain, weak, options): which corpus words are garbled forms of clean corpus words.
+def garbled_table(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Which corpus words are garbled forms of clean corpus words: (garbled, original, chain, weak) and (garbled, options).
 
     words: (word, n). Every word is garbled under every chain, and the forms
     are hash-joined with the corpus words. Which of two words that map to each
@@ -124,13 +124,15 @@ def garbled_table(words: DataFrame) -> DataFrame:
     originals the one with the largest product counts, times the number of
     forms of three or more characters that speak for its chain; a form of one
     or two characters needs a chain for which such forms speak. ``weak`` marks
-    single characters left of a form whose no-break space was lost; ``options``
-    has all originals in question, several where a chain lost characters.
+    single characters left of a form whose no-break space was lost. The second
+    table has the originals in question where a chain that lost characters
+    leaves several.
     """
     # one row per character: at most as many as Unicode has, whatever the corpus
     chars = words.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c"), "n").where("c rlike '[^\\\\x00-\\\\x7f]'").groupBy("c").agg(F.sum("n").alias("n")).toPandas()
     common = words.sparkSession.sparkContext.broadcast(dict(zip(chars["c"], chars["n"].astype(int))))
-    forms = words.mapInPandas(_generate(common), "garbled string, original string, chain int, n long, ratio double, weak boolean")
+    spread = words.repartition(max(words.sparkSession.sparkContext.defaultParallelism, -(-words.count() // 20_000)), "word")  # sixty chains a word
+    forms = spread.mapInPandas(_generate(common), "garbled string, original string, chain int, n long, ratio double, weak boolean")
     own = words.select(F.col("word").alias("garbled"), F.col("n").alias("own"))
     scored = forms.join(own, "garbled").select("garbled", "original", "chain", "weak", (F.col("n") / F.col("own") * F.col("ratio")).alias("score"))
     hits = materialize(scored.where("score > 1"))
@@ -141,14 +143,15 @@ def garbled_table(words: DataFrame) -> DataFrame:
         known = F.create_map(*[F.lit(x) for pair in support.items() for x in pair])[F.col("chain")] if support else F.lit(None).cast("long")
         judged = clean.withColumn("support", F.coalesce(known, F.lit(0))).where("support > 0")
         best = judged.groupBy("garbled").agg(F.max_by(F.struct("original", "chain", "weak"), F.struct(F.col("score") * F.col("support"), "original")).alias("m")).select("garbled", "m.*")
-    options = judged.groupBy("garbled").agg(F.collect_set("original").alias("options"))  # words of one lossy form
-    return best.select("garbled", "original", "chain", "weak").join(options, "garbled")
+    several = judged.groupBy("garbled").agg(F.countDistinct("original").alias("n")).where("n > 1").select("garbled")
+    options = judged.join(several, "garbled", "left_semi").groupBy("garbled").agg(F.collect_set("original").alias("options"))  # words of one lossy form
+    return best.select("garbled", "original", "chain", "weak"), options
 
 
 def find_garbled(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(tokens, table): the garbled words of each document, and the table they were found in.
+    """(tokens, options): the garbled words of each document, and the originals of forms that have several.
 
-    tokens: (id, garbled, original, chain, options), one row per document and garbled
+    tokens: (id, garbled, original, chain), one row per document and garbled
     word; original is null for words with U+FFFD that match no corpus word.
     Words are runs between ASCII white space, without ASCII punctuation around
     them; pure ASCII words can't show any garbling.
@@ -163,14 +166,15 @@ def find_garbled(docs: DataFrame, *, id: str = "doc_id", text: str = "text") ->
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("t")).where(F.col("id").isNotNull() & F.col("t").rlike(r"[^\x00-\x7f]"))
     flat = rows.select("id", F.explode(words_of(F.col("t"))).alias("word")).where("word <> ''")
     words = materialize(flat.groupBy("word").agg(F.count("*").alias("n")))
-    table = materialize(garbled_table(words))
+    table, options = garbled_table(words)
+    table = materialize(table)
     bloom = BloomFilter.build(table, "garbled")
     maybe = bloom.probe(flat, "word", "_maybe").where("_maybe").drop("_maybe")
     sure = F.max(~F.col("weak")).over(Window.partitionBy("id", "chain"))
-    tokens = maybe.join(table, F.col("word") == F.col("garbled")).withColumn("sure", sure).where("sure").select("id", "garbled", "original", "chain", "options")
+    tokens = maybe.join(table, F.col("word") == F.col("garbled")).withColumn("sure", sure).where("sure").select("id", "garbled", "original", "chain")
     lost = flat.where(F.col("word").contains("�")).join(table, F.col("word") == F.col("garbled"), "left_anti")
-    lost = lost.select("id", F.col("word").alias("garbled"), F.lit(None).cast("string").alias("original"), F.lit(None).cast("int").alias("chain"), F.array().cast("array<string>").alias("options"))
-    return tokens.unionByName(lost).dropDuplicates(["id", "garbled"]), table
+    lost = lost.select("id", F.col("word").alias("garbled"), F.lit(None).cast("string").alias("original"), F.lit(None).cast("int").alias("chain"))
+    return tokens.unionByName(lost).dropDuplicates(["id", "garbled"]), options
 
 
 def _beside(word: str, other: str, left: bool) -> int:
@@ -257,11 +261,14 @@ def restore_garbled(docs: DataFrame, *, id: str = "doc_id", text: str = "text")
 
     Documents that aren't garbled don't appear. See ``find_garbled``.
     """
-    tokens, _ = find_garbled(docs, id=id, text=text)
-    per_doc = tokens.groupBy("id").agg(F.collect_list(F.struct("garbled", "original", "chain", "options")).alias("found"))  # words of one document
+    tokens, options = find_garbled(docs, id=id, text=text)
+    tokens = materialize(tokens)
+    named = tokens.join(options, "garbled", "left").withColumn("options", F.coalesce("options", F.array().cast("array<string>")))
+    per_doc = named.groupBy("id").agg(F.collect_list(F.struct("garbled", "original", "chain", "options")).alias("found"))  # words of one document
     texts = docs.select(F.col(id).alias("id"), F.col(text).alias("t")).where(F.col("t").rlike(r"[^\x00-\x7f]"))
     shared = docs.sparkSession.sparkContext.broadcast(context_bits(texts.select("t")))
-    rows = texts.join(per_doc, "id").dropDuplicates(["id"])
+    garbled = BloomFilter.build(tokens.select(F.col("id").alias("key")), "key").probe(texts, "id", "_maybe").where("_maybe").drop("_maybe")  # only these texts are shuffled
+    rows = garbled.join(per_doc, "id").dropDuplicates(["id"])
 
     @F.pandas_udf("restored string, chains string, words_restored int, words_left int")
     def restore(texts: pd.Series, found: pd.Series) -> pd.DataFrame:

@@ -96,17 +96,20 @@ def _finish(df: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": [k for k, _, _ in done], "source": df["source"].iloc[0], "tokens": [int(t) for _, t, _ in done], "x": [float(x) for _, _, x in done]})
 
 
-def _lookup(values: dict, missing) -> F.Column:
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("source")] if values else F.lit(missing)
+def _facts(rows: DataFrame, **values: dict) -> DataFrame:
+    """``rows`` with a column per argument: its value for the row's source (0 without one), by a join with a table of the sources, whose number was checked."""
+    names = sorted(set().union(*values.values()))
+    small = rows.sparkSession.createDataFrame([(n, *(float(v.get(n, 0.0)) for v in values.values())) for n in names], "source string, " + ", ".join(f"{c} double" for c in values))
+    return rows.join(F.broadcast(small), "source", "left").na.fill(0.0, list(values))
 
 
 def _round(sized: DataFrame, odds: dict[str, float], seed: int) -> DataFrame:
     """Each row's x, 0 or 1, with probability odds[source] and both sums of a source kept."""
     schema = "doc_id long, source string, tokens int, x double"
     flown = materialize(
-        sized.repartition("doc_id")
+        _facts(sized, p=odds).repartition("doc_id")
         .sortWithinPartitions("source", F.desc("tokens"), "doc_id")
-        .select("doc_id", "source", "tokens", _lookup(odds, 0.0).alias("p"), _uniform(seed).alias("u"))
+        .select("doc_id", "source", "tokens", "p", _uniform(seed).alias("u"))
         .mapInPandas(_fly, schema)
     )
     landed = flown.where("x > 0 and x < 1").withColumn("u", _uniform(seed + 1)).groupBy("source").applyInPandas(_finish, schema)
@@ -160,17 +163,16 @@ def mix_sources(docs: DataFrame, targets: DataFrame, *, tokenizer: str = DEFAULT
     ratio = np.divide(sizes, have, out=np.zeros_like(sizes), where=have > 0)
     whole = np.minimum(np.floor(ratio + EPS), repeats)
     odds = dict(zip(names, np.clip(ratio - whole, 0, 1).tolist()))
-    is_long = F.col("tokens") > long_factor * _lookup(mean, 0.0)
-    longs = materialize(_round(sized.where(is_long), odds, seed))
+    told = _facts(sized, mean=mean).withColumn("is_long", F.col("tokens") > long_factor * F.col("mean"))
+    longs = materialize(_round(told.where("is_long").select(sized.columns), odds, seed))
     left = {n: odds[n] * own.get(n, 0) for n in names}
     rest = dict(own)
     for r in longs.groupBy("source").agg(F.sum(F.col("tokens") * F.col("x")).alias("used"), F.sum("tokens").alias("t")).collect():
         left[r["source"]] -= r["used"]
         rest[r["source"]] -= r["t"]
     again = {n: min(1.0, max(0.0, left[n] / rest[n])) for n in names if rest.get(n)}
-    shorts = _round(sized.where(~is_long), again, seed + 2)
-    base = _lookup(dict(zip(names, whole.astype(int).tolist())), 0)
-    return longs.unionByName(shorts).select("doc_id", "source", "tokens", (base + F.col("x").cast("int")).alias("uses"))
+    shorts = _round(told.where("not is_long").select(sized.columns), again, seed + 2)
+    return _facts(longs.unionByName(shorts), base=dict(zip(names, whole.tolist()))).select("doc_id", "source", "tokens", (F.col("base") + F.col("x")).cast("int").alias("uses"))
 
 
 def mix_shares(uses: DataFrame, targets: DataFrame) -> DataFrame:

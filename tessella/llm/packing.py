@@ -11,8 +11,8 @@ from pyspark.sql.window import Window
 from tessella.llm.tokens import DEFAULT_TOKENIZER, token_count
 from tessella.session import materialize
 
-#: Buckets by which items of one length are ranked in parallel.
-SALTS = 64
+#: Items of one length that are ranked in one task, on the average.
+RANKED = 50_000
 
 
 def shallow_patterns(counts: np.ndarray, capacity: int, window: int, per_length: int = 6) -> list[dict[int, int]]:
@@ -47,8 +47,11 @@ def shallow_patterns(counts: np.ndarray, capacity: int, window: int, per_length:
     return list(out.values())
 
 
-def nnls(patterns: list[dict[int, int]], counts: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Repeat counts x >= 0 that minimise |A x - counts|^2, by multiplicative updates on the sparse A."""
+def nnls(patterns: list[dict[int, int]], counts: np.ndarray, rounds: int = 2000, gain: float = 1e-4) -> np.ndarray:
+    """Repeat counts x >= 0 that minimise |A x - counts|^2, by multiplicative updates on the sparse A.
+
+    Ends when ten rounds lower the residual by less than ``gain`` of it.
+    """
     rows = np.concatenate([np.fromiter(p, np.int64) for p in patterns])
     vals = np.concatenate([np.fromiter(p.values(), np.float64) for p in patterns])
     cols = np.repeat(np.arange(len(patterns)), [len(p) for p in patterns])
@@ -58,8 +61,14 @@ def nnls(patterns: list[dict[int, int]], counts: np.ndarray, rounds: int = 300)
     target = b * scale
     x = np.full(len(patterns), max(1.0, b.sum() / max(1.0, vals.sum())))
     top = np.bincount(cols, w * target[rows], len(patterns))
-    for _ in range(rounds):
+    before = np.inf
+    for k in range(rounds):
         ax = np.bincount(rows, w * x[cols], len(b))
+        if k % 10 == 0:
+            residual = float(((ax - target) ** 2).sum())
+            if before - residual <= gain * before and k:
+                break
+            before = residual
         x *= top / np.maximum(np.bincount(cols, w * ax[rows], len(patterns)), 1e-12)
     return x
 
@@ -128,9 +137,10 @@ def pack_documents(docs: DataFrame, *, capacity: int = 2048, tokenizer: str = DE
     doc_id count once; null ids take no part. An empty table gives no rows.
 
     The driver sees only the histogram of lengths (at most ``capacity`` rows)
-    and plans on it; ranks within a length are taken per salt bucket, so one
-    length held by a third of all items doesn't fall to one task. Sizes are
-    written once, so that ranks stay the same if tasks are repeated.
+    and plans on it; ranks within a length are taken per salt bucket, a bucket
+    for about every ``RANKED`` items of the length, so one length held by a
+    third of all items doesn't fall to one task. Sizes are written once, so
+    that ranks stay the same if tasks are repeated.
     """
     sized = docs.where("doc_id is not null").select("doc_id", token_count(F.col("text"), tokenizer).alias("n")).where("n > 0").dropDuplicates(["doc_id"])
     items = materialize(
@@ -139,29 +149,30 @@ def pack_documents(docs: DataFrame, *, capacity: int = 2048, tokenizer: str = DE
         .select(
             "doc_id", "piece_no", "n_pieces",
             F.least(F.lit(capacity), F.col("n") - (F.col("piece_no") - 1) * capacity).cast("int").alias("tokens"),
-            F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(SALTS)).cast("int").alias("salt"),
         )
     )
-    cells = items.groupBy("tokens", "salt").count().toPandas()  # at most capacity x SALTS rows
-    grid = np.zeros((capacity + 1, SALTS), dtype=np.int64)
-    grid[cells["tokens"].to_numpy(int), cells["salt"].to_numpy(int)] = cells["count"].to_numpy(np.int64)
-    slots = _slots(plan_containers(grid.sum(axis=1), capacity))
-    shared = items.sparkSession.sparkContext.broadcast((np.cumsum(grid, axis=1) - grid, slots))
+    counts = np.zeros(capacity + 1, dtype=np.int64)
+    for r in items.groupBy("tokens").count().collect():  # at most capacity rows
+        counts[r["tokens"]] = r["count"]
+    slots = items.sparkSession.sparkContext.broadcast(_slots(plan_containers(counts, capacity)))
+    salts = F.array(*[F.lit(int(-(-c // RANKED) or 1)) for c in counts])
+    salted = items.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece_no"), salts[F.col("tokens")]).cast("int"))
+    cells = salted.groupBy("tokens", "salt").agg(F.count("*").alias("n"))
+    before = cells.select("tokens", "salt", (F.sum("n").over(Window.partitionBy("tokens").orderBy("salt")) - F.col("n")).alias("before"))
 
     @F.pandas_udf("long")
-    def container(tokens: pd.Series, salt: pd.Series, rn: pd.Series) -> pd.Series:
-        before, table = shared.value
-        s = tokens.to_numpy(np.int64)
-        rank = before[s, salt.to_numpy(np.int64)] + rn.to_numpy(np.int64) - 1
+    def container(tokens: pd.Series, rank: pd.Series) -> pd.Series:
+        table, s, at_rank = slots.value, tokens.to_numpy(np.int64), rank.to_numpy(np.int64)
         out = np.empty(len(s), dtype=np.int64)
         for size in np.unique(s):
             at, rows = s == size, table[int(size)]
-            k = np.searchsorted(rows[:, 0], rank[at], side="right") - 1
-            out[at] = rows[k, 1] + (rank[at] - rows[k, 0]) // rows[k, 2]
+            k = np.searchsorted(rows[:, 0], at_rank[at], side="right") - 1
+            out[at] = rows[k, 1] + (at_rank[at] - rows[k, 0]) // rows[k, 2]
         return pd.Series(out)
 
     w = Window.partitionBy("tokens", "salt").orderBy("doc_id", "piece_no")
-    return items.withColumn("rn", F.row_number().over(w)).select("doc_id", "piece_no", "n_pieces", "tokens", container("tokens", "salt", "rn").alias("container"))
+    ranked = salted.withColumn("rn", F.row_number().over(w)).join(before, ["tokens", "salt"])
+    return ranked.select("doc_id", "piece_no", "n_pieces", "tokens", container("tokens", F.col("before") + F.col("rn") - 1).alias("container"))
 
 
 def container_fill(assigned: DataFrame, capacity: int = 2048) -> DataFrame:

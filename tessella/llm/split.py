@@ -11,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.bloom import BloomFilter
+from tessella.session import materialize
+
 #: A token is a run of non-space and the space behind it.
 _TOKEN = re.compile(r"\S+\s*|\s+")
 #: What a token ends with, from the strongest boundary to the weakest.
@@ -109,10 +112,12 @@ def split_oversized(chunks: DataFrame, limits: DataFrame, *, with_text: bool = T
     start_char, end_char, overlap_chars, boundary, piece.
 
     A null section_level uses the entry for 0; a level without an entry has no
-    limit. Null contents and contents within the limit give no rows. Repeated
-    rows of a chunk give each piece once. The filter on the length runs on the
-    JVM, so only oversized contents reach Python, and nothing is shuffled but
-    the pieces. ``limits`` is broadcast, after a check that it has at most
+    limit. Null contents and contents within the limit give no rows. Of several
+    rows of a chunk the one with the least content (by its bytes) is cut, so
+    that the pieces of a chunk always belong together. Only ids met more than
+    once, told by a filter, are shuffled with their contents to choose among
+    them; all others are cut where they are read. The filter on the length
+    runs on the JVM, so only oversized contents reach Python. ``limits`` is broadcast, after a check that it has at most
     ``max_limits`` rows.
     """
     small = limits.where("section_level is not null and max_chars >= 1").groupBy(F.col("section_level").alias("_level")).agg(F.min("max_chars").alias("_max"), F.min("overlap_chars").alias("_overlap"))
@@ -126,4 +131,8 @@ def split_oversized(chunks: DataFrame, limits: DataFrame, *, with_text: bool = T
         .select("chunk_id", "content", "_max", F.coalesce("_overlap", F.lit(0)).alias("_overlap"))
     )
     schema = "chunk_id string, piece_no int, n_pieces int, start_char int, end_char int, overlap_chars int, boundary string, piece string"
-    return over.mapInArrow(_split(with_text), schema).dropDuplicates(["chunk_id", "piece_no"])
+    repeated = materialize(over.groupBy("chunk_id").count().where("count > 1").select("chunk_id"))
+    probed = BloomFilter.build(repeated, "chunk_id").probe(over, "chunk_id", "_again")
+    one = F.min(F.struct("content", "_max", "_overlap")).alias("m")
+    chosen = probed.where("_again").groupBy("chunk_id").agg(one).select("chunk_id", "m.content", "m._max", "m._overlap")
+    return probed.where("not _again").drop("_again", "_level").select(*chosen.columns).unionByName(chosen).mapInArrow(_split(with_text), schema)
