@@ -165,7 +165,6 @@ QUERIES = {
 ORACLES = {
     "p3_cover": """WITH c AS (SELECT chunk_id, min(content) AS content FROM chunk c JOIN split_limits s ON s.section_level = coalesce(c.section_level, 0) WHERE length(c.content) > s.max_chars GROUP BY 1)
         SELECT chunk_id, CAST(length(content) AS INTEGER) AS chars, true AS covered, true AS within FROM c""",
-    "p5_samples": r"""SELECT DISTINCT chunk_id, md5(trim(regexp_replace(clean_title, '[ \t\n\r\f]+', ' ', 'g'))) AS title_md5, md5(trim(regexp_replace(clean_content, '[ \t\n\r\f]+', ' ', 'g'))) AS content_md5 FROM scan_samples""",
     "p8_capacity": "SELECT count(DISTINCT doc_id) AS documents, 0 AS broken, 0 AS overfull FROM documents WHERE text <> ''",
     "p9_limits": """SELECT lower(trim(d.source)) AS source, count(DISTINCT doc_id) AS documents, 0 AS too_often FROM documents d
         WHERE d.text <> '' AND lower(trim(d.source)) IN (SELECT lower(trim(source)) FROM mix_targets) GROUP BY 1""",
