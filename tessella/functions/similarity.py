@@ -81,6 +81,18 @@ def sentence_rouge_l(reference: Column, candidate: Column) -> Column:
     return score(sentences(F.coalesce(reference, F.lit(""))), sentences(F.coalesce(candidate, F.lit(""))))
 
 
+def rouge_l_best(reference: Column, candidate: Column) -> Column:
+    """Struct (p, r, f): of each the larger of the raw and the normalised texts' ROUGE-L; f also not below the sentence-aligned mean.
+
+    Null and blank texts score 0.
+    """
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    a, b = blank(reference), blank(candidate)
+    raw, flat = rouge_l(a, b), rouge_l(rouge_text(a), rouge_text(b))
+    aligned = F.coalesce(sentence_rouge_l(a, b), F.lit(0.0))
+    return F.struct(F.greatest(raw["p"], flat["p"]).alias("p"), F.greatest(raw["r"], flat["r"]).alias("r"), F.greatest(raw["f"], flat["f"], aligned).alias("f"))
+
+
 def greedy_similarity(candidate: list[list[float]], reference: list[list[float]]) -> tuple[float, float, float]:
     """Precision, recall and F of greedy matching of token vectors by cosine, each within [0, 1]."""
     import numpy as np

@@ -75,12 +75,16 @@ MODEL_FAMILIES = {
 }
 
 
-def model_family(model: Column) -> Column:
-    """One spelling per model family; other names stay as they are."""
+#: Spellings that only the wide list of names takes for a family.
+WIDE_ONLY = ("gpt-4o-mini", "wizardlm2")
+
+
+def model_family(model: Column, *, wide: bool = True) -> Column:
+    """One spelling per model family; other names stay as they are. The narrow list lacks ``WIDE_ONLY``."""
     low = F.lower(F.trim(model))
     out = model
     for family, names in MODEL_FAMILIES.items():
-        out = F.when(low.isin(*names), F.lit(family)).otherwise(out)
+        out = F.when(low.isin(*[n for n in names if wide or n not in WIDE_ONLY]), F.lit(family)).otherwise(out)
     return out
 
 

@@ -173,20 +173,24 @@ def recursive_split(text: str, limit: int = 1000) -> list[str]:
     texts need no stack.
     """
     out: list[str] = []
-    rest = text
-    while len(rest) > limit:
+    start, end = 0, len(text)
+    while end - start > limit:
         for sep in SEPARATORS:
-            at = rest.rfind(sep, 1, limit + len(sep))
+            at = text.rfind(sep, start + 1, min(end, start + limit + len(sep)))
             if at > 0:
                 cut = at + len(sep)
                 break
         else:
-            nxt = rest.find(" ", limit, limit + 20)
-            cut = nxt if nxt > 0 else limit
-        out.append(rest[:cut].strip(SPACE))
-        rest = rest[cut:].strip(SPACE)
-    if rest:
-        out.append(rest)
+            nxt = text.find(" ", start + limit, min(end, start + limit + 20))
+            cut = nxt if nxt > 0 else start + limit
+        out.append(text[start:cut].strip(SPACE))
+        start = cut
+        while start < end and text[start] in SPACE:
+            start += 1
+        while end > start and text[end - 1] in SPACE:
+            end -= 1
+    if start < end:
+        out.append(text[start:end])
     return out
 
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.quantiles import exact_quantiles, join_groups
+
 
 def describe(df: DataFrame, columns: list[str], *, by: str | None = None) -> DataFrame:
     """Count, mean, sample deviation, extremes and interpolated quartiles of each column.
@@ -20,15 +22,19 @@ def describe(df: DataFrame, columns: list[str], *, by: str | None = None) -> Dat
         *([F.col(by).cast("string").alias("group_value")] if by else []),
         F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("x")) for c in columns])).alias("m"),
     ).select(*(["group_value"] if by else []), "m.metric", "m.x")
-    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     sums = (
-        F.count("x").alias("n"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_samp("x"), 4).alias("std"), F.min("x").alias("least"),
-        *(F.round(q[i], 6).alias(f"p{p}") for i, p in enumerate((25, 50, 75))), F.max("x").alias("most"),
+        F.count("x").alias("n"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_samp("x"), 4).alias("std"), F.min("x").alias("least"), F.max("x").alias("most"),
     )
+    shares = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
     if by is None:
-        return long.groupBy("metric").agg(*sums).withColumn("group_value", F.lit(None).cast("string"))
-    tagged = long.groupingSets([[F.col("metric")], [F.col("metric"), F.col("group_value")]], F.col("metric"), F.col("group_value"))
-    return tagged.agg(*sums)
+        found, asked, keys = long.groupBy("metric").agg(*sums).withColumn("group_value", F.lit(None).cast("string")), long, ["metric"]
+    else:
+        tagged = long.groupingSets([[F.col("metric")], [F.col("metric"), F.col("group_value")]], F.col("metric"), F.col("group_value"))
+        found = tagged.agg(*sums, F.grouping("group_value").cast("int").alias("_over"))
+        asked = long.withColumn("_over", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("group_value", F.when(F.col("_over") == 0, F.col("group_value")))
+        keys = ["metric", "group_value", "_over"]
+    whole = join_groups(found, exact_quantiles(asked, keys, "x", shares), keys)
+    return whole.select("group_value", "metric", "n", "mean", "std", "least", *(F.round(c, 6).alias(c) for c in shares), "most")
 
 
 def width_histogram(df: DataFrame, column: str, bins: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import model_family, task_number
+from tessella.operators.quantiles import exact_quantiles, join_groups
 
 #: Answers of the usability questionnaire and their points.
 LIKERT = {"strongly disagree": 1, "disagree": 2, "neutral": 3, "agree": 4, "strongly agree": 5}
@@ -62,10 +63,11 @@ def task_completions(answers: DataFrame, queries: DataFrame, *, max_minutes: flo
 def time_summary(times: DataFrame, *keys: str) -> DataFrame:
     """Count, mean, median, sample deviation, least and most minutes and mean attempts per group."""
     r = lambda c, n: F.round(c, 6).alias(n)
-    return times.groupBy(*keys).agg(
-        F.count("*").alias("n"), r(F.avg("minutes"), "mean_minutes"), r(F.median("minutes"), "median_minutes"), F.round(F.stddev_samp("minutes"), 4).alias("std_minutes"),
+    sums = times.groupBy(*keys).agg(
+        F.count("*").alias("n"), r(F.avg("minutes"), "mean_minutes"), F.round(F.stddev_samp("minutes"), 4).alias("std_minutes"),
         r(F.min("minutes"), "least_minutes"), r(F.max("minutes"), "most_minutes"), r(F.avg("attempts"), "mean_attempts"),
     )
+    return join_groups(sums, exact_quantiles(times, list(keys), "minutes", {"median_minutes": 0.5}), list(keys)).withColumn("median_minutes", F.round("median_minutes", 6))
 
 
 def attempts_to_success(answers: DataFrame) -> DataFrame:

@@ -165,7 +165,7 @@ def level_title_rollup(spark, d):
 
 
 def filename_years(spark, d):
-    names = table(spark, d, "documents").select(T.leftmost_year(F.col("file_name"), 1999, 2098).alias("year")).where("year is not null")
+    names = table(spark, d, "documents").select(T.leftmost_year(F.col("file_name"), 1999, 2025).alias("year")).where("year is not null")
     return names.groupBy("year").agg(F.count("*").alias("n"), F.min(F.min("year")).over(Window.partitionBy(F.lit(1))).alias("first_year"), F.max(F.max("year")).over(Window.partitionBy(F.lit(1))).alias("last_year"))
 
 
@@ -238,6 +238,6 @@ ORACLES = {
     "level_title_rollup": _W + """, b AS (SELECT section_level, substr(upper(coalesce(title, '?')), 1, 1) AS initial, words FROM chunks)
         SELECT section_level, initial, count(*) AS n, CAST(sum(words) AS BIGINT) AS words, CAST(grouping(section_level, initial) AS INTEGER) AS level_of_total FROM b GROUP BY ROLLUP (section_level, initial)""",
     "filename_years": """WITH y AS (SELECT TRY_CAST(nullif(regexp_extract(file_name, '((?:19|20)[0-9]{2})', 1), '') AS INTEGER) AS year FROM documents)
-        SELECT year, count(*) AS n, min(min(year)) OVER () AS first_year, max(max(year)) OVER () AS last_year FROM y WHERE year BETWEEN 1999 AND 2098 GROUP BY year""",
+        SELECT year, count(*) AS n, min(min(year)) OVER () AS first_year, max(max(year)) OVER () AS last_year FROM y WHERE year BETWEEN 1999 AND 2025 GROUP BY year""",
     "lesson_years": "SELECT year, count(*) AS n_lessons FROM (SELECT DISTINCT year(scraped_at) AS year, url FROM lessons WHERE url <> 'url') GROUP BY year",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.functions import vectors as V
+from tessella.operators import index as I
 from tessella.operators import retrieval as R
 from tessella.tables import table
 
@@ -30,6 +31,12 @@ def knn_threshold(spark, d):
     return _knn(spark, d, k=4, threshold=1.4, exclude_self=True).select("query_id", "doc_id", F.round("distance", 5).alias("distance"), "rank")
 
 
+def knn_index(spark, d):
+    """The inverted-list index against the exact form: queries, and whether at least nine of ten neighbours are found."""
+    found = I.search(_asked(spark, d), I.build_index(_vectors(spark, d)), k=4, probes=12, exclude_self=True)
+    return I.recall(found, _knn(spark, d, k=4, exclude_self=True)).select("n_queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
 def nearest_document(spark, d):
     """k=1 with the document's text length, language and source type."""
     docs = table(spark, d, "documents").select("doc_id", "lang", "source_type", "n_chars")
@@ -128,7 +135,7 @@ def dedupe_last(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        knn_topk, knn_threshold, nearest_document, cosine_to_next, vector_norms, retrieval_metrics_by_query, retrieval_metrics, item_metrics_exact, item_metrics_substring, item_metrics_summary,
+        knn_topk, knn_threshold, knn_index, nearest_document, cosine_to_next, vector_norms, retrieval_metrics_by_query, retrieval_metrics, item_metrics_exact, item_metrics_substring, item_metrics_summary,
         doc_lookup, prefix_lookup, citations, context_block, dedupe_last,
     )
 }
@@ -164,6 +171,7 @@ _DOCS = """docs AS (SELECT doc_key, source_type, min(title) AS title, min(url) A
 _REFS = f"{_ITEMS}, refs AS (SELECT id, pos, trim(r) AS doc_key FROM (SELECT id, unnest(relevant_chunk_ids) AS r, unnest(range(0, len(relevant_chunk_ids))) AS pos FROM i) WHERE trim(r) <> '')"
 _METRIC = "SELECT query_id, n_retrieved, n_relevant, precision, recall, reciprocal_rank, hit, ndcg FROM m"
 ORACLES = {
+    "knn_index": "SELECT count(*) AS n_queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0",
     "knn_topk": f"WITH {_KNN} SELECT query_id, doc_id, round(distance, 5) AS distance, rank FROM k",
     "knn_threshold": f"WITH {_KNN} SELECT query_id, doc_id, round(distance, 5) AS distance, rank FROM k WHERE distance <= 1.4",
     "nearest_document": f"WITH {_KNN} SELECT query_id, k.doc_id, lang, source_type, n_chars FROM k JOIN documents d ON d.doc_id = k.doc_id WHERE rank = 1",

@@ -128,7 +128,8 @@ def generation_summary(spark, d):
 
 
 def rouge_l(spark, d):
-    return _items(spark, d).select("id", Y.rouge_l(F.col("expected_answer"), F.col("question")).alias("s")).select("id", *(F.round(f"s.{c}", 6).alias(f"rouge_l_{c}") for c in "prf"))
+    """ROUGE-L of question and answer: the larger of raw and normalised texts, and of the sentence-aligned F."""
+    return _items(spark, d).select("id", Y.rouge_l_best(F.col("expected_answer"), F.col("question")).alias("s")).select("id", *(F.round(f"s.{c}", 6).alias(f"rouge_l_{c}") for c in "prf"))
 
 
 def sentence_rouge_l(spark, d):

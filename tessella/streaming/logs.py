@@ -30,23 +30,31 @@ def new_rows_only(rows: DataFrame, key: str, ts: str, late: str = "1 day") -> Da
     return rows.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
-def run_available(spark: SparkSession, path: str, schema: str, plan, *, per_trigger: int = 1) -> DataFrame:
+def run_available(spark: SparkSession, path: str, schema: str, plan, *, per_trigger: int = 1, keys: list[str] | None = None, checkpoint: str | None = None) -> DataFrame:
     """The final state of ``plan`` over all files now at ``path``, read as a stream of micro-batches.
 
-    Every update of the state is written to the shared folder with its batch
-    number; the last one of each group is the result, so that a restarted
-    query gives the same.
+    With ``keys``, the columns by which the plan groups, the query runs in
+    update mode: a micro-batch writes only the groups that it changed, the
+    watermark lets old state go, and the last update of each group is the
+    result. Without them it runs in complete mode, which keeps all groups (as
+    session windows need for their open ends). ``checkpoint`` names a folder
+    in which a later call goes on where this one ended; without it the query
+    starts anew and its folder is removed in the end.
     """
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    atexit.register(delete, spark, base)
+    base = checkpoint or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    if checkpoint is None:
+        atexit.register(delete, spark, base)
     glob = f"{path[:-1]}[{path[-1]}]"  # as a pattern, the path may be a folder or one file
     stream = plan(spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(glob))
 
     def save(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
-    query = stream.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{base}/state").foreachBatch(save).start()
+    query = stream.writeStream.outputMode("update" if keys else "complete").trigger(availableNow=True).option("checkpointLocation", f"{base}/state").foreachBatch(save).start()
     query.awaitTermination()
-    out = spark.read.option("basePath", f"{base}/out").parquet(f"{base}/out")
+    out = spark.read.option("basePath", f"{base}/out").parquet(f"{base}/out").drop("batch")
+    if keys:
+        rest = [c for c in out.columns if c not in keys and c != "_batch"]
+        return out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_last")).select(*keys, *[F.col("_last")[c].alias(c) for c in rest])
     last = out.agg(F.max("_batch")).first()[0]
-    return out.where(F.col("_batch") == last).drop("_batch", "batch")
+    return out.where(F.col("_batch") == last).drop("_batch")

@@ -399,3 +399,96 @@ def test_streams(spark, tmp_path):
     got = run_available(spark, str(tmp_path / "in"), "k long, ts timestamp", lambda s: s.groupBy("k").count())
     assert {r["k"]: r["count"] for r in got.collect()} == {0: 4, 1: 1, 2: 1}
     assert new_rows_only(spark.readStream.schema("k long, ts timestamp").parquet(str(tmp_path / "in")), "k", "ts").isStreaming
+
+
+def test_recursive_split_keeps_an_index():
+    """The same pieces as cutting the text itself, and no quadratic copying."""
+
+    def plain(text, limit):
+        out, rest = [], text
+        while len(rest) > limit:
+            for sep in C.SEPARATORS:
+                at = rest.rfind(sep, 1, limit + len(sep))
+                if at > 0:
+                    cut = at + len(sep)
+                    break
+            else:
+                nxt = rest.find(" ", limit, limit + 20)
+                cut = nxt if nxt > 0 else limit
+            out.append(rest[:cut].strip(C.SPACE))
+            rest = rest[cut:].strip(C.SPACE)
+        return out + ([rest] if rest else [])
+
+    import random
+
+    rng = random.Random(1)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "bc", " ", "\n", "\n\n", ". ", ", ", "x" * 30]) for _ in range(rng.randrange(80)))
+        assert C.recursive_split(text, 20) == plain(text, 20)
+    assert len(C.recursive_split("word " * 400_000, 1000)) > 1900
+
+
+def test_rouge_l_takes_the_larger_value(spark):
+    df = spark.createDataFrame([(1, "The Valve, failed!", "the valve failed"), (2, "A b c. D e f.", "D e f. A b c."), (3, None, "x"), (4, "", "")], "id long, a string, b string")
+    got = {r["id"]: tuple(round(x, 6) for x in r["s"]) for r in df.select("id", Y.rouge_l_best(F.col("a"), F.col("b")).alias("s")).collect()}
+    assert got[1][:2] == (1.0, 1.0) and got[2][2] > 0.99 and got[2][1] == 0.5 and got[3] == got[4] == (0.0, 0.0, 0.0)
+
+
+def test_narrow_model_list(spark):
+    assert [one(spark, m, lambda c: T.model_family(c, wide=False)) for m in ("gpt-4", "gpt-4o-mini", "wizardlm2")] == ["OpenAI", "gpt-4o-mini", "wizardlm2"]
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    from tessella.operators.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(2)
+    groups = {"a": rng.normal(size=501), "b": rng.integers(0, 4, 1000) * 1.0, "c": np.array([7.0]), None: np.concatenate([np.full(3000, 5.0), [1e12, -1e12]])}
+    rows = [(k, float(x)) for k, v in groups.items() for x in v] + [("a", None), ("empty", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r["g"]: (r["lo"], r["mid"], r["hi"]) for r in exact_quantiles(df, ["g"], "x", {"lo": 0.1, "mid": 0.5, "hi": 0.99}).collect()}
+    assert set(got) == set(groups)
+    for k, v in groups.items():
+        assert np.allclose(got[k], np.quantile(v, [0.1, 0.5, 0.99]))
+    assert exact_quantiles(df, [], "x", {"m": 0.5}).first()["m"] == np.median([x for _, x in rows if x is not None])
+    assert exact_quantiles(df.limit(0), ["g"], "x", {"m": 0.5}).count() == 0
+
+
+def test_vector_index(spark, tmp_path):
+    import numpy as np
+
+    from tessella.operators import index as I
+
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(12, 8))
+    rows = [(i, (centre[i % 12] + 0.1 * rng.normal(size=8)).tolist()) for i in range(600)] + [(None, [0.0] * 8), (999, None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>").withColumn("list", F.lit(1)).withColumn("part", F.lit("x"))
+    built = I.build_index(df, list_rows=40)  # hot lists are cut into parts
+    assert built.rows.count() == 600 and built.rows.agg(F.max("part")).first()[0] >= 1
+    asked = df.where("id % 20 = 0")
+    exact = R.knn(asked, df, k=4)
+    found = I.search(asked, built, k=4, probes=6)
+    assert I.recall(found, exact).first()["recall"] >= 0.9
+    assert sorted(map(tuple, I.search(asked, built, k=4, probes=10_000).select("query_id", "doc_id", "rank").collect())) == sorted(map(tuple, exact.select("query_id", "doc_id", "rank").collect()))
+    built.save(str(tmp_path / "ix"))
+    assert sorted(map(tuple, I.search(asked, I.VectorIndex.load(spark, str(tmp_path / "ix")), k=4, probes=6).collect())) == sorted(map(tuple, found.collect()))
+    empty = I.build_index(df.limit(0))
+    assert empty.rows.count() == 0 and I.search(asked.limit(0), built).count() == 0
+
+
+def test_attempt_states_as_stream(spark, tmp_path):
+    from datetime import datetime
+
+    from tessella.streaming.attempts import attempt_states
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    t = datetime(2024, 1, 1)
+    parts = [[(1, "u", "task1", False, t), (2, "u", "task1", None, t), (3, "v", "task1", True, t)], [(4, "u", "task1", False, t), (5, "u", "task1", False, t), (6, None, "task1", True, t)], [(7, "u", "task1", True, t), (8, "v", "task1", False, t)]]
+    schema = "id long, user string, task_id string, is_correct boolean, timestamp timestamp"
+    seen = []
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        out = run_available(spark, str(tmp_path / "in"), schema, attempt_states, keys=["user", "task_id"], checkpoint=str(tmp_path / "go"), per_trigger=9)
+        seen.append({(r["user"], r["attempts"], r["state"]) for r in out.collect()})
+    assert seen == [{("u", 2, "open"), ("v", 1, "solved")}, {("u", 4, "may_skip"), ("v", 1, "solved")}, {("u", 5, "solved"), ("v", 1, "solved")}]
