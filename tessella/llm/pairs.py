@@ -183,17 +183,23 @@ def content_words(text: Column) -> Column:
     return F.array_except(words, F.array(*[F.lit(w) for w in sorted(set().union(*_SETS.values())) if len(w) > 3]))
 
 
-def clauses(answer: Column, question: Column) -> Column:
-    """The clauses of the whole answer: (text, n words, own: whether it has a content word of its own prompt, or a number, ends: whether a sentence ends with it)."""
-    asked = content_words(question)
+def with_prompts(rows: DataFrame) -> DataFrame:
+    """Rows of (id, question, answer) with ``asked``, the content words of the question, and ``whole``, its words between spaces; written once, since each clause is held against them."""
+    question = F.coalesce("question", F.lit(""))
+    return materialize(rows.select("id", "question", "answer", content_words(question).alias("asked"), F.concat(F.lit(" "), _plain(question), F.lit(" ")).alias("whole")))
+
+
+def clauses(answer: Column, asked: Column) -> Column:
+    """The clauses of the whole answer: (text, n words, own: whether it has one of the words ``asked``, or a number, ends: whether a sentence ends with it)."""
     marked = F.regexp_replace(F.regexp_replace(F.coalesce(answer, F.lit("")), r"[.!?;]+(?=\s|$)", "\x02\x01"), r"[,:…]+(?=\s|$)|[\r\n]+", "\x01")
+    flat = F.regexp_replace(F.translate(F.lower(marked), "’‘`", "\'\'\'"), r"[^\p{L}\p{N}'\x01\x02]+", " ")
 
     def tell(part: Column) -> Column:
-        text = _plain(part)
+        text = F.trim(F.translate(part, "\x02", ""))
         words = F.split(text, " ")
         return F.struct(text.alias("text"), F.size(words).alias("n"), (F.arrays_overlap(words, asked) | text.rlike("[0-9]")).alias("own"), F.contains(part, F.lit("\x02")).alias("ends"))
 
-    return F.filter(F.transform(F.split(marked, "\x01"), tell), lambda x: x["text"] != "")
+    return F.filter(F.transform(F.split(flat, "\x01"), tell), lambda x: x["text"] != "")
 
 
 def _leading(spans: Column, empty) -> Column:
@@ -250,8 +256,10 @@ def declining(rows: DataFrame, *, min_prompts: int = 3) -> DataFrame:
     it (a repetition of the question aside), and such clauses, with short ones
     beside them, make up three eighths of its words.
     """
-    told = rows.select("id", F.xxhash64("question").alias("prompt"), content_words(F.col("question")).alias("asked"), clauses(F.col("answer"), F.col("question")).alias("spans"), _plain(F.coalesce("question", F.lit(""))).alias("whole"))
-    told = materialize(told.withColumn("spans", F.filter("spans", lambda x: ~F.contains(F.concat(F.lit(" "), F.col("whole"), F.lit(" ")), F.concat(F.lit(" "), x["text"], F.lit(" "))) | (x["n"] < 3))).where("size(spans) > 0").drop("whole"))
+    if "asked" not in rows.columns:
+        rows = with_prompts(rows)
+    told = rows.select("id", F.xxhash64("question").alias("prompt"), "asked", clauses(F.col("answer"), F.col("asked")).alias("spans"), "whole")
+    told = materialize(told.withColumn("spans", F.filter("spans", lambda x: ~F.contains(F.col("whole"), F.concat(F.lit(" "), x["text"], F.lit(" "))) | (x["n"] < 3))).where("size(spans) > 0").drop("whole"))
     found = declining_templates(told, min_prompts=min_prompts)
     at = told.select("id", F.posexplode("spans").alias("pos", "c")).select("id", "pos", F.xxhash64("c.text").alias("h")).join(found.select("h"), "h", "left_semi").groupBy("id").agg(F.collect_list("pos").alias("at"))  # clauses of one answer
     template = lambda i: F.array_contains("at", i)
@@ -272,7 +280,7 @@ def broken_pairs(items: DataFrame, labelled: DataFrame | None = None, *, min_pro
     wrong_language, truncated. A null question can't be copied and has no
     language. Null ids take no part; an empty table gives no rows.
     """
-    rows = materialize(items.where("id is not null").select("id", "question", "answer").dropDuplicates(["id"]))
+    rows = with_prompts(items.where("id is not null").select("id", "question", "answer").dropDuplicates(["id"]))
     no = declining(rows, min_prompts=min_prompts).select("id", F.lit(True).alias("declines"))
     flagged = rows.join(no, "id", "left").select("id", "question", "answer", F.coalesce("declines", F.lit(False)).alias("declines"))
     model = LanguageModel.of_function_words() if labelled is None else fit_languages(labelled)
