@@ -53,6 +53,35 @@ def test_near_duplicates_equal_brute_force(spark, bucket):
     assert got == jaccard_pairs(rows, 3, 0.5, 20)
 
 
+def shuffled_records(spark):
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_copies_of_texts_are_not_multiplied_in_shuffles(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(40)]
+    rows = [(f"{k}-{n}", t) for k in range(8) for n, t in enumerate(texts)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 8), "i string, t string")  # each partition has a copy of every text
+    before = shuffled_records(spark)
+    links, members = near_duplicates(df, id="i", text="t", threshold=0.5, shingle=3, min_words=20)
+    pairs = expand_pairs(links, members)
+    assert pairs.count() == 40 * 8 * 7 // 2
+    assert shuffled_records(spark) - before < 24 * len(rows)  # 24 variants of each class, not of each copy
+
+
+def test_pairs_of_an_id_with_several_texts_come_once(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, b, far = words[:40], words[:39] + ["x"], [f"z{i}" for i in range(40)]
+    rows = [("two", a), ("two", b), ("two", far), ("one", a), ("other", b), ("third", far)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "i string, t string")
+    got = sorted(tuple(r) for r in expand_pairs(*near_duplicates(df, id="i", text="t", threshold=0.5, shingle=3, min_words=20)).collect())
+    assert got == [("one", "other"), ("one", "two"), ("other", "two"), ("third", "two")]
+
+
 def test_near_groups(spark):
     rows = family_rows()
     df = spark.createDataFrame(rows, "chunk_id string, content string")
