@@ -11,6 +11,7 @@ from tessella.functions import similarity as Y
 from tessella.functions import text as T
 from tessella.operators import chunking as C
 from tessella.operators import lookup as U
+from tessella.operators.weights import sentence_weights
 from tessella.tables import table
 
 
@@ -81,27 +82,17 @@ def semantic_adjacent_sim(spark, d):
 
 
 def _weights(spark, d):
-    """(doc_id, s, term, w): unit TF-IDF weights of every sentence, its document being the corpus."""
-    sent = _docs(spark, d).where("text is not null").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("s", "sentence"))
-    terms = sent.select("doc_id", "s", F.explode(F.regexp_extract_all(F.lower("sentence"), F.lit("[a-z0-9]{2,}"), F.lit(0))).alias("term"))
-    tf = terms.groupBy("doc_id", "s", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("doc_id", "term").agg(F.count("*").alias("df"))
-    n = sent.groupBy("doc_id").agg(F.count("*").alias("n"))
-    raw = tf.join(df, ["doc_id", "term"]).join(n, "doc_id").select("doc_id", "s", "term", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
-    size = raw.groupBy("doc_id", "s").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-    return raw.join(size, ["doc_id", "s"]).select("doc_id", "s", "term", (F.col("w") / F.col("size")).alias("w"))
+    return sentence_weights(_docs(spark, d), "doc_id", "text")
 
 
 def semantic_tfidf(spark, d):
     """Terms and largest weight of every sentence."""
-    return _weights(spark, d).groupBy("doc_id", "s").agg(F.count("*").alias("n_terms"), F.round(F.max("w"), 5).alias("largest"), F.round(F.sum("w"), 4).alias("total"))
+    return _weights(spark, d).select("doc_id", "s", "n_terms", F.round("largest", 5).alias("largest"), F.round("total", 4).alias("total"))
 
 
 def semantic_next_similarity(spark, d):
     """Cosine of every sentence and the next one that share a term."""
-    w = _weights(spark, d)
-    nxt = w.select("doc_id", (F.col("s") - 1).alias("s"), "term", F.col("w").alias("w2"))
-    return w.join(nxt, ["doc_id", "s", "term"]).groupBy("doc_id", "s").agg(F.round(F.sum(F.col("w") * F.col("w2")), 5).alias("similarity"))
+    return _weights(spark, d).where("next_similarity is not null").select("doc_id", "s", F.round("next_similarity", 5).alias("similarity"))
 
 
 def chunking_compare(spark, d):

@@ -492,3 +492,56 @@ def test_attempt_states_as_stream(spark, tmp_path):
         out = run_available(spark, str(tmp_path / "in"), schema, attempt_states, keys=["user", "task_id"], checkpoint=str(tmp_path / "go"), per_trigger=9)
         seen.append({(r["user"], r["attempts"], r["state"]) for r in out.collect()})
     assert seen == [{("u", 2, "open"), ("v", 1, "solved")}, {("u", 4, "may_skip"), ("v", 1, "solved")}, {("u", 5, "solved"), ("v", 1, "solved")}]
+
+
+def test_sentence_weights_equal_plain_ones_without_a_row_per_term(spark):
+    import random
+    import re
+    from collections import Counter
+    from math import log, sqrt
+
+    from tessella.operators.weights import sentence_weights
+
+    rng = random.Random(11)
+    words = "alpha beta gamma delta eps zeta x9 y 42".split()
+    text = lambda: " ".join(" ".join(rng.choice(words) for _ in range(rng.randrange(1, 9))) + "." for _ in range(rng.randrange(1, 7)))
+    rows = [(i, text()) for i in range(60)] + [(5, text()), (5, text()), (7, None), (8, None), (100, None), (101, ""), (102, "y. ?"), (None, text())]
+    by = {}
+    for k, t in rows:
+        if k is not None and t is not None:
+            for s, sentence in enumerate(re.sub("([.!?]) ", "\\1\x01", t.strip()).split("\x01")):
+                by.setdefault(k, []).append((s, re.findall("[a-z0-9]{2,}", sentence.lower())))
+    want, near = {}, {}
+    for k, listed in by.items():
+        tf = {}
+        for s, ws in listed:
+            tf.setdefault(s, Counter()).update(ws)
+        df = Counter(w for c in tf.values() for w in c)
+        unit = {}
+        for s, c in tf.items():
+            w = {x: n * (log((1 + len(listed)) / (1 + df[x])) + 1) for x, n in c.items()}
+            unit[s] = {x: v / sqrt(sum(y * y for y in w.values())) for x, v in w.items()}
+            if w:
+                want[k, s] = (len(w), round(max(unit[s].values()), 9), round(sum(unit[s].values()), 9))
+        for s in unit:
+            both = set(unit[s]) & set(unit.get(s + 1, {}))
+            if both:
+                near[k, s] = round(sum(unit[s][x] * unit[s + 1][x] for x in both), 9)
+    df = sentence_weights(spark.createDataFrame(rows, "k long, t string"), "k", "t")
+    got = df.collect()
+    assert {(r["k"], r["s"]): (r["n_terms"], round(r["largest"], 9), round(r["total"], 9)) for r in got} == want and len(got) == len(want)
+    assert {(r["k"], r["s"]): round(r["next_similarity"], 9) for r in got if r["next_similarity"] is not None} == near
+    alone = sentence_weights(spark.createDataFrame(rows[:60], "k long, t string"), "k", "t")
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["semantic_tfidf", "semantic_next_similarity"])
+def test_semantic_queries_shuffle_no_terms(spark, name):
+    import os
+
+    from tessella.plans.texts import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables here")
+    assert "Exchange" not in QUERIES[name](spark, d)._jdf.queryExecution().executedPlan().toString()
