@@ -22,13 +22,13 @@ def stream_attempts(spark, d):
     """Final state of every user's numbered tasks, from the answers as a stream."""
     schema = spark.read.parquet(f"{d}/user_answers.parquet").schema
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return run_available(spark, f"{d}/user_answers.parquet", schema, lambda s: attempt_states(submitted(s)), keys=["user", "task_id"])
+    return run_available(spark, f"{d}/user_answers.parquet", schema, lambda s: attempt_states(submitted(s)), bytes_per_trigger=1 << 28, keys=["user", "task_id"])
 
 
 def submitted(answers):
-    """Submissions to numbered tasks; the copies of a row in one batch count once."""
+    """Submissions to numbered tasks; attempt_states counts copies of a row once."""
     rows = answers.where("entry_type = 'submission' and task_id rlike '^task[0-9]+$' and timestamp is not null and id is not null")
-    return rows.dropDuplicates(["id"]).select("id", F.lower(F.trim("username")).alias("user"), "task_id", "is_correct", "timestamp")
+    return rows.select("id", F.lower(F.trim("username")).alias("user"), "task_id", "is_correct", "timestamp")
 
 
 QUERIES = {"stream_attempts": stream_attempts, "stream_daily_counts": stream_daily_counts, "stream_user_sessions": stream_user_sessions}

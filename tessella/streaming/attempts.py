@@ -4,36 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
 
 OUTPUT = "user string, task_id string, attempts long, state string"
 
 
 class _Attempts(StatefulProcessor):
-    """Per user and task: number of attempts, whether solved, whether skipping was offered."""
+    """Per user and task: the attempts up to the first success, by time and id, and whether it is there."""
 
     def __init__(self, skip_after: int) -> None:
         self.skip_after = skip_after
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", StructType([StructField("n", LongType()), StructField("solved", BooleanType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        n, solved = self.held.get() if self.held.exists() else (0, False)
-        before = n, solved
-        for part in rows:
-            for ok in part.sort_values(["timestamp", "id"])["is_correct"].tolist():
-                if not solved:
-                    n += 1
-                    solved = bool(ok)
-        self.held.update((n, solved))
-        if (n, solved) != before:
-            state = "solved" if solved else "may_skip" if n >= self.skip_after else "open"
-            yield pd.DataFrame({"user": [key[0]], "task_id": [key[1]], "attempts": [n], "state": [state]})
+        longs = ArrayType(LongType())
+        self.held = handle.getValueState("held", StructType([StructField("times", longs), StructField("ids", longs), StructField("solved", BooleanType())]))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        held = self.held.get() if self.held.exists() else None
+        times, ids, solved = held or ([], [], False)
+        old = [(t, i, False) for t, i in zip(times, ids)]
+        if solved:
+            old[-1] = (*old[-1][:2], True)
+        now = sorted({*old, *((r["us"], r["id"], r["is_correct"]) for r in rows)})
+        first = next((k for k, x in enumerate(now) if x[2]), None)
+        solved = first is not None
+        now = now[: first + 1] if solved else now  # the first success only moves to the front, so what comes after it never counts
+        if now != old:
+            self.held.update(([x[0] for x in now], [x[1] for x in now], solved))
+            state = "solved" if solved else "may_skip" if len(now) >= self.skip_after else "open"
+            yield Row(user=key[0], task_id=key[1], attempts=len(now), state=state)
 
     def close(self) -> None:
         pass
@@ -44,7 +46,9 @@ def attempt_states(submissions: DataFrame, *, skip_after: int = 4) -> DataFrame:
 
     submissions: (id, user, task_id, is_correct, timestamp) of a stream or a
     table. Attempts after the first success don't count; a null is_correct is
-    a failure. Per user and task only a number and a flag are held.
+    a failure. Attempts count by time, then id, in whatever order they arrive,
+    and repeated ones once: per user and task the (time, id) of those up to
+    the first success are held, no others.
     """
-    rows = submissions.select("id", "user", "task_id", F.coalesce("is_correct", F.lit(False)).alias("is_correct"), "timestamp").where("user is not null and task_id is not null")
-    return rows.groupBy("user", "task_id").transformWithStateInPandas(statefulProcessor=_Attempts(skip_after), outputStructType=OUTPUT, outputMode="Update", timeMode="None")
+    rows = submissions.select("id", "user", "task_id", F.coalesce("is_correct", F.lit(False)).alias("is_correct"), F.unix_micros(F.col("timestamp").cast("timestamp")).alias("us")).where("user is not null and task_id is not null")
+    return rows.groupBy("user", "task_id").transformWithState(statefulProcessor=_Attempts(skip_after), outputStructType=OUTPUT, outputMode="Update", timeMode="None")

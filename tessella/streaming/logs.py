@@ -30,14 +30,16 @@ def new_rows_only(rows: DataFrame, key: str, ts: str, late: str = "1 day") -> Da
     return rows.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
-def run_available(spark: SparkSession, path: str, schema: str, plan, *, per_trigger: int = 1, keys: list[str] | None = None, checkpoint: str | None = None) -> DataFrame:
+def run_available(spark: SparkSession, path: str, schema: str, plan, *, per_trigger: int = 1, bytes_per_trigger: int | None = None, keys: list[str] | None = None, checkpoint: str | None = None) -> DataFrame:
     """The final state of ``plan`` over all files now at ``path``, read as a stream of micro-batches.
 
     With ``keys``, the columns by which the plan groups, the query runs in
     update mode: a micro-batch writes only the groups that it changed, the
     watermark lets old state go, and the last update of each group is the
     result. Without them it runs in complete mode, which keeps all groups (as
-    session windows need for their open ends). ``checkpoint`` names a folder
+    session windows need for their open ends). A micro-batch takes
+    ``per_trigger`` files, or with ``bytes_per_trigger`` as many as have that
+    size, so that many small files don't cost a batch each. ``checkpoint`` names a folder
     in which a later call goes on where this one ended; without it the query
     starts anew and its folder is removed in the end.
     """
@@ -45,7 +47,8 @@ def run_available(spark: SparkSession, path: str, schema: str, plan, *, per_trig
     if checkpoint is None:
         atexit.register(delete, spark, base)
     glob = f"{path[:-1]}[{path[-1]}]"  # as a pattern, the path may be a folder or one file
-    stream = plan(spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(glob))
+    most = ("maxBytesPerTrigger", bytes_per_trigger) if bytes_per_trigger else ("maxFilesPerTrigger", per_trigger)
+    stream = plan(spark.readStream.schema(schema).option(*most).parquet(glob))
 
     def save(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/out/batch={number}")

@@ -545,3 +545,21 @@ def test_semantic_queries_shuffle_no_terms(spark, name):
     if not os.path.isdir(d):
         pytest.skip("no test tables here")
     assert "Exchange" not in QUERIES[name](spark, d)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_attempt_states_of_many_small_files_in_any_order(spark, tmp_path):
+    import os
+
+    from tessella.streaming.attempts import attempt_states
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    t = [datetime(2024, 1, 1, 0, m) for m in range(9)]
+    late, early = [(9, "u", "task1", True, t[5]), (8, "u", "task1", False, t[4]), (7, "w", "task1", False, t[1])], [(1, "u", "task1", False, t[0]), (2, "u", "task1", True, t[2]), (3, "u", "task1", False, t[3])]
+    schema = "id long, user string, task_id string, is_correct boolean, timestamp timestamp"
+    for rows in (late, early, late, early):  # the copies count once  # the copies count once
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for at, how in enumerate(({"per_trigger": 1}, {"bytes_per_trigger": 1 << 20})):
+        path = str(tmp_path / f"go{at}")
+        out = run_available(spark, str(tmp_path / "in"), schema, attempt_states, keys=["user", "task_id"], checkpoint=path, **how)
+        assert {tuple(r) for r in out.collect()} == {("u", "task1", 2, "solved"), ("w", "task1", 1, "open")}
+        assert len([f for f in os.listdir(f"{path}/state/commits") if f.isdigit()]) == (4, 1)[at]
