@@ -31,10 +31,10 @@ class KeyFilter:
         return ((at ^ (at >> np.uint64(29))) & np.uint64(mask)).astype(np.int64)
 
     @classmethod
-    def build(cls, keys: DataFrame, *, max_bits: int = MAX_BITS) -> "KeyFilter":
+    def build(cls, keys: DataFrame, *, max_bits: int = MAX_BITS, bits_per_key: int = BITS_PER_KEY) -> "KeyFilter":
         """keys: one string or 64-bit column, nulls left out. Each task sends its set words once, combined by bit_or."""
         n = max(1, keys.count())
-        bits = max(64, min(max_bits, max(MIN_BITS, 1 << math.ceil(math.log2(n * BITS_PER_KEY)))))
+        bits = max(64, min(max_bits, max(MIN_BITS, 1 << math.ceil(math.log2(n * bits_per_key)))))
         mask = bits - 1
 
         def run(batches):

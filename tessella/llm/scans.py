@@ -7,6 +7,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,10 @@ _FOLD = (("vv", "w"), ("rn", "m"), ("cl", "d"), ("ii", "u"), ("li", "h"), ("nn",
 
 #: Words of the vocabulary that one trie holds; larger vocabularies are asked trie by trie.
 TRIE_WORDS = 200_000
+#: Words that are passed over unasked: a common one that passed the filter by chance would drag along every text it is in.
+COMMON = 20_000
+#: Of the filter of answers while that is below its largest size; a word that passes by chance costs the reading of all its texts.
+BITS_PER_KEY = 64
 #: Longest words that are looked at (longer runs are no words).
 LONGEST = 60
 
@@ -50,22 +55,30 @@ _TITLE_HYPHEN = re.compile(rf"([^\W\d_]+)[{_HYPHENS}]\s+([a-zà-öø-ÿﬁ-ﬆ][
 _LEADER = re.compile(rf"(?:\s*\.{{3,}}\s*|\s{{2,}}|\t+|\s*\n\s*)({_NUMBER})\s*$|\s+([-–—~]\s*\d{{1,4}}\s*[-–—~])\s*$", re.I)
 _ODD_TOKEN = re.compile(r"[^\W\d_][0-9!|¢€][^\W\d_]|[¢øﬀ-ﬆ\xad]|vv|[^\W\d_][‐¬]$", re.I)
 _BROKEN_LINE = re.compile(rf"[^\W\d_][{_HYPHENS}][ ]?\r?\n\s*[a-z]")
-_HYPHEN_END = re.compile(rf"[^\W\d_][{_HYPHENS}]\s*[\r\n]")
+_HYPHEN_BREAK = re.compile(rf"[{_HYPHENS}]\s*[\r\n]")
 _LOWER_WORD = re.compile(r"(?:^|\s)[a-zà-öø-ÿ][^\s\d]{3}")
 _EDGE = ".,;:()[]{}\"“”„‘’'«»…?<>*_`~"
 _CODE = re.compile(r"[A-Z0-9]{1,4}-\d+|[-+±~]?\d[\d.,:/%×x-]*[^\W\d_]{0,3}[\d%]?|\d+(?:st|nd|rd|th)", re.I)
 _CODE_JVM = r"(?i)^(?:[A-Z0-9]{1,4}-[0-9]+|[-+±~]?[0-9][0-9.,:/%×x-]*\p{L}{0,3}[0-9%]?|[0-9]+(?:st|nd|rd|th))$"  # the same for the JVM
 _HYPHENATED = re.compile(rf"[{_HYPHENS}]\s")
 _LIGATURE = re.compile("[ﬀ-ﬆ]")
-_BROKEN_WORD = re.compile(rf"\S+[{_HYPHENS}][ ]?\r?\n(?:[^\n]*\n){{0,4}}?\s*[a-zà-öø-ÿﬁ-ﬆ]\S*")  # with page furniture between the parts
+_BROKEN_WORD = re.compile(rf"(?<!\S)\S+[{_HYPHENS}][ ]?\r?\n(?:[^\n]*\n){{0,4}}?\s*[a-zà-öø-ÿﬁ-ﬆ]\S*")  # with page furniture between the parts
 
 
 def core(token: str) -> str:
     """A token without the punctuation around it; "!" only where it ends a word."""
+    if token.isalpha():
+        return token
     token = token.strip(_EDGE).strip("-–—‐¬\xad").strip(_EDGE)
     return token[:-1] if token.endswith("!") and token[:-1].isalpha() else token
 
 
+def ends_in_hyphen(text: str) -> bool:
+    """Whether a line of the text ends in a letter and a hyphen."""
+    return any(_ALPHA.match(text, m.start() - 1) for m in _HYPHEN_BREAK.finditer(text) if m.start())
+
+
+@lru_cache(1 << 16)
 def line_key(line: str) -> str:
     """What running headers have in common over pages: shape-alike letters folded, digits masked."""
     text = unicodedata.normalize("NFKC", line).casefold()
@@ -158,13 +171,15 @@ class Answers:
 
     def corrections(self, token: str) -> list[str]:
         """The corrected forms of a token, the likeliest first; empty where it needs none."""
+        if token.isalpha() and token.lower() not in self.fixes:
+            return []
         inner = core(token)
         low = inner.lower()
         if low in self.fixes:
             return [token.replace(inner, in_case(inner, v)) for v in self.fixes[low]]
-        parts = re.split(r"([-‐/])", inner)
-        if len(parts) == 1 or self.is_known(low) or _CODE.fullmatch(inner):
+        if not _JOINT.search(inner) or self.is_known(low) or _CODE.fullmatch(inner):
             return []
+        parts = re.split(r"([-‐/])", inner)
         good = "".join(in_case(x, self.fixes[x.lower()][0]) if x.lower() in self.fixes else x for x in parts)
         return [token.replace(inner, good)] if good != inner else []
 
@@ -346,8 +361,8 @@ def _words_and_lines(batches):
     asked: set[str] = set()  # words that may need an answer though they don't count themselves
 
     def symptoms(tokens: list[str]) -> bool:
-        new = set(tokens) - seen
-        if new:
+        if not seen.issuperset(tokens):
+            new = set(tokens) - seen
             odd.update(t for t in new if len(t) < 60 and _ODD_TOKEN.search(t))
             seen.update(new)
         return not odd.isdisjoint(tokens)
@@ -383,7 +398,7 @@ def _words_and_lines(batches):
             if content:
                 if "\n" in content:
                     rows = text_lines(content)
-                    found = list(foreign_lines(rows, lower=(broken := bool(_HYPHEN_END.search(content)))))
+                    found = list(foreign_lines(rows, lower=(broken := ends_in_hyphen(content))))
                     for _, text, page in found:
                         if text and not text.islower():
                             keys.add(line_key(text))
@@ -421,6 +436,8 @@ def _words_and_lines(batches):
 
 def title_parts(title: str) -> list[str]:
     """The parts of a title that may be a running header: what is before a line end or |, and in parentheses at its end."""
+    if "\n" not in title and "|" not in title and not title.rstrip().endswith(")"):
+        return []
     parts = [p.strip() for p in re.split(r"\n|\s\|\s", title)]
     inner = re.search(r"\(([^()]*)\)\s*$", title)
     out = parts[:1] if len(parts) > 1 and not PAGE.fullmatch(parts[1]) and parts[0][-1:] not in tuple(_HYPHENS) else []
@@ -434,6 +451,7 @@ class Tables:
     vocabulary: DataFrame  # (key, n): the words that are corrections
     answers: DataFrame  # (key, options): 'k' + known word, 'h' + header line, 'f' + word with its corrections
     filter: KeyFilter  # of the answers' keys
+    common: frozenset[str]  # words of which it is known that they have no correction, the commonest
 
 
 def fit(chunks: DataFrame, *, suspect_ratio: int = 200, trie_words: int = TRIE_WORDS, filter_bits: int = MAX_BITS) -> Tables:
@@ -486,7 +504,8 @@ def fit(chunks: DataFrame, *, suspect_ratio: int = 200, trie_words: int = TRIE_W
     none = F.lit(None).cast("array<string>")
     lines = counts.where("kind = 'l' and (n >= 3 or key not like '\n%')").select(F.concat(F.lit("h"), "key").alias("key"), none.alias("options"))
     answers = materialize(known.select(F.concat(F.lit("k"), "key").alias("key"), none.alias("options")).unionByName(lines).unionByName(fixes.withColumn("key", F.concat(F.lit("f"), "key"))))
-    return Tables(vocabulary, answers, KeyFilter.build(answers.select("key"), max_bits=filter_bits))
+    common = frozenset(r["key"] for r in words.where(plainly).orderBy(F.desc("n"), "key").limit(COMMON).select("key").collect())
+    return Tables(vocabulary, answers, KeyFilter.build(answers.select("key"), max_bits=filter_bits, bits_per_key=BITS_PER_KEY), common)
 
 
 def _unfit(asked: DataFrame, known: DataFrame, ranked: DataFrame) -> DataFrame:
@@ -589,6 +608,7 @@ def neighbours(texts: DataFrame, asked: DataFrame) -> DataFrame:
 
 _DIGIT = re.compile(r"\d")
 _ALPHA = re.compile(r"[^\W\d_]")
+_JOINT = re.compile("[-‐/]")
 
 
 def text_lines(text: str) -> list[str]:
@@ -750,7 +770,7 @@ def _questions(shared):
     """Rows (chunk_id, title, content, file) that may hold noise, with the keys to be asked: those that pass the filter."""
 
     def run(batches):
-        filter_: KeyFilter = shared.value
+        filter_, common = shared.value
         hits: dict[str, list[str]] = {}  # token -> keys that pass
         seen: set[str] = set()
         for batch in batches:
@@ -760,9 +780,9 @@ def _questions(shared):
                 if len(seen) > 500_000:
                     seen, hits = set(), {}
                 split = [((title or "").split() + (content or "").split()) for _, title, content, _ in rows]
-                new = {t for tokens in split for t in tokens} - seen
+                new = set().union(*split) - seen
                 seen |= new
-                asked = [(t, k) for t in new for k in token_keys(t)]
+                asked = [(t, k) for t in new for k in token_keys(t) if k[1:] not in common]
                 for (t, k), ok in zip(asked, filter_.may_hold(hashes([k for _, k in asked]))):
                     if ok:
                         hits.setdefault(t, []).append(k)
@@ -798,7 +818,7 @@ def _doubts(title: str | None, content: str | None, file: str | None) -> tuple[b
                 sure = True
             if rest:
                 keys += [f"h{k}" for k in header_keys(file, rest)]
-        broken = broken_words(lines, {i for i, _, _ in found}) if _HYPHEN_END.search(content) else set()
+        broken = broken_words(lines, {i for i, _, _ in found}) if ends_in_hyphen(content) else set()
     if title:
         sure = sure or bool(_LEADER.search(title)) or "\n" in title or " | " in title
         for part in title_parts(title):
@@ -813,12 +833,20 @@ def _doubts(title: str | None, content: str | None, file: str | None) -> tuple[b
     return sure, keys
 
 
+def _told(column: pa.ListArray) -> Iterator[list[tuple[str, list[str] | None]]]:
+    """Per row its (key, options); none where it is null."""
+    pairs = list(zip(*(c.to_pylist() for c in column.flatten().flatten())))
+    at = 0
+    for n in column.value_lengths().to_pylist():
+        yield pairs[at : (at := at + (n or 0))]
+
+
 def _repair(with_text: bool):
     def run(batches):
         for batch in batches:
             rows = []
-            for cid, title, content, file, told, pairs in zip(*(c.to_pylist() for c in batch.columns)):
-                model = Answers([(x["key"], x["options"]) for x in told or ()], frozenset(pairs or ()))
+            for cid, title, content, file, pairs, told in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5)), _told(batch.column(4))):
+                model = Answers(told, frozenset(pairs or ()))
                 a, b = Repair(model, file), Repair(model, file)
                 good_title = a.title(title) if title else title
                 if with_text:
@@ -882,7 +910,7 @@ def scan_noise(chunks: DataFrame, *, with_text: bool = False, **options) -> Data
     tables = fit(rows, **options)
     spark = rows.sparkSession
     text = "chunk_id string, title string, content string, file string"
-    suspects = materialize(rows.mapInArrow(_questions(spark.sparkContext.broadcast(tables.filter)), f"{text}, asks array<string>"))
+    suspects = materialize(rows.mapInArrow(_questions(spark.sparkContext.broadcast((tables.filter, tables.common))), f"{text}, asks array<string>"))
     asks = suspects.select("chunk_id", F.explode("asks").alias("key")).distinct()
     told = asks.join(tables.answers, "key").groupBy("chunk_id").agg(F.collect_list(F.struct("key", "options")).alias("told"))  # questions of one chunk
     none = F.lit(None).cast("array<bigint>").alias("pairs")

@@ -1,5 +1,6 @@
 
 import os
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -7,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessella.llm import encoding, pairs, scans
+from tessella.llm.filters import KeyFilter, hashes
 from tessella.llm.lexicon import Trie
 from tessella.llm.split import split_oversized, split_spans
 
@@ -118,6 +120,30 @@ def test_scan_with_mostly_scanned_texts(spark):
     assert {"pressure", "transducer", "installed"} <= {r["key"] for r in scans.fit(df).vocabulary.collect()} and ("m1", "content", "ocr") in got
 
 
+def test_common_words_make_no_suspects(spark):
+    """However full the filter, a common word that passes it by chance must not drag along its texts."""
+    words = CLEAN.split()
+    body = [(f"c{i}", "The margin", " ".join(words[i:] + words[:i]), "clean.pdf") for i in range(12)] + [("s1", "T", "The prcssure was confirmed.", "s.pdf")]
+    df = spark.createDataFrame(body, "chunk_id string, title string, content string, file string")
+    tables = scans.fit(df, filter_bits=64)
+    ask = scans._questions(spark.sparkContext.broadcast((tables.filter, tables.common)))
+    picked = {r["chunk_id"] for r in df.mapInArrow(ask, "chunk_id string, title string, content string, file string, asks array<string>").collect()}
+    assert picked == {"s1"} and {"pressure", "the"} <= tables.common
+
+
+def test_filter_of_answers_passes_few_other_keys(spark):
+    keys = spark.range(8000).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("key"))
+    held = KeyFilter.build(keys, bits_per_key=scans.BITS_PER_KEY)
+    assert held.may_hold(hashes([f"f{i}" for i in range(8000)])).all()
+    assert held.may_hold(hashes([f"g{i}" for i in range(200_000)])).sum() < 20
+
+
+@given(st.text(alphabet="aé9_ -\xad‐¬\t\n\r", max_size=12))
+@settings(max_examples=500, deadline=None)
+def test_hyphens_at_line_ends(text):
+    assert scans.ends_in_hyphen(text) == bool(re.search(rf"[^\W\d_][{scans._HYPHENS}]\s*[\r\n]", text))
+
+
 def test_context_decides_between_candidates(spark):
     body = [(f"c{i}", "T", "the hold was kept and the bold step was taken by the crew", "f") for i in range(6)]
     body += [(f"d{i}", "T", "the cat sat with a hat on the cat", "f") for i in range(4)] + [("s1", "T", "the |old step was taken", "f")]
